@@ -23,11 +23,11 @@ from schemahelm.sources.catalog import is_reserved
 def upsert(base: DataFrame, changes: DataFrame, keys: Sequence[str] = FIELD_KEY, now: Column | None = None) -> DataFrame:
     """``base`` with ``changes`` inserted or replaced by key.
 
-    With ``now`` the result carries ``created_at`` (kept for existing keys) and ``updated_at``.
+    With ``now``, a base that has ``created_at`` and ``updated_at`` keeps the first and gets the second set.
     """
     keys = list(keys)
     untouched = base.join(changes.select(*keys), keys, "left_anti")
-    if now is None:
+    if now is None or "created_at" not in base.columns:
         return untouched.unionByName(changes, allowMissingColumns=True)
     stamped = changes.drop("created_at", "updated_at")
     born = base.join(changes.select(*keys), keys, "left_semi").select(*keys, "created_at")

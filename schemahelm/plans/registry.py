@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     from schemahelm.plans import (  # noqa: F401
-        changes, defaults, types,
+        audit, changes, defaults, quality, scans, snapshots, types, upserts,
     )
 
 

@@ -42,7 +42,11 @@ def load_widgets(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     files that share an id are reported as errors instead of letting one of them win silently.
     """
     text = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path)
-    rows = parse_widgets(text.select("value", F.col("_metadata.file_name").alias("file")))
+    return split_duplicates(parse_widgets(text.select("value", F.col("_metadata.file_name").alias("file"))))
+
+
+def split_duplicates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Parsed widget rows -> (valid widgets, errors including every file of a repeated id)."""
     dup = rows.where(F.col("error").isNull()).groupBy("id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     tagged = rows.join(dup, "id", "left").withColumn(
         "error", F.coalesce("error", F.when(F.col("_n").isNotNull(), F.concat(F.lit("duplicate widget id "), "id")))
