@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     from schemahelm.plans import (  # noqa: F401
-        access, audit, changes, defaults, labels, metrics, quality, rules, scans, snapshots, types, upserts,
+        access, audit, changes, defaults, labels, metrics, quality, rules, scans, snapshots, streams, types, upserts,
     )
 
 

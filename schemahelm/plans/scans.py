@@ -232,23 +232,21 @@ def _(x):
     return rows.select("file", "id", joined("scopes").alias("scopes"), "error")
 
 
+def write_widget_files(rows):
+    """One JSON widget file per row, in a folder per key (the first column); returns the folder."""
+    key = rows.columns[0]
+    path = scratch_path(rows.sparkSession, "folder")
+    rows.select(key, "id", F.lit("n").alias("name"), F.lit("widget").alias("type")).write.partitionBy(key).json(path)
+    return path
+
+
 @query(
     "s17_load_widgets",
-    """SELECT 'w' || p_brand AS id, 'system' AS scopes, CAST(NULL AS VARCHAR) AS error FROM (SELECT p_brand FROM part GROUP BY p_brand HAVING count(*) > 0)
- UNION ALL SELECT 'dup', NULL, 'duplicate widget id dup' FROM (VALUES (1), (2)) AS v(i)""",
+    """SELECT 'w' || s_suppkey AS id, 'system' AS scopes, CAST(NULL AS VARCHAR) AS error FROM supplier WHERE s_suppkey % 9 <> 0 UNION ALL SELECT 'same', NULL, 'duplicate widget id same' FROM supplier WHERE s_suppkey % 9 = 0""",
 )
 def _(x):
-    # One file per brand, two more that share an id, and an editor leftover.
-    brands = x.part.select("p_brand").distinct()
-    body = lambda ident: F.concat(F.lit('{"id":"'), ident, F.lit('","name":"n","type":"widget"}'))
-    rows = brands.select(F.col("p_brand").alias("f"), body(F.concat(F.lit("w"), "p_brand")).alias("value"))
-    extra = x.spark.createDataFrame([("dup1",), ("dup2",)], "f string").withColumn("value", body(F.lit("dup")))
-    path = scratch_path(x.spark, "widgets")
-    rows.union(extra).write.partitionBy("f").text(path)
-    text = x.spark.read.option("recursiveFileLookup", True).option("wholetext", True).text(path)
-    files = text.select(F.trim("value").alias("value"), F.concat(F.regexp_extract(F.input_file_name(), "f=([^/]+)/", 1), F.lit(".json")).alias("file"))
-    files = files.unionByName(x.spark.createDataFrame([("{broken", ".#w.json")], "value string, file string"))
-    widgets, errors = targets.split_duplicates(targets.parse_widgets(files))
+    name = F.when(F.col("s_suppkey") % 9 == 0, F.lit("same")).otherwise(F.concat(F.lit("w"), F.col("s_suppkey").cast("string")))
+    widgets, errors = targets.load_widgets(x.spark, write_widget_files(x.supplier.select("s_suppkey", name.alias("id"))))
     ok = widgets.select("id", joined("scopes").alias("scopes"), F.lit(None).cast("string").alias("error"))
     return ok.unionByName(errors.select("id", F.lit(None).cast("string").alias("scopes"), "error"))
 
