@@ -100,15 +100,17 @@ def policy_hits(resources: DataFrame, policies: DataFrame, subject: str = "role_
     return hit.select("path", "method", *keep, subject).distinct()
 
 
-def effective_permissions(user_roles: DataFrame, policies: DataFrame, resources: DataFrame, direct: DataFrame | None = None) -> DataFrame:
-    """Granted (user_id, path, method), through any role or directly.
+def effective_permissions(user_roles: DataFrame, policies: DataFrame, direct: DataFrame | None = None) -> DataFrame:
+    """What each user may do: distinct (user_id, path pattern, method), through any role or directly.
 
-    ``direct`` holds policies of users themselves: ``user_id, path, method``. Only grants become rows.
+    ``direct`` holds policies of users themselves: ``user_id, path, method``. Grants stay patterns: expanding
+    them to (user, resource) pairs would grow with users times resources. :func:`policy_hits` tells which
+    roles may use which resources, :func:`enforce_log` answers concrete requests.
     """
-    by_role = policy_hits(resources, policies)
-    granted = user_roles.select("user_id", "role_id").join(by_role, "role_id").select("user_id", "path", "method")
+    granted = user_roles.select("user_id", "role_id").distinct().join(policies.distinct(), "role_id")
+    granted = granted.select("user_id", "path", "method")
     if direct is not None:
-        granted = granted.unionByName(policy_hits(resources, direct, "user_id").select("user_id", "path", "method"))
+        granted = granted.unionByName(direct.select("user_id", "path", "method"))
     return granted.distinct()
 
 

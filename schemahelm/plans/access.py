@@ -41,12 +41,19 @@ def _(x):
 
 @query(
     "j5_effective_permissions",
-    f"""WITH res AS (SELECT DISTINCT path, method FROM F_API) SELECT DISTINCT ur.user_id, res.path, res.method FROM res JOIN F_POLICIES p ON {_match('res.path', 'res.method')} JOIN F_UROLES ur ON ur.role_id = p.role_id
- UNION SELECT id, '/v1/snapshots', 'GET' FROM F_USERS WHERE id % 50 = 0 AND EXISTS (SELECT 1 FROM res WHERE path = '/v1/snapshots' AND method = 'GET')""",
+    """SELECT DISTINCT ur.user_id, p.path, p.method FROM F_UROLES ur JOIN F_POLICIES p ON p.role_id = ur.role_id UNION SELECT id, '/v1/snapshots', 'GET' FROM F_USERS WHERE id % 50 = 0""",
 )
 def effective_permissions(x):
     direct = x.F_USERS.where("id % 50 = 0").select(F.col("id").alias("user_id"), F.lit("/v1/snapshots").alias("path"), F.lit("GET").alias("method"))
-    return a.effective_permissions(x.F_UROLES, x.F_POLICIES, x.F_API, direct)
+    return a.effective_permissions(x.F_UROLES, x.F_POLICIES, direct)
+
+
+@query(
+    "j5_role_resources",
+    f"""SELECT DISTINCT r.path, r.method, p.role_id FROM (SELECT DISTINCT path, method FROM F_API) r JOIN F_POLICIES p ON {_match('r.path', 'r.method')}""",
+)
+def _(x):
+    return a.policy_hits(x.F_API, x.F_POLICIES)
 
 
 _CAPS = ", ".join(f"('{c}', '{p}', '{m}')" for c, p, m in a.CAPABILITIES)
