@@ -14,38 +14,39 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from schemahelm.functions.typing import col_of
+from schemahelm.functions.typing import col_of, let
 
-_MAP = "map<string,variant>"
+def _object(doc: Column) -> Column:
+    """Members of a JSON object as a map of JSON texts; NULL when the text is no object."""
 
+    def members(v: Column) -> Column:
+        as_map = F.transform_values(F.try_variant_get(v, "$", "map<string,variant>"), lambda k, x: F.to_json(x))
+        return F.when(F.schema_of_variant(v).startswith("OBJECT<"), as_map)
 
-def _object(doc: Column) -> Column:
-    """Map of the document's members; NULL when the text is no JSON object."""
-    parsed = F.try_parse_json(doc)
-    is_object = F.schema_of_variant(parsed).startswith("OBJECT<")
-    return F.when(is_object, F.try_variant_get(parsed, "$", _MAP))
+    return let(F.try_parse_json(doc), members)
 
 
 def is_flat(doc: Column | str) -> Column:
     """NULL, blank, or a JSON object without nested members."""
     d = col_of(doc)
-    members = F.map_values(_object(d))
-    nested = F.exists(members, lambda v: F.to_json(v).rlike(r"^(\{.+\}|\[.+\])$"))
+    nested = F.exists(F.map_values(_object(d)), lambda v: v.rlike(r"^(\{.+\}|\[.+\])$"))
     return F.coalesce(F.trim(d), F.lit("")).isin("") | F.coalesce(~nested, F.lit(False))
 
 
 def _key_lines(doc: Column) -> Column:
-    """The normalised member lines of a flat object, trailing comma included."""
-    members = _object(doc)
-    keys = F.array_sort(F.map_keys(members))
-    last = F.size(keys) - 1
-    lines = F.transform(
-        keys,
-        lambda k, i: F.concat(
-            F.to_json(F.create_map(k, members[k])), F.when(i < last, F.lit(",")).otherwise(F.lit(""))
-        ),
-    )
-    return F.coalesce(lines, F.array().cast("array<string>"))
+    """The member lines of a flat object in key order; every line but the last ends with a comma.
+
+    Lines are only compared, so key and value are joined by a character that neither can contain.
+    """
+    none = F.array().cast("array<string>")
+
+    def lines(entries: Column) -> Column:
+        n = F.size(entries)
+        text = lambda e: F.concat(e["key"], F.lit("\x01"), e["value"])
+        head = F.transform(F.slice(entries, F.lit(1), n - 1), lambda e: F.concat(text(e), F.lit(",")))
+        return F.when(n > 0, F.concat(head, F.transform(F.slice(entries, n, F.lit(1)), text))).otherwise(none)
+
+    return F.coalesce(let(F.array_sort(F.map_entries(_object(doc))), lines), none)
 
 
 def _counts(added: Column, removed: Column) -> Column:
@@ -54,8 +55,10 @@ def _counts(added: Column, removed: Column) -> Column:
 
 def flat_diff_counts(before: Column | str, after: Column | str) -> Column:
     """``struct(added, removed)`` of key lines between two flat JSON objects, inside the JVM."""
-    b, a = _key_lines(col_of(before)), _key_lines(col_of(after))
-    return _counts(F.size(F.array_except(a, b)), F.size(F.array_except(b, a)))
+    pair = F.struct(_key_lines(col_of(before)).alias("b"), _key_lines(col_of(after)).alias("a"))
+    return let(
+        pair, lambda p: _counts(F.size(F.array_except(p["a"], p["b"])), F.size(F.array_except(p["b"], p["a"])))
+    )
 
 
 # --- helpers that run inside Arrow batches ----------------------------------------------------------------

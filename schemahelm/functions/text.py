@@ -121,14 +121,12 @@ def dsn_schema(driver: Column | str, dsn: Column | str) -> Column:
 
 def fnv1a32(text: Column | str) -> Column:
     """FNV-1a (32 bit) over the UTF-8 bytes, without leaving the JVM."""
-    octets = F.transform(
-        F.regexp_extract_all(F.hex(F.encode(col_of(text), "UTF-8")), F.lit("(..)"), F.lit(1)),
-        lambda x: F.conv(x, 16, 10).cast("bigint"),
-    )
+    # Read as Latin-1, every byte is one character whose code is the byte.
+    octets = F.filter(F.split(F.decode(F.encode(col_of(text), "UTF-8"), "ISO-8859-1"), ""), lambda x: x != "")
     return F.aggregate(
         octets,
         F.lit(FNV_OFFSET).cast("bigint"),
-        lambda h, b: F.pmod(h.bitwiseXOR(b) * F.lit(FNV_PRIME).cast("bigint"), F.lit(4294967296).cast("bigint")),
+        lambda h, x: (h.bitwiseXOR(F.ascii(x).cast("bigint")) * F.lit(FNV_PRIME).cast("bigint")).bitwiseAND(F.lit(4294967295).cast("bigint")),
     )
 
 

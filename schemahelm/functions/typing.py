@@ -98,6 +98,11 @@ def lookup(value: Column, table: dict[str, list[str]], default: Column) -> Colum
     return expr.otherwise(default)
 
 
+def let(value: Column, fn) -> Column:
+    """Bind a value that ``fn`` uses several times, so that it is computed once per row."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def folded(c: Column | str) -> Column:
     return F.lower(F.trim(col_of(c)))
 
@@ -192,33 +197,39 @@ def canon_widget(raw: Column | str) -> Column:
 # --- dynamic extras (JSON text) ---------------------------------------------------------------------------
 
 
-def _extra(extras: Column | str, key: str) -> tuple[Column, Column]:
-    value = F.try_variant_get(F.try_parse_json(col_of(extras)), f"$.{key}", "variant")
-    return value, F.schema_of_variant(value)
+def _extra(extras: Column | str, key: str, read) -> Column:
+    """``read(value, type name)`` of one member; the text is parsed once, and rows without extras skip it."""
+    text = col_of(extras)
+    value = F.try_variant_get(F.try_parse_json(text), f"$.{key}", "variant")
+    typed = F.struct(value.alias("v"), F.schema_of_variant(value).alias("t"))
+    return F.when(text.contains(f'"{key}"'), let(typed, lambda x: read(x["v"], x["t"])))
 
 
 def extra_bool(extras: Column | str, key: str) -> Column:
     """JSON ``true``, or the texts ``true`` (any case) and ``1``; everything else is false."""
-    value, kind = _extra(extras, key)
-    text = F.try_variant_get(value, "$", "string")
-    return F.coalesce(
-        F.when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean")).when(
+
+    def read(value: Column, kind: Column) -> Column:
+        text = F.try_variant_get(value, "$", "string")
+        return F.when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean")).when(
             kind == "STRING", (F.lower(text) == "true") | (text == "1")
-        ),
-        F.lit(False),
-    )
+        )
+
+    return F.coalesce(_extra(extras, key, read), F.lit(False))
 
 
 def extra_int32(extras: Column | str, key: str) -> Column:
     """Whole number in the 32-bit range from a JSON number or decimal text, else NULL."""
-    value, kind = _extra(extras, key)
-    text = F.try_variant_get(value, "$", "string")
-    number = F.try_variant_get(value, "$", "double")
-    in_range = (number >= -2147483648.0) & (number <= 2147483647.0) & (F.floor(number) == number)
-    numeric = kind.startswith("DECIMAL") | kind.isin("BIGINT", "DOUBLE", "FLOAT")
-    return F.when(numeric & in_range, number.try_cast("int")).when(
-        (kind == "STRING") & text.rlike(r"^[+-]?[0-9]+$"), text.try_cast("int")
-    )
+
+    def read(value: Column, kind: Column) -> Column:
+        text = F.try_variant_get(value, "$", "string")
+        number = F.try_variant_get(value, "$", "double")
+        in_range = (number >= -2147483648.0) & (number <= 2147483647.0) & (F.floor(number) == number)
+        numeric = kind.startswith("DECIMAL") | kind.isin("BIGINT", "DOUBLE", "FLOAT")
+        return F.when(numeric & in_range, number.try_cast("int")).when(
+            (kind == "STRING") & text.rlike(r"^[+-]?[0-9]+$"), text.try_cast("int")
+        )
+
+    return _extra(extras, key, read)
 
 
 def bson_type(physical: Column | str, data_type: Column | str | None = None) -> Column:
@@ -232,12 +243,15 @@ def bson_type(physical: Column | str, data_type: Column | str | None = None) ->
 
 def array_item_type(extras: Column | str) -> Column:
     """BSON type of the items of an array field, from ``extras.array_items``; NULL when not declared."""
-    items = F.try_variant_get(F.try_parse_json(col_of(extras)), "$.array_items", "variant")
-    physical, kind = (F.try_variant_get(items, f"$.{k}", "variant") for k in ("physical_type", "kind"))
-    is_text = lambda v: F.schema_of_variant(v) == "STRING"
-    return F.when(is_text(physical), bson_type(F.try_variant_get(physical, "$", "string"))).when(
-        is_text(kind), bson_type(F.try_variant_get(kind, "$", "string"))
-    )
+
+    def read(items: Column, _: Column) -> Column:
+        def named(member: str) -> Column:
+            value = F.try_variant_get(items, f"$.{member}", "variant")
+            return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
+
+        return F.coalesce(named("physical_type"), named("kind"))
+
+    return let(_extra(extras, "array_items", read), lambda name: F.when(name.isNotNull(), bson_type(name)))
 
 
 def nullable_bson_type(fields_nullable: Column | str, extras: Column | str, bson: Column) -> Column:

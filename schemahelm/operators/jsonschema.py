@@ -19,15 +19,20 @@ def schema_properties(fields: DataFrame, keep: Sequence[str] = ("table_name",))
     """One row per field: the JSON of its property and whether the member is required."""
     extras = _extras(fields)
     physical = F.col("physical_type") if "physical_type" in fields.columns else F.lit("")
-    bson = ty.bson_type(physical, "data_type")
-    nullable = F.col("is_nullable") | ty.extra_bool(extras, "allowNull")
-    quoted = F.concat(F.lit('"'), bson, F.lit('"'))
-    declared = F.when(nullable, F.concat(F.lit("["), quoted, F.lit(',"null"]'))).otherwise(quoted)
-    item = F.when(bson == "array", ty.array_item_type(extras))
-    items = F.when(item.isNotNull(), F.concat(F.lit(',"items":{"bsonType":"'), item, F.lit('"}'))).otherwise(F.lit(""))
+    parts = fields.select(
+        *keep,
+        "column_name",
+        ty.bson_type(physical, "data_type").alias("_bson"),
+        ty.array_item_type(extras).alias("_item"),
+        (F.col("is_nullable") | ty.extra_bool(extras, "allowNull")).alias("_null"),
+        (~F.col("is_nullable") | ty.extra_bool(extras, "required")).alias("required"),
+    )
+    quoted = F.concat(F.lit('"'), "_bson", F.lit('"'))
+    declared = F.when(F.col("_null"), F.concat(F.lit("["), quoted, F.lit(',"null"]'))).otherwise(quoted)
+    has_items = (F.col("_bson") == "array") & F.col("_item").isNotNull()
+    items = F.when(has_items, F.concat(F.lit(',"items":{"bsonType":"'), "_item", F.lit('"}'))).otherwise(F.lit(""))
     prop = F.concat(F.lit('{"bsonType":'), declared, items, F.lit("}"))
-    required = ~F.col("is_nullable") | ty.extra_bool(extras, "required")
-    return fields.select(*keep, "column_name", prop.alias("property"), required.alias("required"))
+    return parts.select(*keep, "column_name", prop.alias("property"), "required")
 
 
 def build_jsonschema(fields: DataFrame, keep: Sequence[str] = ("table_name",), part_size: int = 1000) -> DataFrame:
