@@ -17,6 +17,7 @@ from schemahelm.functions import typing as ty
 from schemahelm.functions.text import dsn_has_database, semver_lt
 from schemahelm.operators.diff import diff, diff_summary
 from schemahelm.schemas import DEFAULT_PREFIX, DIFF_ATTRIBUTES, FIELD_KEY
+from schemahelm.session import cut_lineage
 from schemahelm.sources.catalog import is_reserved
 
 
@@ -79,17 +80,20 @@ def apply(
     by: Sequence[str] = (),
     required_version: str | None = None,
     current_version: str | None = None,
+    materialize: bool = False,
 ) -> Applied | DataFrame:
     """Bring a registry to the desired state: diff, delete, upsert, audit rows and a summary.
 
-    A dry run returns the summary only. Everything hangs on one diff; write it once (see
-    :func:`schemahelm.session.cut_lineage`) where several outputs are wanted from large tables.
+    A dry run returns the summary only. Everything hangs on one diff; ``materialize`` writes it once to the
+    shared folder, which pays off where several outputs are wanted from large tables.
     """
     from schemahelm.operators.audit import audit_rows
 
     if required_version and current_version:
         check_version(current.sparkSession, required_version, current_version)
     changes = diff(current, desired, keys, compare)
+    if materialize and not dry_run:
+        changes = cut_lineage(changes, "diff")
     summary = diff_summary(changes, by)
     if dry_run:
         return summary

@@ -50,7 +50,10 @@ def widget_state(stream: DataFrame, path: str, checkpoint: str, repository: Data
 
 
 def current_widgets(base: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
-    """Base registry with the logged changes applied: the latest change per id wins."""
+    """Base registry with the logged changes applied: the latest change per id wins.
+
+    To compact, write the result as the new base and pass only changes of later batches from then on.
+    """
     payload = [c for c in base.columns if c != key]
     seeded = base.select(key, F.lit("upsert").alias("change_type"), *payload, F.struct(F.lit(-1).cast("bigint").alias("b"), F.lit(0).cast("bigint").alias("s")).alias("_at"))
     logged = changes.select(
@@ -134,18 +137,18 @@ def current_config(spark: SparkSession, path: str) -> DataFrame:
 
 
 def breaker_stream(stream: DataFrame, policy: BreakerPolicy, path: str, checkpoint: str, available_now: bool = True):
-    """Breaker states over an attempt stream; keys carry their state from batch to batch."""
+    """Breaker states over an attempt stream; keys carry their state from batch to batch.
+
+    Each batch writes the state of all keys under its batch id, so the next one reads a single version.
+    """
     spark = stream.sparkSession
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        before = None
-        if batch_id > 0:
-            # Last known state per key over all earlier batches.
-            known = spark.read.parquet(f"{path}/state").where(F.col("batch_id") < batch_id)
-            state = F.struct("failures", "open_until_us")
-            before = known.groupBy("tkey").agg(F.max_by(state, "batch_id").alias("_s")).select("tkey", "_s.*")
+        before = spark.read.parquet(f"{path}/state/batch_id={batch_id - 1}") if batch_id > 0 else None
         rows, final = breaker_states(batch, policy, before)
         rows.write.mode("overwrite").parquet(f"{path}/rows/batch_id={batch_id}")
+        if before is not None:
+            final = final.unionByName(before.join(final.select("tkey"), "tkey", "left_anti"))
         final.write.mode("overwrite").parquet(f"{path}/state/batch_id={batch_id}")
 
     return _start(stream, step, checkpoint, available_now)

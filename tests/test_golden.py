@@ -387,3 +387,84 @@ def test_pages_cover_the_filtered_set(spark):
             break
         after = {"a": page[-1].a, "b": page[-1].b}
     assert seen == sorted(((i % 5, i) for i in range(23)), key=lambda p: (-p[0], p[1]))
+
+
+# --- streams in several micro-batches ---------------------------------------------------------------------
+
+
+def _split_source(spark, df, order, n, tmp_path):
+    """Files in order, one micro-batch each."""
+    path = str(tmp_path / "in")
+    cuts = df.approxQuantile(order, [i / n for i in range(1, n)], 0.0)
+    bounds = [float("-inf"), *cuts, float("inf")]
+    for lo, hi in zip(bounds, bounds[1:]):
+        df.where((F.col(order) > lo) & (F.col(order) <= hi)).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_breaker_stream_carries_state(spark, tmp_path):
+    from schemahelm.streaming import state
+
+    rng = random.Random(3)
+    rows, ts = [], 0
+    for seq in range(400):
+        ts += rng.choice([1, 3, 9])
+        rows.append((seq, "k" if seq % 3 else "other", ts, rng.choice(["ok", "transient", "transient"])))
+    df = spark.createDataFrame(rows, "seq bigint, tkey string, t bigint, outcome string").withColumn("ts", F.timestamp_seconds("t"))
+    policy_ = breaker.BreakerPolicy(open_after=2, open_seconds=15, slice_seconds=100)
+    out = str(tmp_path / "out")
+    state.breaker_stream(_split_source(spark, df, "seq", 4, tmp_path), policy_, out, str(tmp_path / "cp")).awaitTermination()
+    streamed = spark.read.parquet(out + "/rows")
+    assert streamed.select("batch_id").distinct().count() == 4
+    batch = breaker.breaker_states(df, policy_)[0]
+    assert values(streamed, "seq", "seen", "made", "state") == values(batch, "seq", "seen", "made", "state")
+
+
+def test_widget_state_over_batches(spark, tmp_path):
+    from schemahelm.streaming import state
+
+    rows = [(1, "a", "upsert", "1"), (2, "b", "upsert", "1"), (3, "a", "remove", None), (4, "c", "bogus", "9"), (5, "b", "upsert", "2"), (6, "a", "upsert", "3"), (7, "b", "remove", None)]
+    df = spark.createDataFrame(rows, "seq bigint, id string, change_type string, version string")
+    out = str(tmp_path / "out")
+    state.widget_state(_split_source(spark, df, "seq", 3, tmp_path), out, str(tmp_path / "cp")).awaitTermination()
+    base = spark.createDataFrame([("z", "0")], "id string, version string")
+    assert values(state.current_widgets(base, spark.read.parquet(out)), "id", "version") == [("a", "3"), ("z", "0")]
+
+
+def test_fanout_is_idempotent_per_batch(spark, tmp_path):
+    from schemahelm.streaming import events
+
+    calls = spark.createDataFrame([(i, "n", "{}", i % 4) for i in range(40)], "id bigint, name string, data string, failing_attempts bigint")
+    calls = calls.withColumn("time", F.lit("t"))
+    sink = events.Sink("s", lambda rows, attempt: ["no" if n >= attempt else None for n in rows["failing_attempts"]])
+    for _ in range(2):
+        out = events.deliver(calls, sink, str(tmp_path / "w"), 3, delay=0.0)
+        assert out.count() == 40
+        assert values(out.groupBy("attempts").agg(F.count_if(F.col("error").isNotNull()).alias("failed"), F.count("id").alias("n")), "attempts", "failed", "n") == [(1, 0, 10), (2, 0, 10), (3, 10, 20)]
+        events.write_dlq(out, "s", str(tmp_path / "dlq"), 0)
+    assert spark.read.parquet(str(tmp_path / "dlq")).count() == 10
+
+
+def test_directory_poll(spark, tmp_path):
+    from schemahelm.streaming import state
+
+    folder = tmp_path / "d"
+    folder.mkdir()
+    (folder / "a.json").write_text('{"id":"a","name":"n","type":"widget"}')
+    empty = spark.createDataFrame([], "file_path string, modified timestamp, size bigint")
+    changed, removed, listing = state.directory_changes(spark, str(folder), empty)
+    seen = spark.createDataFrame(listing.collect(), listing.schema)
+    assert values(changed, "id") == [("a",)] and removed.count() == 0
+    (folder / "b.json").write_text('{"id":"b","name":"n","type":"widget"}')
+    (folder / "a.json").write_text('{"id":"a","name":"longer","type":"widget"}')
+    gone = spark.createDataFrame([("/x/gone.json", None, 1)], seen.schema)
+    changed, removed, _ = state.directory_changes(spark, str(folder), seen.unionByName(gone))
+    assert values(changed, "id", "name") == [("a", "longer"), ("b", "n")]
+    assert values(removed, "file_path") == [("/x/gone.json",)]
+
+
+def test_apply_materialized_equals_lazy(spark):
+    old = fields(spark, ("a", "x", "int"), ("a", "y", "int"))
+    new = fields(spark, ("a", "x", "text"))
+    lazy, stored = merge.apply(old, new), merge.apply(old, new, materialize=True)
+    assert values(lazy.registry, "column_name", "data_type") == values(stored.registry, "column_name", "data_type") == [("x", "text")]
