@@ -27,13 +27,20 @@ def label_set(labels: Column | str) -> Column:
     return F.array_sort(F.array_distinct(F.concat(low, bare)))
 
 
-def labels_from_map(source: Column | str, mapping: dict[str, str], fixed: dict[str, str] | None = None) -> Column:
+def labels_from_map(source: Column | str, mapping: dict[str, str], fixed: dict[str, str] | None = None, ignore_case: bool = False) -> Column:
     """Labels from a map column (headers, metadata, claims): ``source key -> label name``, plus fixed labels.
 
     Each hit gives ``label=value`` and the bare label name; order follows the mapping, duplicates go.
+    ``ignore_case`` compares source keys without case, as header names are.
     """
     src = col_of(source)
-    pairs = [(F.lit(name), src[key]) for key, name in mapping.items()]
+
+    def value_of(key: str) -> Column:
+        if not ignore_case:
+            return src[key]
+        return F.get(F.map_values(F.map_filter(src, lambda k, v: F.lower(k) == key.lower())), F.lit(0))
+
+    pairs = [(F.lit(name), value_of(key)) for key, name in mapping.items()]
     pairs += [(F.lit(name), F.lit(value)) for name, value in (fixed or {}).items()]
     parts = []
     for name, value in pairs:

@@ -149,7 +149,22 @@ def _(x):
     return jsondiff.with_diff_counts(docs, "b", "a").select("id", "_counts.*")
 
 
-@query("d11_json_unified_diff")
+def _lines(*parts: str) -> str:
+    return " || chr(10) || ".join(parts) + " || chr(10)"
+
+
+_HEAD = ["'--- before'", "'+++ after'"]
+
+
+@query(
+    "d11_json_unified_diff",
+    # Four shapes: only after, only before, same k, other k.
+    f"""WITH p AS (SELECT id, before_json, after_json, json_extract_string(before_json, '$.k') AS bk, json_extract_string(after_json, '$.k') AS ak FROM F_AUD)
+ SELECT id, CASE WHEN before_json IS NULL THEN {_lines(*_HEAD, "'@@ -1 +1,3 @@'", "'-'", "'+{'", """'+  "k": ' || ak""", "'+}'")}
+  WHEN after_json IS NULL THEN {_lines(*_HEAD, "'@@ -1,4 +1 @@'", "'-{'", """'-  "a": 1,'""", """'-  "k": ' || bk""", "'-}'", "'+'")}
+  WHEN ak = bk THEN {_lines(*_HEAD, "'@@ -1,4 +1,3 @@'", "' {'", """'-  "a": 1,'""", """'   "k": ' || bk""", "' }'")}
+  ELSE {_lines(*_HEAD, "'@@ -1,4 +1,3 @@'", "' {'", """'-  "a": 1,'""", """'-  "k": ' || bk""", """'+  "k": ' || ak""", "' }'")} END AS unified FROM p""",
+)
 def _(x):
     return x.F_AUD.select("id", jsondiff.unified_diff("before_json", "after_json").alias("unified"))
 

@@ -68,9 +68,18 @@ def _(x):
     return x.spark.read.parquet(path)
 
 
-@query("s21_sign_events")
+def _pad(key: bytes, byte: int) -> str:
+    return bytes(b ^ byte for b in key.ljust(64, b"\0")).hex()
+
+
+_SECRET = "k3y"
+_INNER = f"sha256(unhex('{_pad(_SECRET.encode(), 0x36)}') || encode(payload))"
+_SIGNED = f"'sha256=' || sha256(unhex('{_pad(_SECRET.encode(), 0x5C)}') || unhex({_INNER}))"
+
+
+@query("s21_sign_events", f"SELECT id, payload, {_SIGNED} AS signature FROM (SELECT id, {_PAYLOAD} AS payload FROM F_EVT) e")
 def _(x):
-    return ev.sign_events(_with_time_text(x.F_EVT), "k3y").select("id", "payload", "signature")
+    return ev.sign_events(_with_time_text(x.F_EVT), _SECRET).select("id", "payload", "signature")
 
 
 def _fanout(x):

@@ -195,6 +195,13 @@ def test_selectors(labelled, query, keys):
     assert "".join(sorted(r.tkey for r in routing.select_targets(labelled, query).collect())) == keys
 
 
+def test_labels_from_headers(spark):
+    headers = F.create_map(F.lit("x-env"), F.lit(" Prod!"), F.lit("X-Empty"), F.lit("?"))
+    mapping = {"X-Env": "Env", "X-Empty": "none", "X-Gone": "gone"}
+    got = one(spark, lb.labels_from_map(headers, mapping, {"zone": "A"}, ignore_case=True), lb.labels_from_map(headers, mapping))
+    assert got == (["env=prod", "Env", "zone=a", "zone"], [])
+
+
 def test_find(labelled):
     names = lambda df: "".join(r.tkey for r in df.collect())
     assert names(routing.find_all(labelled, "GPU", "REGION=Tokyo")) == "a"
