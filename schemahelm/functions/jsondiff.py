@@ -78,9 +78,17 @@ def _unified(before: str | None, after: str | None) -> list[str]:
     return list(difflib.unified_diff(a, b, "before", "after", n=3, lineterm=""))
 
 
-def _count_keys(lines: list[str]) -> tuple[int, int]:
-    body = [x for x in lines if not x.startswith(("+++", "---")) and '":' in x]
-    return sum(x[0] == "+" for x in body), sum(x[0] == "-" for x in body)
+def _key_counts(before: str | None, after: str | None) -> tuple[int, int]:
+    """Key lines a line diff adds and removes."""
+    a, b = _stable(before).split("\n"), _stable(after).split("\n")
+    if a == b:
+        return 0, 0
+    added = removed = 0
+    for tag, a0, a1, b0, b1 in difflib.SequenceMatcher(None, a, b).get_opcodes():
+        if tag != "equal":
+            removed += sum('":' in x and not x.startswith("--") for x in a[a0:a1])
+            added += sum('":' in x and not x.startswith("++") for x in b[b0:b1])
+    return added, removed
 
 
 def normalize_json(doc: Column | str) -> Column:
@@ -98,7 +106,7 @@ def nested_diff_counts(before: Column | str, after: Column | str) -> Column:
 
     @F.pandas_udf("added bigint, removed bigint")
     def count(b: pd.Series, a: pd.Series) -> pd.DataFrame:
-        pairs = [_count_keys(_unified(x, y)) for x, y in zip(b, a)]
+        pairs = [_key_counts(x, y) for x, y in zip(b, a)]
         return pd.DataFrame(pairs, columns=["added", "removed"])
 
     return count(col_of(before), col_of(after))
