@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from schemahelm.session import cut_lineage
+
 NOT_OPEN = -1
 
 
@@ -99,11 +101,12 @@ def _chain(pdf: pd.DataFrame, failures: int, until: int) -> list[tuple[int, int]
     return [*starts, (failures, until)]
 
 
-def breaker_states(attempts: DataFrame, policy: BreakerPolicy, initial: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def breaker_states(attempts: DataFrame, policy: BreakerPolicy, initial: DataFrame | None = None, materialize: bool = False) -> tuple[DataFrame, DataFrame]:
     """Attempt log (``seq, tkey, ts, outcome``) -> (rows, final state per key).
 
     Rows gain ``seen`` (state at the call: closed, open, half_open), ``made`` (was the call let through) and
-    ``state`` (after it). ``initial`` carries ``tkey, failures, open_until_us`` from an earlier run.
+    ``state`` (after it). ``initial`` carries ``tkey, failures, open_until_us`` from an earlier run. ``materialize`` writes the small
+    table of slice starts once, for callers that use both results.
     """
     width = policy.slice_seconds * 1_000_000
     us = F.unix_micros(F.col("ts").cast("timestamp"))
@@ -130,6 +133,8 @@ def breaker_states(attempts: DataFrame, policy: BreakerPolicy, initial: DataFram
         return pd.DataFrame(rows, columns=["tkey", "slice", "failures", "open_until_us"]).astype({"slice": "Int64"})
 
     starts = begun.groupBy("tkey").applyInPandas(chain, "tkey string, slice bigint, failures int, open_until_us bigint")
+    if materialize:
+        starts = cut_lineage(starts, "breaker")
     final = starts.where(F.col("slice").isNull()).drop("slice")
 
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -110,20 +110,33 @@ def _reason(m, t) -> Column:
     )
 
 
-def reconcile(meta: DataFrame, target: DataFrame, keys: Sequence[str] = DIFF_KEY) -> DataFrame:
+def _definitions(df: DataFrame, keys: list[str], fold: bool) -> DataFrame:
+    """Definitions per key with ``copies``; folded, equal ones become one row before anything is joined."""
+    rows = df.select(*keys, *_RECONCILED)
+    if fold:
+        return rows.groupBy(*keys, *_RECONCILED).agg(F.count(F.lit(1)).alias("copies"))
+    return rows.withColumn("copies", F.lit(1).cast("bigint"))
+
+
+def reconcile(meta: DataFrame, target: DataFrame, keys: Sequence[str] = DIFF_KEY, fold: bool | None = None) -> DataFrame:
     """Rows of ``status`` missing_in_target, missing_in_meta or mismatched, with the first difference.
 
     Where a key occurs several times in the target, a definition passes if any partner equals it; otherwise
-    each partner is reported. Keys should identify one definition; a bare column name pairs unrelated tables.
+    each differing partner is reported. Keys that name a column in a table identify one definition. Wider
+    keys, such as the bare column name, may be shared by very many tables; equal definitions are then folded
+    first (``fold``), and ``pairs`` tells how many combinations of rows a reported line stands for.
     """
     keys = list(keys)
-    left = meta.select(*keys, *[F.col(c).alias(f"meta_{c}") for c in _RECONCILED])
-    right = target.select(*keys, *[F.col(c).alias(f"target_{c}") for c in _RECONCILED], F.lit(True).alias("_hit"))
+    if fold is None:
+        fold = not {"table_name", "column_name"} <= set(keys)
+    metas, targets = _definitions(meta, keys, fold), _definitions(target, keys, fold)
+    left = metas.select(*keys, *[F.col(c).alias(f"meta_{c}") for c in (*_RECONCILED, "copies")])
+    right = targets.select(*keys, *[F.col(c).alias(f"target_{c}") for c in (*_RECONCILED, "copies")], F.lit(True).alias("_hit"))
     m, t = (lambda c: F.col(f"meta_{c}")), (lambda c: F.col(f"target_{c}"))
     default = lambda side: F.when(side("has_default"), side("default_value"))
     equal = reduce(lambda a, b: a & b, [m(c).eqNullSafe(t(c)) for c in _RECONCILED[:4]]) & default(m).eqNullSafe(default(t))
     pairs = left.join(right, keys, "left").withColumn("_equal", F.col("_hit").isNotNull() & equal)
-    # The window groups by the join key and more, so the join's partitioning serves it without a shuffle.
+    # The window groups by the join key and more, so a shuffle join's partitioning serves it as it is.
     own = Window.partitionBy(*keys, *[f"meta_{c}" for c in _RECONCILED])
     pairs = pairs.withColumn("_passes", F.max("_equal").over(own)).where(~F.col("_passes"))
     missing = F.col("_hit").isNull()
@@ -131,9 +144,10 @@ def reconcile(meta: DataFrame, target: DataFrame, keys: Sequence[str] = DIFF_KEY
         *keys,
         F.when(missing, F.lit("missing_in_target")).otherwise(F.lit("mismatched")).alias("status"),
         F.when(~missing, _reason(m, t)).alias("reason"),
+        (m("copies") * F.coalesce(t("copies"), F.lit(1))).alias("pairs"),
     )
-    right_out = target.join(meta.select(*keys), keys, "left_anti").select(
-        *keys, F.lit("missing_in_meta").alias("status"), F.lit(None).cast("string").alias("reason")
+    right_out = targets.join(meta.select(*keys), keys, "left_anti").select(
+        *keys, F.lit("missing_in_meta").alias("status"), F.lit(None).cast("string").alias("reason"), F.col("copies").alias("pairs")
     )
     return left_out.unionByName(right_out)
 

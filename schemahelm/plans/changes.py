@@ -81,10 +81,10 @@ _EQUAL = """m.data_type = t.data_type AND m.is_nullable = t.is_nullable AND m.is
 def _reconcile_sql(keys: list[str], meta: str = "F_OLD", target: str = "F_NEW") -> str:
     on = " AND ".join(f"m.{k} = t.{k}" for k in keys)
     cols = lambda a: ", ".join(f"{a}.{k}" for k in keys)
-    return f"""SELECT {cols('m')}, 'missing_in_target' AS status, CAST(NULL AS VARCHAR) AS reason FROM {meta} m WHERE NOT EXISTS (SELECT 1 FROM {target} t WHERE {on})
-UNION ALL SELECT {cols('m')}, 'mismatched', {_REASON} FROM {meta} m JOIN {target} t ON {on}
+    return f"""SELECT {cols('m')}, 'missing_in_target' AS status, CAST(NULL AS VARCHAR) AS reason, CAST(1 AS BIGINT) AS pairs FROM {meta} m WHERE NOT EXISTS (SELECT 1 FROM {target} t WHERE {on})
+UNION ALL SELECT {cols('m')}, 'mismatched', {_REASON}, 1 FROM {meta} m JOIN {target} t ON {on}
  WHERE NOT EXISTS (SELECT 1 FROM {target} t WHERE {on} AND {_EQUAL})
-UNION ALL SELECT {cols('t')}, 'missing_in_meta', NULL FROM {target} t WHERE NOT EXISTS (SELECT 1 FROM {meta} m WHERE {on})"""
+UNION ALL SELECT {cols('t')}, 'missing_in_meta', NULL, 1 FROM {target} t WHERE NOT EXISTS (SELECT 1 FROM {meta} m WHERE {on})"""
 
 
 @query("d7_reconcile", _reconcile_sql(["tenant_id", "table_name", "column_name"]))
@@ -97,6 +97,24 @@ def _(x):
     return d.reconcile(x.F_OLD, x.F_NEW, ["column_name"])
 
 
+_ATTRS = "data_type, is_nullable, is_unique, has_default, default_value"
+
+
+@query(
+    "d7_reconcile_shared_names",
+    # Few names shared by very many tables: equal definitions first, then combinations with their multiplicity.
+    f"""WITH om AS (SELECT 'c' || length(column_name) AS column_name, {_ATTRS} FROM F_OLD), nt AS (SELECT 'c' || length(column_name) AS column_name, {_ATTRS} FROM F_NEW WHERE data_type <> 'text'),
+ m AS (SELECT *, count(*) AS copies FROM om GROUP BY column_name, {_ATTRS}), t AS (SELECT *, count(*) AS copies FROM nt GROUP BY column_name, {_ATTRS})
+ SELECT m.column_name, 'mismatched' AS status, {_REASON} AS reason, CAST(m.copies * t.copies AS BIGINT) AS pairs FROM m JOIN t ON m.column_name = t.column_name
+  WHERE NOT EXISTS (SELECT 1 FROM t WHERE m.column_name = t.column_name AND {_EQUAL})
+ UNION ALL SELECT column_name, 'missing_in_target', NULL, copies FROM m WHERE column_name NOT IN (SELECT column_name FROM t)
+ UNION ALL SELECT column_name, 'missing_in_meta', NULL, copies FROM t WHERE column_name NOT IN (SELECT column_name FROM m)""",
+)
+def _(x):
+    shared = F.concat(F.lit("c"), F.length("column_name").cast("string"))
+    return d.reconcile(x.F_OLD.withColumn("column_name", shared), x.F_NEW.where("data_type <> 'text'").withColumn("column_name", shared), ["column_name"])
+
+
 @query(
     "d8_repair",
     """SELECT tenant_id, table_name, column_name, data_type FROM F_NEW UNION ALL SELECT o.tenant_id, o.table_name, o.column_name, o.data_type FROM F_OLD o

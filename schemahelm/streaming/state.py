@@ -145,7 +145,7 @@ def breaker_stream(stream: DataFrame, policy: BreakerPolicy, path: str, checkpoi
 
     def step(batch: DataFrame, batch_id: int) -> None:
         before = spark.read.parquet(f"{path}/state/batch_id={batch_id - 1}") if batch_id > 0 else None
-        rows, final = breaker_states(batch, policy, before)
+        rows, final = breaker_states(batch, policy, before, materialize=True)
         rows.write.mode("overwrite").parquet(f"{path}/rows/batch_id={batch_id}")
         if before is not None:
             final = final.unionByName(before.join(final.select("tkey"), "tkey", "left_anti"))

@@ -70,6 +70,12 @@ def test_reconcile_passes_with_one_equal_partner(spark):
     assert diff.reconcile(meta, target, ["column_name"]).count() == 0
 
 
+def test_reconcile_folds_shared_names(spark):
+    wide = lambda typ, n: spark.range(n).select(F.lit("t").alias("tenant_id"), F.col("id").cast("string").alias("table_name"), F.lit("id").alias("column_name"), F.lit(typ).alias("data_type"), *[F.lit(False).alias(c) for c in ("is_nullable", "is_unique", "has_default")], F.lit(None).cast("string").alias("default_value"))
+    rows = values(diff.reconcile(wide("int", 3000), wide("text", 2000), ["column_name"]), "status", "reason", "pairs")
+    assert rows == [("mismatched", "type: int != text", 6_000_000)]
+
+
 def test_apply_reaches_the_desired_state_and_repair_leaves_nothing_missing(spark):
     old = fields(spark, ("a", "x", "int"), ("a", "y", "int"), ("b", "z", "text"))
     new = fields(spark, ("a", "x", "text"), ("c", "w", "int"), ("b", "z", "text"))
