@@ -481,3 +481,24 @@ def test_apply_materialized_equals_lazy(spark):
     new = fields(spark, ("a", "x", "text"))
     lazy, stored = merge.apply(old, new), merge.apply(old, new, materialize=True)
     assert values(lazy.registry, "column_name", "data_type") == values(stored.registry, "column_name", "data_type") == [("x", "text")]
+
+
+def test_watch_dir_polls_until_stopped(spark, tmp_path):
+    import time
+
+    from schemahelm.streaming import state
+
+    folder = tmp_path / "w"
+    folder.mkdir()
+    (folder / "a.json").write_text('{"id":"a","name":"n","type":"widget"}')
+    seen = []
+
+    def on_change(changed, removed, batch_id):
+        seen.append((batch_id, [r.id for r in changed.select("id").collect()], removed.count()))
+
+    running = state.watch_dir(spark, str(folder), on_change, str(tmp_path / "s"), str(tmp_path / "cp"))
+    deadline = time.time() + 60
+    while len(seen) < 2 and time.time() < deadline and running.isActive:
+        time.sleep(0.5)
+    running.stop()
+    assert seen[0][1:] == (["a"], 0) and seen[1][1:] == ([], 0)
