@@ -29,14 +29,30 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return cut_lineage(df, name)
 
 
+def table_types(df: DataFrame) -> str:
+    """The columns of ``df`` as a schema string."""
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
 def crc32_of_id(doc_id: Column) -> Column:
     """crc32 of the id written as text."""
     return F.crc32(doc_id.cast("string").cast("binary"))
 
 
-def text_key(text: Column) -> Column:
-    """64-bit fingerprint of a text; null has its own."""
-    return F.xxhash64(text, F.lit("text"))
+def row_key() -> Column:
+    """64-bit fingerprint of a document's id and text."""
+    return F.xxhash64("doc_id", "text")
+
+
+def without_rows(docs: DataFrame, bad: DataFrame) -> DataFrame:
+    """``docs`` without the documents whose (row_key, doc_id) is in ``bad``; all columns as they are.
+
+    Written first, the list has a known size: Spark broadcasts it if it is small, else both sides meet in a shuffle.
+    """
+    bad = stash(bad.select(F.col("row_key").alias("__bad_key"), F.col("doc_id").alias("__bad_id")).distinct(), "bad")
+    keyed = docs.withColumn("__row_key", row_key())
+    met = (F.col("__row_key") == F.col("__bad_key")) & keyed["doc_id"].eqNullSafe(F.col("__bad_id"))
+    return keyed.join(bad, met, "left_anti").select(*docs.columns)
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

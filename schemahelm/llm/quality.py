@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from schemahelm.llm.common import crc32_of_id, raw, slices, stash
+from schemahelm.llm.common import crc32_of_id, raw, slices, stash, table_types
 
 FEATURES = (
     "log_words", "word_length", "distinct_words", "repeated_neighbours", "top_word", "symbols", "marked_words",
@@ -77,8 +77,7 @@ def with_statistics(docs: DataFrame, columns: list[str]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), stats], [*columns, "stats"])
 
     kept = docs.select(*columns, F.col("text").alias("_text"))
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema.fields)
-    return kept.mapInArrow(compute, f"{types}, stats array<double>")
+    return kept.mapInArrow(compute, f"{table_types(docs.select(*columns))}, stats array<double>")
 
 
 @dataclass(frozen=True)
@@ -167,7 +166,6 @@ def fit(rows: DataFrame, shrinkage: float = 0.1, ridge: float = 1e-3) -> Quadrat
 def score(rows: DataFrame, model: QuadraticDiscriminant, threshold: float = 0.3) -> DataFrame:
     """Rows with ``stats`` -> the other columns plus ``score`` and ``predicted``."""
     columns = [c for c in rows.columns if c != "stats"]
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*columns).schema.fields)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,7 +176,7 @@ def score(rows: DataFrame, model: QuadraticDiscriminant, threshold: float = 0.3)
                 [*(batch.column(c) for c in columns), pa.array(got), predicted], [*columns, "score", "predicted"]
             )
 
-    return rows.mapInArrow(compute, f"{types}, score double, predicted int")
+    return rows.mapInArrow(compute, f"{table_types(rows.select(*columns))}, score double, predicted int")
 
 
 def training_rows(stats: DataFrame, labels: DataFrame) -> DataFrame:
