@@ -166,7 +166,7 @@ def scan(files: DataFrame, threshold: float = 0.6) -> DataFrame:
     name, depth = F.element_at("_parts", -1), F.size("_parts") - 1
     is_file = F.coalesce(name.rlike(LICENCE_NAMES), F.lit(False))
     known = rows.where(is_file & F.col("licence").isNotNull()).select(_directory(F.col("_parts"), depth).alias("_dir"), depth.alias("_depth"), "licence", "cosine", "path")
-    best = F.min(F.struct((-F.col("cosine")).alias("c"), "path", "licence"))
+    best = F.min(F.struct((-F.round("cosine", 6)).alias("c"), "path", "licence"))
     known = known.groupBy("_dir", "_depth").agg(best.alias("b")).select("_dir", "_depth", F.col("b.licence").alias("_given"))
     # The chain of ancestors is made once for each directory that has files, not for each file.
     home = _directory(F.col("_parts"), depth)

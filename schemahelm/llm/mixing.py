@@ -113,36 +113,36 @@ def _quotas(rows: DataFrame, plan: MixPlan) -> tuple[DataFrame, int]:
     named = {(k[1:] if k else None): n for k, n in by_source.items()}
     aims = targets(named, plan)
     known = spark.createDataFrame(
-        [("" if s is None else "=" + s, n, float(aims[s])) for s, n in named.items()], "__sk string, source_size bigint, target double"
+        [("" if s is None else "=" + s, n, float(aims[s])) for s, n in named.items()], "__sk string, __source_size bigint, __target double"
     )
-    cells = _dealt(rows, plan, shards).groupBy("__sk", "__shard").agg(F.sum("__size").alias("cell")).join(known, "__sk")
+    cells = _dealt(rows, plan, shards).groupBy("__sk", "__shard").agg(F.sum("__size").alias("__cell")).join(known, "__sk")
     block, repeats = plan.block_tokens, plan.max_repeats
 
     def share_out(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("__sk", ignore_index=True)
-        cell, size = pdf["cell"].to_numpy(), pdf["source_size"].to_numpy()
+        cell, size = pdf["__cell"].to_numpy(), pdf["__source_size"].to_numpy()
         blocks = np.where(cell > 0, np.maximum(1, np.rint(cell / block)), 0).astype(np.int64)
-        votes = np.where(size > 0, pdf["target"].to_numpy() / np.maximum(size, 1), 0.0) * blocks
+        votes = np.where(size > 0, pdf["__target"].to_numpy() / np.maximum(size, 1), 0.0) * blocks
         quota = apportion(votes, int(np.rint(votes.sum())), repeats * blocks)
-        return pdf.assign(blocks=blocks, quota=quota)
+        return pdf.assign(__blocks=blocks, __quota=quota)
 
-    schema = "__sk string, __shard int, cell bigint, source_size bigint, target double, blocks bigint, quota bigint"
+    schema = "__sk string, __shard int, __cell bigint, __source_size bigint, __target double, __blocks bigint, __quota bigint"
     return cells.groupBy("__shard").applyInPandas(share_out, schema), shards
 
 
 def _taken(rows: DataFrame, quotas: DataFrame, plan: MixPlan, shards: int) -> DataFrame:
-    """Rows with __sk, __order, __size, __tie -> the same plus source_size, target and taken."""
+    """Rows with __sk, __order, __size, __tie -> the same plus __source_size, __target and __taken."""
     order = Window.partitionBy("__sk", "__shard").orderBy("__order", "__tie").rowsBetween(Window.unboundedPreceding, 0)
     placed = _dealt(rows, plan, shards).withColumn("__end", F.sum("__size").over(order)).join(quotas, ["__sk", "__shard"])
-    start, end, blocks = F.col("__end") - F.col("__size"), F.col("__end"), F.greatest("blocks", F.lit(1))
-    rest = F.col("quota") % blocks
+    start, end, blocks = F.col("__end") - F.col("__size"), F.col("__end"), F.greatest("__blocks", F.lit(1))
+    rest = F.col("__quota") % blocks
     first = F.pmod(F.xxhash64("__sk", "__shard", F.lit(plan.seed)), blocks)
-    bound = lambda i: F.floor(i * F.col("cell") / blocks).cast("bigint")
+    bound = lambda i: F.floor(i * F.col("__cell") / blocks).cast("bigint")
     overlap = lambda a, b: F.greatest(F.lit(0), F.least(end, b) - F.greatest(start, a))
     last = first + rest
     some = overlap(bound(first), bound(F.least(last, blocks))) + overlap(F.lit(0), bound(F.greatest(last - blocks, F.lit(0))))
-    whole = F.floor(F.col("quota") / blocks).cast("bigint")
-    return placed.withColumn("taken", (whole * F.col("__size") + some).cast("bigint"))
+    whole = F.floor(F.col("__quota") / blocks).cast("bigint")
+    return placed.withColumn("__taken", (whole * F.col("__size") + some).cast("bigint"))
 
 
 def _keyed(docs: DataFrame, plan: MixPlan) -> DataFrame:
@@ -164,7 +164,7 @@ def mix(docs: DataFrame, plan: MixPlan = MixPlan()) -> DataFrame:
     rows = stash(rows, "sizes")
     quotas, shards = _quotas(rows, plan)
     done = _taken(rows, stash(quotas, "quotas"), plan, shards)
-    return done.select("doc_id", "source", F.col("__size").alias("size"), "source_size", "target", "taken")
+    return done.select("doc_id", "source", F.col("__size").alias("size"), *(F.col(f"__{c}").alias(c) for c in ("source_size", "target", "taken")))
 
 
 def mixed_documents(docs: DataFrame, plan: MixPlan = MixPlan()) -> DataFrame:
@@ -173,7 +173,7 @@ def mixed_documents(docs: DataFrame, plan: MixPlan = MixPlan()) -> DataFrame:
     narrow = stash(sized.select("__sk", "__order", "__size"), "sizes")
     quotas, shards = _quotas(narrow, plan)
     done = _taken(sized, stash(quotas, "quotas"), plan, shards)
-    times = F.floor((F.col("taken") * 2 + F.col("__size")) / (F.greatest("__size", F.lit(1)) * 2)).cast("int")
+    times = F.floor((F.col("__taken") * 2 + F.col("__size")) / (F.greatest("__size", F.lit(1)) * 2)).cast("int")
     copies = done.select(*docs.columns, times.alias("__times")).where("__times > 0")
     return copies.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
 
