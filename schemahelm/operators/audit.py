@@ -216,7 +216,10 @@ def field_history(audit: DataFrame, keys: Sequence[str] = ("tenant_id", "table_n
     local = Window.partitionBy(*part).orderBy(*order)
     rows = df.withColumn("_no", F.row_number().over(local)).withColumn("_own", F.lag(tail).over(local))
     prev = F.when(F.col("_no") == 1, F.col("_prev")).otherwise(F.col("_own"))
-    rows = rows.join(carried, part, "left").withColumn("_before", prev)
+    # Null-safe: rows of actions have no table or column, and they are a history as well.
+    held = carried.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(part)), "_offset", "_prev")
+    met = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(part)])
+    rows = rows.join(held, met, "left").withColumn("_before", prev)
     gap = F.unix_micros(F.col("applied_at").cast("timestamp")) - F.unix_micros(F.col("_before.applied_at").cast("timestamp"))
     return rows.select(
         "id",

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from schemahelm.schemas import DIFF_ATTRIBUTES, DIFF_KEY
+from schemahelm.schemas import DIFF_ATTRIBUTES, DIFF_KEY, FIELD_KEY, STAMPS
 from schemahelm.sources.catalog import is_reserved
 
 MARKERS = {"added": "+", "deleted": "-", "updated": "±"}
@@ -25,17 +25,18 @@ def _same(name: str, left: Column, right: Column) -> Column:
     return left.eqNullSafe(right)
 
 
-def diff(old: DataFrame, new: DataFrame, keys: Sequence[str] = DIFF_KEY, compare: Sequence[str] | str = DIFF_ATTRIBUTES) -> DataFrame:
+def diff(old: DataFrame, new: DataFrame, keys: Sequence[str] = DIFF_KEY, compare: Sequence[str] | str = "all") -> DataFrame:
     """Every key of either side with ``change_type`` added, deleted, updated or unchanged.
 
-    ``compare`` names the attributes that make a row updated; ``"all"`` takes every shared column. Keys are
-    expected to be unique per side (:func:`schemahelm.operators.quality.lint_registry` reports duplicates).
+    ``compare`` names the attributes that make a row updated; ``"all"`` takes the whole definition, that is every
+    shared column but the time stamps, and ``"reported"`` those that a drift report shows. Keys are expected to be unique per side (:func:`schemahelm.operators.quality.lint_registry` reports duplicates).
     """
     keys = list(keys)
     old_cols = [c for c in old.columns if c not in keys]
     new_cols = [c for c in new.columns if c not in keys]
     shared = [c for c in old_cols if c in new_cols]
-    attrs = shared if compare == "all" else [c for c in compare if c in shared]
+    compare = {"all": [c for c in shared if c not in STAMPS], "reported": DIFF_ATTRIBUTES}.get(compare, compare) if isinstance(compare, str) else compare
+    attrs = [c for c in compare if c in shared]
     left = old.select(*keys, *[F.col(c).alias(f"old_{c}") for c in old_cols], F.lit(True).alias("in_old"))
     right = new.select(*keys, *[F.col(c).alias(f"new_{c}") for c in new_cols], F.lit(True).alias("in_new"))
     same = reduce(lambda x, y: x & y, [_same(c, F.col(f"old_{c}"), F.col(f"new_{c}")) for c in attrs], F.lit(True))
@@ -110,46 +111,37 @@ def _reason(m, t) -> Column:
     )
 
 
-def _definitions(df: DataFrame, keys: list[str], fold: bool) -> DataFrame:
-    """Definitions per key with ``copies``; folded, equal ones become one row before anything is joined."""
-    rows = df.select(*keys, *_RECONCILED)
-    if fold:
-        return rows.groupBy(*keys, *_RECONCILED).agg(F.count(F.lit(1)).alias("copies"))
-    return rows.withColumn("copies", F.lit(1).cast("bigint"))
+def _folded(df: DataFrame, keys: list[str], side: str) -> DataFrame:
+    """Distinct definitions per key with the number of their ``copies``; equal ones become one row before anything is joined."""
+    rows = df.groupBy(*keys, *_RECONCILED).agg(F.count(F.lit(1)).alias("copies"))
+    return rows.select(*keys, *[F.col(c).alias(f"{side}_{c}") for c in (*_RECONCILED, "copies")], F.lit(True).alias(f"_{side}"))
 
 
-def reconcile(meta: DataFrame, target: DataFrame, keys: Sequence[str] = DIFF_KEY, fold: bool | None = None) -> DataFrame:
+def reconcile(meta: DataFrame, target: DataFrame, keys: Sequence[str] = DIFF_KEY) -> DataFrame:
     """Rows of ``status`` missing_in_target, missing_in_meta or mismatched, with the first difference.
 
     Where a key occurs several times in the target, a definition passes if any partner equals it; otherwise
-    each differing partner is reported. Keys that name a column in a table identify one definition. Wider
-    keys, such as the bare column name, may be shared by very many tables; equal definitions are then folded
-    first (``fold``), and ``pairs`` tells how many combinations of rows a reported line stands for.
+    each differing partner is reported. Equal definitions of a key, such as a bare column name that very many tables
+    share, are folded first, and ``pairs`` tells how many combinations of rows a reported line stands for. One full
+    join of the folded sides gives all three kinds.
     """
     keys = list(keys)
-    if fold is None:
-        fold = not {"table_name", "column_name"} <= set(keys)
-    metas, targets = _definitions(meta, keys, fold), _definitions(target, keys, fold)
-    left = metas.select(*keys, *[F.col(c).alias(f"meta_{c}") for c in (*_RECONCILED, "copies")])
-    right = targets.select(*keys, *[F.col(c).alias(f"target_{c}") for c in (*_RECONCILED, "copies")], F.lit(True).alias("_hit"))
     m, t = (lambda c: F.col(f"meta_{c}")), (lambda c: F.col(f"target_{c}"))
+    joined = _folded(meta, keys, "meta").join(_folded(target, keys, "target"), keys, "full")
     default = lambda side: F.when(side("has_default"), side("default_value"))
     equal = reduce(lambda a, b: a & b, [m(c).eqNullSafe(t(c)) for c in _RECONCILED[:4]]) & default(m).eqNullSafe(default(t))
-    pairs = left.join(right, keys, "left").withColumn("_equal", F.col("_hit").isNotNull() & equal)
-    # The window groups by the join key and more, so a shuffle join's partitioning serves it as it is.
+    both = F.col("_meta").isNotNull() & F.col("_target").isNotNull()
+    # The window groups by the join key and more, so a shuffle join's partitioning serves it as it is. Its groups hold
+    # the distinct definitions that one key has in the target.
     own = Window.partitionBy(*keys, *[f"meta_{c}" for c in _RECONCILED])
-    pairs = pairs.withColumn("_passes", F.max("_equal").over(own)).where(~F.col("_passes"))
-    missing = F.col("_hit").isNull()
-    left_out = pairs.select(
+    rows = joined.withColumn("_passes", F.max(both & equal).over(own)).where(F.col("_meta").isNull() | ~F.col("_passes"))
+    status = F.when(both, F.lit("mismatched")).when(F.col("_target").isNull(), F.lit("missing_in_target")).otherwise(F.lit("missing_in_meta"))
+    return rows.select(
         *keys,
-        F.when(missing, F.lit("missing_in_target")).otherwise(F.lit("mismatched")).alias("status"),
-        F.when(~missing, _reason(m, t)).alias("reason"),
-        (m("copies") * F.coalesce(t("copies"), F.lit(1))).alias("pairs"),
+        status.alias("status"),
+        F.when(both, _reason(m, t)).alias("reason"),
+        (F.coalesce(m("copies"), F.lit(1)) * F.coalesce(t("copies"), F.lit(1))).alias("pairs"),
     )
-    right_out = targets.join(meta.select(*keys), keys, "left_anti").select(
-        *keys, F.lit("missing_in_meta").alias("status"), F.lit(None).cast("string").alias("reason"), F.col("copies").alias("pairs")
-    )
-    return left_out.unionByName(right_out)
 
 
 def repair(meta: DataFrame, target: DataFrame, keys: Sequence[str] = DIFF_KEY) -> DataFrame:
@@ -187,7 +179,7 @@ def reconcile_tables(left: DataFrame, right: DataFrame, keys: Sequence[str], col
 # --- snapshots, membership, sets --------------------------------------------------------------------------
 
 
-def diff_snapshots(snapshots: DataFrame, tenant: str, a: str, b: str, keys: Sequence[str] = ("table_name", "column_name")) -> DataFrame:
+def diff_snapshots(snapshots: DataFrame, tenant: str, a: str, b: str, keys: Sequence[str] = FIELD_KEY[1:]) -> DataFrame:
     """Diff of two versions of one tenant's registry; both reads prune to their own partitions."""
     side = lambda v: snapshots.where((F.col("tenant_id") == tenant) & (F.col("semver") == v)).drop("tenant_id", "semver", "snapshot_id")
     return diff(side(a), side(b), keys, compare="all")

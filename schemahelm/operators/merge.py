@@ -1,8 +1,8 @@
 """Upserts, deletes and applied plans over registry tables.
 
-The change set of an upsert is usually far smaller than the table. The table is therefore only *filtered*
-by the change keys (semi and anti join): when Spark finds the keys small enough to broadcast, the table is
-streamed without a shuffle, and otherwise both sides shuffle on the full key.
+An upsert is one full join on the whole key: each side is read and shuffled once, whatever the share of changed
+rows. Deletes only filter the table by the change keys (an anti join), which streams the table where the keys
+are small enough to broadcast.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from schemahelm.functions import typing as ty
 from schemahelm.functions.text import dsn_has_database, semver_lt
 from schemahelm.operators.diff import diff, diff_summary
-from schemahelm.schemas import DEFAULT_PREFIX, DIFF_ATTRIBUTES, FIELD_KEY
+from schemahelm.schemas import DEFAULT_PREFIX, FIELD_KEY, STAMPS
 from schemahelm.session import cut_lineage
 from schemahelm.sources.catalog import is_reserved
 
@@ -24,16 +24,27 @@ from schemahelm.sources.catalog import is_reserved
 def upsert(base: DataFrame, changes: DataFrame, keys: Sequence[str] = FIELD_KEY, now: Column | None = None) -> DataFrame:
     """``base`` with ``changes`` inserted or replaced by key.
 
-    With ``now``, a base that has ``created_at`` and ``updated_at`` keeps the first and gets the second set.
+    Each side is read once and meets the other in one full join. A replaced row keeps the ``created_at`` of the base; with
+    ``now``, replaced and inserted rows get it as ``updated_at``, and inserted ones as ``created_at`` too. Columns that the
+    changes lack are NULL in their rows, columns that the base lacks are NULL in untouched rows.
     """
     keys = list(keys)
-    untouched = base.join(changes.select(*keys), keys, "left_anti")
-    if now is None or "created_at" not in base.columns:
-        return untouched.unionByName(changes, allowMissingColumns=True)
-    stamped = changes.drop("created_at", "updated_at")
-    born = base.join(changes.select(*keys), keys, "left_semi").select(*keys, "created_at")
-    stamped = stamped.join(born, keys, "left").withColumn("created_at", F.coalesce("created_at", now)).withColumn("updated_at", now)
-    return untouched.unionByName(stamped, allowMissingColumns=True)
+    stamped = "created_at" in base.columns
+    names = [*base.columns, *(c for c in changes.columns if c not in base.columns)]
+    old = base.select(*keys, *(F.col(c).alias(f"old_{c}") for c in base.columns if c not in keys))
+    new = changes.select(*keys, *(F.col(c).alias(f"new_{c}") for c in changes.columns if c not in keys), F.lit(True).alias("_new"))
+    hit = F.col("_new").isNotNull()
+
+    def column(c: str) -> Column:
+        before = F.col(f"old_{c}") if c in base.columns else F.lit(None)
+        after = F.col(f"new_{c}") if c in changes.columns else F.lit(None)
+        if c == "created_at" and stamped:
+            after = F.coalesce(before, after if now is None else now)
+        elif c == "updated_at" and stamped and now is not None:
+            after = now
+        return F.when(hit, after).otherwise(before).alias(c)
+
+    return old.join(new, keys, "full").select(*(F.col(c) if c in keys else column(c) for c in names))
 
 
 def upsert_counts(base: DataFrame, changes: DataFrame, keys: Sequence[str] = FIELD_KEY, by: Sequence[str] = ()) -> DataFrame:
@@ -75,7 +86,7 @@ def apply(
     actor: str = "",
     now: Column | None = None,
     keys: Sequence[str] = FIELD_KEY,
-    compare: Sequence[str] | str = DIFF_ATTRIBUTES,
+    compare: Sequence[str] | str = "all",
     dry_run: bool = False,
     by: Sequence[str] = (),
     required_version: str | None = None,
@@ -84,8 +95,9 @@ def apply(
 ) -> Applied | DataFrame:
     """Bring a registry to the desired state: diff, delete, upsert, audit rows and a summary.
 
-    A dry run returns the summary only. Everything hangs on one diff; ``materialize`` writes it once to the
-    shared folder, which pays off where several outputs are wanted from large tables.
+    A dry run returns the summary only. Everything hangs on one diff, and the new registry is made from its rows without
+    reading either side again; ``materialize`` writes it once to the shared folder, which pays off where several outputs
+    are wanted from large tables. Columns that only the current registry has keep their values.
     """
     from schemahelm.operators.audit import audit_rows
 
@@ -98,20 +110,41 @@ def apply(
     if dry_run:
         return summary
     keys = list(keys)
-    deleted = changes.where("change_type = 'deleted'")
-    upserted = changes.where("change_type in ('added', 'updated')").select(
-        *keys, *[F.col(f"new_{c}").alias(c) for c in desired.columns if c not in keys]
-    )
-    registry = upsert(delete_keys(current, deleted, keys), upserted, keys, now)
-    return Applied(registry, audit_rows(changes, actor, now, keys), summary)
+    return Applied(_after(changes, current.columns, desired.columns, keys, now), audit_rows(changes, actor, now, keys), summary)
+
+
+def _after(changes: DataFrame, current: Sequence[str], desired: Sequence[str], keys: list[str], now: Column | None) -> DataFrame:
+    """The registry after the changes: unchanged rows as they were, added and updated ones as desired."""
+    stamped = all(c in current for c in STAMPS)
+    changed = F.col("change_type") != "unchanged"
+
+    def column(c: str) -> Column:
+        if c in keys:
+            return F.col(c)
+        before = F.col(f"old_{c}") if c in current else F.lit(None)
+        after = F.col(f"new_{c}") if c in desired else before
+        if stamped and c == "created_at":
+            after = F.coalesce(before, after if now is None else now)
+        elif stamped and c == "updated_at" and now is not None:
+            after = now
+        return F.when(changed, after).otherwise(before).alias(c)
+
+    names = [*current, *(c for c in desired if c not in current)]
+    return changes.where("change_type <> 'deleted'").select(*map(column, names))
 
 
 # --- database scans ---------------------------------------------------------------------------------------
 
 
-def merge_validators(scan: DataFrame, existing: DataFrame, keys: Sequence[str] = ("table_name", "column_name")) -> DataFrame:
-    """Keep configured validators on a rescan: the scanned value wins where it has one."""
-    keys = list(keys)
+def merge_validators(scan: DataFrame, existing: DataFrame, keys: Sequence[str] = FIELD_KEY) -> DataFrame:
+    """Keep configured validators on a rescan: the scanned value wins where it has one.
+
+    The key has every column of the registry's key that the registry has, so equal names of two tenants or databases
+    stay apart.
+    """
+    keys = [k for k in keys if k in scan.columns]
+    if not set(FIELD_KEY) & set(existing.columns) <= set(keys):
+        raise ValueError(f"the scan needs the key columns of the registry: {sorted(set(FIELD_KEY) & set(existing.columns) - set(keys))}")
     old = existing.where(F.coalesce("validator", F.lit("")) != "").groupBy(*keys).agg(F.max("validator").alias("_old"))
     found = F.nullif(F.col("validator"), F.lit("")) if "validator" in scan.columns else F.lit(None).cast("string")
     return (

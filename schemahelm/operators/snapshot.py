@@ -12,8 +12,8 @@ from schemahelm.functions.text import next_semver
 from schemahelm.operators.audit import action_rows
 from schemahelm.operators.diff import diff, diff_summary
 from schemahelm.operators.merge import Applied, apply
+from schemahelm.schemas import FIELD_KEY, STAMPS
 
-_KEY = ("tenant_id", "table_name", "column_name")
 _META = ("tenant_id", "semver", "snapshot_id", "taken_at", "author")
 
 
@@ -51,7 +51,8 @@ class Created(NamedTuple):
 def create_snapshots(fields: DataFrame, snapshots: DataFrame, bump: str = "patch", compare: Sequence[str] | str = "all") -> Created:
     """Next snapshot of every tenant that has fields: the rows to append, and one summary row per tenant.
 
-    A tenant without fields gets none. The summary is ``+added -deleted`` against the tenant's latest
+    Rows hold the whole definition of a field, all columns of ``fields`` but the time stamps, whatever columns older
+    snapshots have; a summary compares what both have. A tenant without fields gets none. The summary is ``+added -deleted`` against the tenant's latest
     snapshot, empty for the first one.
     """
     tenants = fields.select("tenant_id").distinct()
@@ -62,10 +63,12 @@ def create_snapshots(fields: DataFrame, snapshots: DataFrame, bump: str = "patch
         (F.col("snapshot_id") + 1).alias("snapshot_id"),
         (F.col("semver") != "0.0.0").alias("_has_last"),
     )
-    payload = [c for c in snapshots.columns if c not in _META and c in fields.columns]
+    payload = [c for c in fields.columns if c not in _META and c not in STAMPS]
+    shared = [c for c in payload if c in snapshots.columns]
+    keys = [c for c in FIELD_KEY if c == "tenant_id" or c in shared]
     rows = fields.select("tenant_id", *payload).join(new.drop("_has_last"), "tenant_id")
-    previous = snapshots.join(last.select("tenant_id", "semver"), ["tenant_id", "semver"], "left_semi").select("tenant_id", *payload)
-    counts = diff_summary(diff(previous, fields.select("tenant_id", *payload), _KEY, compare), ["tenant_id"])
+    previous = snapshots.join(last.select("tenant_id", "semver"), ["tenant_id", "semver"], "left_semi").select("tenant_id", *shared)
+    counts = diff_summary(diff(previous, fields.select("tenant_id", *shared), keys, compare), ["tenant_id"])
     text = F.concat(F.lit("+"), F.col("added").cast("string"), F.lit(" -"), F.col("deleted").cast("string"))
     summary = new.join(counts, "tenant_id", "left").select(
         "tenant_id", "semver", F.when(F.col("_has_last"), text).otherwise(F.lit("")).alias("summary")
@@ -80,10 +83,13 @@ class RolledBack(NamedTuple):
 
 def rollback(current: DataFrame, snapshots: DataFrame, tenant: str, semver: str, actor: str = "", now: Column | None = None, compare: Sequence[str] | str = "all") -> RolledBack:
     """Apply a snapshot to a tenant's registry; the result carries the registry, its audit rows and the
-    action row of the rollback itself."""
+    action row of the rollback itself.
+
+    Fields are matched by their whole key, database included. Columns that the snapshot lacks keep their current values.
+    """
     mine = current.where(F.col("tenant_id") == tenant)
     wanted = get_snapshot(snapshots, tenant, semver).drop("semver", "snapshot_id", "taken_at", "author")
-    applied = apply(mine, wanted, actor, now, _KEY, compare)
+    applied = apply(mine, wanted, actor, now, FIELD_KEY, compare)
     text = F.concat(F.lit("+"), F.col("added").cast("string"), F.lit(" -"), F.col("deleted").cast("string"))
     action = applied.summary.select(
         F.lit(tenant).alias("tenant_id"),

@@ -10,7 +10,10 @@ from schemahelm.operators.diff import diff
 from schemahelm.plans.changes import _DIFF
 from schemahelm.plans.registry import joined, query, ts_sql, ts_text
 
-_MEMBERS = ["column_name", "data_type", "default_value", "has_default", "is_nullable", "is_unique", "table_name", "tenant_id", "validator"]
+_MEMBERS = [
+    "column_name", "data_type", "db_id", "default_value", "driver_extras", "has_default", "is_nullable", "is_unique", "kind", "label_key", "table_name",
+    "tenant_id", "validator", "widget", "widget_config",
+]
 _DOC = lambda side: "to_json({" + ", ".join(f"'{m}': {m if m in ('column_name', 'table_name', 'tenant_id') else side + '_' + m}" for m in _MEMBERS) + "})::VARCHAR"
 _NDIFF = " + ".join(
     f"CASE WHEN old_{m} IS NOT DISTINCT FROM new_{m} THEN 0 ELSE 1 END" for m in _MEMBERS if m not in ("column_name", "table_name", "tenant_id")
@@ -22,12 +25,12 @@ _NDIFF = " + ".join(
     _DIFF
     + f"""SELECT tenant_id, 'bob' AS actor, CASE change_type WHEN 'added' THEN 'add' WHEN 'deleted' THEN 'delete' ELSE 'update' END AS action, table_name, column_name,
  CASE WHEN change_type <> 'added' THEN {_DOC('old')} END AS before_json, CASE WHEN change_type <> 'deleted' THEN {_DOC('new')} END AS after_json,
- CASE change_type WHEN 'added' THEN 9 WHEN 'deleted' THEN 0 ELSE {_NDIFF} END AS added_count, CASE change_type WHEN 'added' THEN 0 WHEN 'deleted' THEN 9 ELSE {_NDIFF} END AS removed_count,
- CASE WHEN change_type = 'updated' THEN 2 * ({_NDIFF}) ELSE 9 END AS change_count FROM chg WHERE change_type <> 'unchanged'""",
+ CASE change_type WHEN 'added' THEN 15 WHEN 'deleted' THEN 0 ELSE {_NDIFF} END AS added_count, CASE change_type WHEN 'added' THEN 0 WHEN 'deleted' THEN 15 ELSE {_NDIFF} END AS removed_count,
+ CASE WHEN change_type = 'updated' THEN 2 * ({_NDIFF}) ELSE 15 END AS change_count FROM chg WHERE change_type <> 'unchanged'""",
 )
 def _(x):
     keys = ["tenant_id", "table_name", "column_name"]
-    return a.audit_rows(diff(x.F_OLD.drop("db_id"), x.F_NEW.drop("db_id"), keys), "bob", keys=keys).drop("applied_at")
+    return a.audit_rows(diff(x.F_OLDX.drop("k"), x.F_NEWX.drop("k"), keys), "bob", keys=keys).drop("applied_at")
 
 
 @query(
@@ -134,6 +137,17 @@ def field_history(x):
     return a.field_history(x.F_AUD).withColumn("applied_at", ts_text("applied_at"))
 
 
+# Rows of actions have neither table nor column.
+_WITH_ACTIONS = "SELECT * REPLACE (CASE WHEN action = 'snapshot' THEN NULL ELSE table_name END AS table_name, CASE WHEN action = 'snapshot' THEN NULL ELSE column_name END AS column_name) FROM F_AUD"
+
+
+@query("w9_history_of_actions", _HISTORY.replace("FROM F_AUD", f"FROM ({_WITH_ACTIONS}) a"))
+def _(x):
+    own = lambda c: F.when(F.col("action") != "snapshot", F.col(c)).alias(c)
+    rows = x.F_AUD.select(*(own(c) if c in ("table_name", "column_name") else c for c in x.F_AUD.columns))
+    return a.field_history(rows).withColumn("applied_at", ts_text("applied_at"))
+
+
 # --- paging -----------------------------------------------------------------------------------------------
 
 

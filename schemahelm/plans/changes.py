@@ -8,32 +8,39 @@ from schemahelm.functions import jsondiff
 from schemahelm.operators import diff as d
 from schemahelm.plans.registry import query
 
-_SAME = """o.data_type = n.data_type AND coalesce(o.validator,'') = coalesce(n.validator,'') AND o.is_nullable = n.is_nullable
+_REPORTED = """o.data_type = n.data_type AND coalesce(o.validator,'') = coalesce(n.validator,'') AND o.is_nullable = n.is_nullable
  AND o.is_unique = n.is_unique AND o.has_default = n.has_default AND o.default_value IS NOT DISTINCT FROM n.default_value"""
-_DIFF = f"""WITH chg AS (
+_SHOWN = ["kind", "driver_extras", "label_key", "widget", "widget_config"]
+_SAME = _REPORTED + " AND o.db_id = n.db_id" + "".join(f" AND o.{c} IS NOT DISTINCT FROM n.{c}" for c in _SHOWN)
+
+
+def _diff_sql(same: str) -> str:
+    both = ["db_id", "data_type", "validator", "is_nullable", "is_unique", "has_default", "default_value", *_SHOWN]
+    sides = ", ".join(f"o.{c} AS old_{c}, n.{c} AS new_{c}" for c in both)
+    return f"""WITH chg AS (
  SELECT coalesce(o.tenant_id, n.tenant_id) AS tenant_id, coalesce(o.table_name, n.table_name) AS table_name,
   coalesce(o.column_name, n.column_name) AS column_name,
-  CASE WHEN o.table_name IS NULL THEN 'added' WHEN n.table_name IS NULL THEN 'deleted' WHEN {_SAME} THEN 'unchanged' ELSE 'updated' END AS change_type,
-  o.data_type AS old_data_type, n.data_type AS new_data_type, o.validator AS old_validator, n.validator AS new_validator,
-  o.is_nullable AS old_is_nullable, n.is_nullable AS new_is_nullable, o.is_unique AS old_is_unique, n.is_unique AS new_is_unique,
-  o.has_default AS old_has_default, n.has_default AS new_has_default, o.default_value AS old_default_value, n.default_value AS new_default_value
- FROM F_OLD o FULL JOIN F_NEW n ON o.tenant_id = n.tenant_id AND o.table_name = n.table_name AND o.column_name = n.column_name)
+  CASE WHEN o.table_name IS NULL THEN 'added' WHEN n.table_name IS NULL THEN 'deleted' WHEN {same} THEN 'unchanged' ELSE 'updated' END AS change_type, {sides}
+ FROM F_OLDX o FULL JOIN F_NEWX n ON o.tenant_id = n.tenant_id AND o.table_name = n.table_name AND o.column_name = n.column_name)
 """
+
+
+_DIFF = _diff_sql(_SAME)
 _COLS = ["tenant_id", "table_name", "column_name", "change_type"]
 
 
-def changes(x):
-    return d.diff(x.F_OLD, x.F_NEW)
+def changes(x, compare="all"):
+    return d.diff(x.F_OLDX.drop("k"), x.F_NEWX.drop("k"), compare=compare)
 
 
-@query("d1_registry_diff", _DIFF + "SELECT tenant_id, table_name, column_name, change_type, old_data_type, new_data_type, old_validator, new_validator FROM chg")
+@query("d1_registry_diff", _DIFF + f"SELECT tenant_id, table_name, column_name, change_type, old_data_type, new_data_type, old_validator, new_validator, {', '.join(f'old_{c}, new_{c}' for c in _SHOWN)} FROM chg")
 def _(x):
-    return changes(x).select(*_COLS, "old_data_type", "new_data_type", "old_validator", "new_validator")
+    return changes(x).select(*_COLS, "old_data_type", "new_data_type", "old_validator", "new_validator", *(f"{s}_{c}" for c in _SHOWN for s in ("old", "new")))
 
 
 @query(
     "d2_drift_report",
-    _DIFF
+    _diff_sql(_REPORTED)
     + """SELECT tenant_id, table_name, column_name, change_type, CASE change_type WHEN 'added' THEN '+' WHEN 'deleted' THEN '-' ELSE '±' END AS marker,
  CASE change_type WHEN 'added' THEN '(' || new_data_type || ')' WHEN 'deleted' THEN '(' || old_data_type || ')' ELSE concat_ws(', ',
   CASE WHEN old_data_type <> new_data_type THEN 'type: ' || old_data_type || ' → ' || new_data_type END,
@@ -45,7 +52,7 @@ def _(x):
  FROM chg WHERE change_type <> 'unchanged'""",
 )
 def _(x):
-    return d.diff_report(changes(x)).drop("line")
+    return d.diff_report(changes(x, "reported")).drop("line")
 
 
 _COUNTS = ", ".join(f"count(*) FILTER (change_type = '{k}') AS {k}" for k in ("added", "deleted", "updated", "unchanged"))
@@ -190,13 +197,15 @@ def _(x):
 @query(
     "d12_diff_snapshots",
     """WITH a AS (SELECT * FROM F_SNAP WHERE tenant_id = 't1' AND semver = '0.0.1'), b AS (SELECT * FROM F_SNAP WHERE tenant_id = 't1' AND semver = '0.0.3')
- SELECT coalesce(a.table_name, b.table_name) AS table_name, coalesce(a.column_name, b.column_name) AS column_name,
-  CASE WHEN a.table_name IS NULL THEN 'added' WHEN b.table_name IS NULL THEN 'deleted' WHEN a.data_type = b.data_type THEN 'unchanged' ELSE 'updated' END AS change_type,
-  a.data_type AS old_data_type, b.data_type AS new_data_type
- FROM a FULL JOIN b ON a.table_name = b.table_name AND a.column_name = b.column_name""",
+ SELECT coalesce(a.db_id, b.db_id) AS db_id, coalesce(a.table_name, b.table_name) AS table_name, coalesce(a.column_name, b.column_name) AS column_name,
+  CASE WHEN a.table_name IS NULL THEN 'added' WHEN b.table_name IS NULL THEN 'deleted' WHEN a.data_type = b.data_type AND a.widget = b.widget THEN 'unchanged' ELSE 'updated' END AS change_type,
+  a.data_type AS old_data_type, b.data_type AS new_data_type, a.widget AS old_widget, b.widget AS new_widget
+ FROM a FULL JOIN b ON a.db_id = b.db_id AND a.table_name = b.table_name AND a.column_name = b.column_name""",
 )
 def _(x):
-    return d.diff_snapshots(x.F_SNAP, "t1", "0.0.1", "0.0.3")
+    return d.diff_snapshots(x.F_SNAP, "t1", "0.0.1", "0.0.3").select(
+        "db_id", "table_name", "column_name", "change_type", "old_data_type", "new_data_type", "old_widget", "new_widget"
+    )
 
 
 _WANTED = """SELECT CASE WHEN user_id % 4 = 0 THEN user_id + 1000000 WHEN user_id % 4 = 1 THEN user_id + 1 ELSE user_id END AS user_id, role_id FROM F_UROLES"""

@@ -34,6 +34,33 @@ UNION ALL
 SELECT tenant_id, db_id, table_name, 'new_' || substr(column_name, 5), 'text', true, false, false, CAST(NULL AS STRING), ''
 FROM F_OLD WHERE CAST(substr(column_name, 5) AS BIGINT) % 13 = 0"""
 
+# The same two registries with the whole definitions; some of the new ones differ only in what is shown.
+VIEWS["F_OLDX"] = """
+SELECT f.*, CASE WHEN data_type IN ('int', 'decimal') THEN 'number' ELSE 'string' END AS kind,
+       CASE WHEN k % 8 = 0 THEN '{"ttlSeconds":' || CAST(k % 60 AS STRING) || '}' END AS driver_extras,
+       CASE WHEN k % 3 = 0 THEN 'label.' || column_name END AS label_key, CASE k % 4 WHEN 0 THEN 'core://auto' WHEN 1 THEN 'plugin://text' ELSE '' END AS widget,
+       '{"rows":' || CAST(k % 5 AS STRING) || '}' AS widget_config
+FROM (SELECT f.*, CAST(substr(column_name, 5) AS BIGINT) AS k FROM F_OLD f) f"""
+
+VIEWS["F_NEWX"] = """
+SELECT f.*, CASE WHEN k % 27 = 1 THEN 'any' WHEN data_type IN ('int', 'decimal', 'bigint') THEN 'number' ELSE 'string' END AS kind,
+       CASE WHEN k % 8 = 0 AND k % 24 <> 0 THEN '{"ttlSeconds":' || CAST(k % 60 AS STRING) || '}' END AS driver_extras,
+       CASE WHEN k % 3 = 0 THEN 'label.' || column_name WHEN k % 19 = 1 THEN 'label.other' END AS label_key,
+       CASE k % 4 WHEN 0 THEN 'core://auto' WHEN 1 THEN 'plugin://text' ELSE CASE WHEN k % 17 = 0 THEN 'plugin://select' ELSE '' END END AS widget,
+       '{"rows":' || CAST(CASE WHEN k % 23 = 0 THEN 9 ELSE k % 5 END AS STRING) || '}' AS widget_config
+FROM (SELECT f.*, CAST(substr(column_name, 5) AS BIGINT) AS k FROM F_NEW f) f"""
+
+# Two databases of a tenant that share tables and columns.
+VIEWS["F_OLD2"] = """
+SELECT * FROM F_OLDX UNION ALL
+SELECT tenant_id, db_id + 50, table_name, column_name, 'text', is_nullable, is_unique, has_default, default_value, validator, k, kind, driver_extras, label_key, 'second', widget_config
+FROM F_OLDX WHERE k % 4 = 0"""
+
+VIEWS["F_NEW2"] = """
+SELECT * FROM F_NEWX UNION ALL
+SELECT tenant_id, db_id + 50, table_name, column_name, data_type, is_nullable, is_unique, has_default, default_value, validator, k, kind, driver_extras, label_key, 'changed', widget_config
+FROM F_NEWX WHERE k % 8 = 0"""
+
 _CAT_TABLE = """CASE WHEN l_orderkey % 17 = 0 THEN 'meta_users_' WHEN l_orderkey % 19 = 0 THEN 'pg_stat_' ELSE 'tbl_' END || CAST(l_orderkey AS STRING)"""
 
 VIEWS["F_CAT"] = f"""
@@ -129,10 +156,11 @@ SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN 'mysql' ELSE 'postgres'
 FROM part"""
 
 VIEWS["F_SNAP"] = """
-SELECT tenant_id, '0.0.' || CAST(s.n AS STRING) AS semver, CAST(s.n AS BIGINT) AS snapshot_id, table_name, column_name,
-       CASE WHEN s.n = 3 AND has_default THEN 'bigint' ELSE data_type END AS data_type
-FROM F_OLD CROSS JOIN (VALUES (1), (2), (3)) AS s(n)
-WHERE CAST(substr(column_name, 5) AS BIGINT) % (s.n + 3) <> 0"""
+SELECT tenant_id, '0.0.' || CAST(s.n AS STRING) AS semver, CAST(s.n AS BIGINT) AS snapshot_id, db_id, table_name, column_name,
+       CASE WHEN s.n = 3 AND has_default THEN 'bigint' ELSE data_type END AS data_type, is_nullable, is_unique, has_default, default_value,
+       validator, k, kind, driver_extras, label_key, CASE WHEN s.n = 3 AND k % 7 = 1 THEN 'plugin://shown' ELSE widget END AS widget, widget_config
+FROM F_OLD2 CROSS JOIN (VALUES (1), (2), (3)) AS s(n)
+WHERE k % (s.n + 3) <> 0"""
 
 VIEWS["F_REG"] = """
 SELECT c_custkey AS doc_id, '{"version":"' || CASE WHEN c_custkey % 2 = 0 THEN '0.1' ELSE '0.3' END || '","fields":[{"table":"t'
@@ -141,7 +169,10 @@ SELECT c_custkey AS doc_id, '{"version":"' || CASE WHEN c_custkey % 2 = 0 THEN '
 FROM customer"""
 
 # Views that read other views.
-_NEEDS = {"F_NEW": ["F_OLD"], "F_SNAP": ["F_OLD"]}
+_NEEDS = {
+    "F_NEW": ["F_OLD"], "F_OLDX": ["F_OLD"], "F_NEWX": ["F_OLD", "F_NEW"], "F_OLD2": ["F_OLD", "F_OLDX"],
+    "F_NEW2": ["F_OLD", "F_NEW", "F_NEWX"], "F_SNAP": ["F_OLD", "F_OLDX", "F_OLD2"],
+}
 
 
 def with_views(sql: str) -> str:

@@ -49,7 +49,7 @@ _NOW = "TIMESTAMP '2024-06-01 12:00:00'"
 )
 def _(x):
     now = F.lit("2024-06-01 12:00:00").cast("timestamp_ntz")
-    out = ev.change_events(diff(x.F_OLD, x.F_NEW), now)
+    out = ev.change_events(diff(x.F_OLDX.drop("k"), x.F_NEWX.drop("k")), now)
     return out.select("name", ts_text("time").alias("time"), "id", F.get_json_object("data", "$.data_type").alias("data_type"))
 
 

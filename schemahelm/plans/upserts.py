@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from schemahelm.operators import evolve, merge
-from schemahelm.plans.changes import _DIFF
+from schemahelm.plans.changes import _DIFF, _SAME
 from schemahelm.plans.registry import query, ts_text
 from schemahelm.sources import catalog as cat
 
@@ -38,6 +38,16 @@ def _(x):
     return df.select(*_KEY, "data_type", "validator", ts_text("created_at").alias("created_at"), ts_text("updated_at").alias("updated_at"))
 
 
+@query(
+    "m1_upsert_without_now",
+    f"""SELECT {_K}, data_type, {_TS(_BORN)} AS created_at, {_TS(_BORN)} AS updated_at FROM F_OLD o WHERE NOT EXISTS (SELECT 1 FROM F_NEW n WHERE {_ON})
+ UNION ALL SELECT {_K}, data_type, CASE WHEN EXISTS (SELECT 1 FROM F_OLD o WHERE {_ON}) THEN {_TS(_BORN)} END, NULL FROM F_NEW n""",
+)
+def _(x):
+    df = merge.upsert(_base(x), x.F_NEW)
+    return df.select(*_KEY, "data_type", ts_text("created_at").alias("created_at"), ts_text("updated_at").alias("updated_at"))
+
+
 @query(
     "m2_upsert_counts",
     f"""SELECT tenant_id, count(*) FILTER (NOT hit) AS inserted, count(*) FILTER (hit) AS updated FROM (SELECT n.tenant_id, EXISTS (SELECT 1 FROM F_OLD o WHERE {_ON}) AS hit FROM F_NEW n) GROUP BY tenant_id""",
@@ -51,10 +61,31 @@ def _(x):
     return merge.delete_keys(x.F_OLD, x.F_NEW.where("is_nullable")).select(*_KEY)
 
 
-@query("m4_apply_registry", f"SELECT {_K}, data_type, coalesce(validator, '') AS validator, is_nullable, default_value FROM F_NEW")
+_WHOLE = "data_type, is_nullable, is_unique, has_default, default_value, kind, driver_extras, label_key, widget, widget_config"
+
+
+@query(
+    "m4_apply_registry",
+    f"""SELECT {_K}, {_WHOLE}, coalesce(validator, '') AS validator, 'kept' AS note FROM F_NEW2 n WHERE EXISTS (SELECT 1 FROM F_OLD2 o WHERE {_ON})
+ UNION ALL SELECT {_K}, {_WHOLE}, coalesce(validator, ''), NULL FROM F_NEW2 n WHERE NOT EXISTS (SELECT 1 FROM F_OLD2 o WHERE {_ON})""",
+)
+def _(x):
+    # The current registry has a column that the document lacks.
+    done = merge.apply(x.F_OLD2.drop("k").withColumn("note", F.lit("kept")), x.F_NEW2.drop("k"), "bob", _now())
+    return done.registry.withColumn("validator", F.coalesce("validator", F.lit("")))
+
+
+_CHG4 = f"""FROM F_OLD2 o FULL JOIN F_NEW2 n ON {_ON}"""
+
+
+@query(
+    "m4_apply_summary",
+    f"""SELECT coalesce(o.db_id, n.db_id) AS db_id, count(*) FILTER (o.table_name IS NULL) AS added, count(*) FILTER (n.table_name IS NULL) AS deleted,
+ count(*) FILTER (o.table_name IS NOT NULL AND n.table_name IS NOT NULL AND NOT ({_SAME})) AS updated,
+ count(*) FILTER (o.table_name IS NOT NULL AND n.table_name IS NOT NULL AND ({_SAME})) AS unchanged {_CHG4} GROUP BY 1""",
+)
 def _(x):
-    done = merge.apply(x.F_OLD, x.F_NEW, "bob", _now())
-    return done.registry.select(*_KEY, "data_type", F.coalesce("validator", F.lit("")).alias("validator"), "is_nullable", "default_value")
+    return merge.apply(x.F_OLD2.drop("k"), x.F_NEW2.drop("k"), by=["db_id"]).summary
 
 
 @query(
@@ -62,16 +93,18 @@ def _(x):
     _DIFF + "SELECT " + ", ".join(f"count(*) FILTER (change_type = '{k}') AS {k}" for k in ("added", "deleted", "updated", "unchanged")) + " FROM chg",
 )
 def _(x):
-    return merge.apply(x.F_OLD, x.F_NEW, dry_run=True, required_version="0.3", current_version="0.4")
+    return merge.apply(x.F_OLDX.drop("k"), x.F_NEWX.drop("k"), dry_run=True, required_version="0.3", current_version="0.4")
 
 
 @query(
     "m5_merge_validators",
-    """WITH e AS (SELECT table_name, column_name, max(validator) AS v FROM F_OLD WHERE validator <> '' GROUP BY table_name, column_name)
- SELECT n.table_name, n.column_name, coalesce(nullif(n.validator, ''), e.v, '') AS validator FROM F_NEW n LEFT JOIN e ON e.table_name = n.table_name AND e.column_name = n.column_name""",
+    # Two databases with the same tables and columns keep their own validators.
+    f"""WITH o AS (SELECT {_K}, CASE WHEN db_id > 50 THEN 'second' ELSE validator END AS validator FROM F_OLD2)
+ SELECT {", ".join(f"n.{k}" for k in _KEY)}, coalesce(nullif(n.validator, ''), nullif(o.validator, ''), '') AS validator FROM F_NEW2 n LEFT JOIN o ON {_ON}""",
 )
 def _(x):
-    return merge.merge_validators(x.F_NEW, x.F_OLD).select("table_name", "column_name", "validator")
+    existing = x.F_OLD2.withColumn("validator", F.when(F.col("db_id") > 50, F.lit("second")).otherwise(F.col("validator")))
+    return merge.merge_validators(x.F_NEW2, existing).select(*_KEY, "validator")
 
 
 # The catalog of a fleet: each table belongs to one of the databases; every fifth database has a broken address.

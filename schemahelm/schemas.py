@@ -69,6 +69,9 @@ DIFF_KEY = ("tenant_id", "table_name", "column_name")
 # Attributes that make a field "updated" in a drift report.
 DIFF_ATTRIBUTES = ("data_type", "validator", "is_nullable", "is_unique", "has_default", "default_value")
 
+# Bookkeeping, no part of a definition.
+STAMPS = ("created_at", "updated_at")
+
 # Prefix of the registry's own tables; every operator that needs it takes it as a parameter.
 DEFAULT_PREFIX = "meta_"
 DEFAULT_TENANT = "default"
