@@ -122,29 +122,13 @@ def unified_diff(before: Column | str, after: Column | str) -> Column:
     return diff(col_of(before), col_of(after))
 
 
-def text_diff(before: Column | str, after: Column | str) -> Column:
-    """Unified diff of two plain texts."""
-
-    @F.pandas_udf("string")
-    def diff(b: pd.Series, a: pd.Series) -> pd.Series:
-        def one(x: str | None, y: str | None) -> str:
-            lines = difflib.unified_diff((x or "").split("\n"), (y or "").split("\n"), "before", "after", n=3, lineterm="")
-            return "".join(line + "\n" for line in lines)
-
-        return pd.Series([one(x, y) for x, y in zip(b, a)], dtype=object)
-
-    return diff(col_of(before), col_of(after))
-
-
-def with_diff_counts(df: DataFrame, before: str, after: str, nested: bool = True, out: str = "_counts") -> DataFrame:
+def with_diff_counts(df: DataFrame, before: str, after: str, out: str = "_counts") -> DataFrame:
     """Add ``struct(added, removed)``.
 
-    Flat pairs are counted natively. With ``nested`` the helper is fed only the other pairs (flat ones reach
-    it as NULLs, which it answers at once); without it every pair must be flat.
+    Flat pairs are counted natively. The helper is fed only the other pairs; flat ones reach it as NULLs, which it
+    answers at once.
     """
     native = flat_diff_counts(before, after)
-    if not nested:
-        return df.withColumn(out, native)
     flat = is_flat(before) & is_flat(after)
     slow = nested_diff_counts(F.when(~flat, F.col(before)), F.when(~flat, F.col(after)))
     return df.withColumn(out, F.when(flat, native).otherwise(slow))

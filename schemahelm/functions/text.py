@@ -131,14 +131,11 @@ def fnv1a32(text: Column | str) -> Column:
 
 
 def hmac_sha256(payload: Column | str, secret: str) -> Column:
-    """``sha256=<hex>`` signature of a payload; Arrow batches, the only Python step of the push sink."""
-
-    @F.pandas_udf("string")
-    def sign(values: pd.Series) -> pd.Series:
-        import hashlib
-        import hmac
-
-        key = secret.encode()
-        return values.map(lambda v: None if v is None else "sha256=" + hmac.new(key, v.encode(), hashlib.sha256).hexdigest())
-
-    return sign(col_of(payload))
+    """``sha256=<hex>`` signature of a payload (HMAC: two nested digests over padded keys), inside the JVM."""
+    import hashlib
+
+    key = secret.encode()
+    key = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    pad = lambda byte: F.unhex(F.lit(bytes(b ^ byte for b in key).hex()))
+    inner = F.sha2(F.concat(pad(0x36), F.encode(col_of(payload), "UTF-8")), 256)
+    return F.concat(F.lit("sha256="), F.sha2(F.concat(pad(0x5C), F.unhex(inner)), 256))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from schemahelm.functions.typing import col_of
+from schemahelm.schemas import FIELD_KEY
 
 # --- fixed values -----------------------------------------------------------------------------------------
 # access that the admin role always has
@@ -117,18 +118,20 @@ def effective_permissions(user_roles: DataFrame, policies: DataFrame, direct: Da
 def capabilities(users: DataFrame, user_roles: DataFrame, policies: DataFrame, matrix: Sequence[tuple[str, str, str]] = CAPABILITIES) -> DataFrame:
     """Per user, each capability of the matrix and whether it is allowed.
 
-    The capabilities of a role fit one bit mask, so the per-user fold is a ``bit_or`` of longs.
+    A role's capabilities are bit masks, one long for every 63 of them, so the per-user fold is a ``bit_or`` of as
+    many longs as the matrix needs.
     """
     spark = users.sparkSession
-    table = spark.createDataFrame([(i, p, m) for i, (_, p, m) in enumerate(matrix)], "bit int, path string, method string")
-    bits = policy_hits(table, policies, keep=["bit"])
-    role_mask = bits.groupBy("role_id").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bit"))).alias("_mask"))
-    user_mask = (
-        user_roles.join(role_mask, "role_id").groupBy(F.col("user_id").alias("id")).agg(F.bit_or("_mask").alias("_mask"))
-    )
-    entries = F.array(*[F.struct(F.lit(k).alias("capability"), F.lit(i).alias("bit")) for i, (k, _, _) in enumerate(matrix)])
-    rows = users.join(user_mask, "id", "left").select("id", F.coalesce("_mask", F.lit(0)).alias("_mask"), F.explode(entries).alias("_c"))
-    allowed = F.call_function("shiftright", F.col("_mask"), F.col("_c.bit")).bitwiseAND(F.lit(1)) == 1
+    words = range(-(-len(matrix) // 63))
+    table = spark.createDataFrame([(i // 63, i % 63, p, m) for i, (_, p, m) in enumerate(matrix)], "word int, bit int, path string, method string")
+    bits = policy_hits(table, policies, keep=["word", "bit"])
+    flag = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bit"))
+    role_masks = bits.groupBy("role_id").agg(*[F.bit_or(F.when(F.col("word") == w, flag)).alias(f"_m{w}") for w in words])
+    user_masks = user_roles.join(role_masks, "role_id").groupBy(F.col("user_id").alias("id")).agg(*[F.bit_or(f"_m{w}").alias(f"_m{w}") for w in words])
+    entries = F.array(*[F.struct(F.lit(k).alias("capability"), F.lit(i // 63).alias("word"), F.lit(i % 63).alias("bit")) for i, (k, _, _) in enumerate(matrix)])
+    masks = F.array(*[F.coalesce(f"_m{w}", F.lit(0).cast("bigint")) for w in words])
+    rows = users.join(user_masks, "id", "left").select("id", masks.alias("_masks"), F.explode(entries).alias("_c"))
+    allowed = F.call_function("shiftright", F.get("_masks", F.col("_c.word")), F.col("_c.bit")).bitwiseAND(F.lit(1)) == 1
     return rows.select(F.col("id").alias("user_id"), F.col("_c.capability").alias("capability"), allowed.alias("allowed"))
 
 
@@ -227,7 +230,14 @@ def deletable_roles(roles: DataFrame, policies: DataFrame, user_roles: DataFrame
     return roles.join(held(user_roles), "id", "left_anti").join(held(policies), "id", "left_anti")
 
 
-def lookup_fields(facts: DataFrame, fields: DataFrame, keys: Sequence[str] = ("table_name", "column_name"), keep: Sequence[str] = ("data_type",)) -> DataFrame:
-    """Facts enriched from the registry by table and column; ``hit`` tells found from missing."""
-    found = fields.select(*keys, *keep).dropDuplicates(list(keys)).withColumn("hit", F.lit(True))
-    return facts.join(found, list(keys), "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+def lookup_fields(facts: DataFrame, fields: DataFrame, keys: Sequence[str] = ("tenant_id", "table_name", "column_name"), keep: Sequence[str] = ("data_type",)) -> DataFrame:
+    """Facts enriched from the registry by tenant, table and column; ``hit`` tells found from missing.
+
+    Where several databases of a tenant define a key and ``keys`` leaves the database out, the definition of the
+    lowest database counts.
+    """
+    keys = list(keys)
+    rest = [c for c in (*FIELD_KEY, *keep) if c not in keys and c in fields.columns]
+    found = fields.groupBy(*keys).agg(F.min(F.struct(*dict.fromkeys(rest))).alias("_f"))
+    found = found.select(*keys, *[F.col(f"_f.{c}").alias(c) for c in keep], F.lit(True).alias("hit"))
+    return facts.join(found, keys, "left").withColumn("hit", F.coalesce("hit", F.lit(False)))

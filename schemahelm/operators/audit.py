@@ -89,12 +89,12 @@ def audit_summary(action: Column | str, change_count: Column | str, added: Colum
     )
 
 
-def backfill_audit_counts(audit: DataFrame, nested: bool = True) -> DataFrame:
+def backfill_audit_counts(audit: DataFrame) -> DataFrame:
     """Recompute the counts of rows whose change count is zero or missing."""
     todo = F.coalesce("change_count", F.lit(0)) == 0
     # Settled rows pass NULLs, which cost nothing to compare.
     df = audit.withColumn("_b", F.when(todo, F.col("before_json"))).withColumn("_a", F.when(todo, F.col("after_json")))
-    df = with_diff_counts(df, "_b", "_a", nested)
+    df = with_diff_counts(df, "_b", "_a")
     added = F.when(todo, F.col("_counts.added")).otherwise(F.col("added_count").cast("bigint"))
     removed = F.when(todo, F.col("_counts.removed")).otherwise(F.col("removed_count").cast("bigint"))
     return df.withColumns(

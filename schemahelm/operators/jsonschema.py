@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from schemahelm.functions import typing as ty
-from schemahelm.session import bounded_parts
+from schemahelm.schemas import FIELD_KEY
 
 
 def _extras(fields: DataFrame) -> Column:
@@ -35,23 +35,21 @@ def schema_properties(fields: DataFrame, keep: Sequence[str] = ("table_name",))
     return parts.select(*keep, "column_name", prop.alias("property"), "required")
 
 
-def build_jsonschema(fields: DataFrame, keep: Sequence[str] = ("table_name",), part_size: int = 1000) -> DataFrame:
+def build_jsonschema(fields: DataFrame, keep: Sequence[str] = FIELD_KEY[:3]) -> DataFrame:
     """Validator document per collection: its properties and required members, sorted by name.
 
-    A collection of up to ``part_size`` fields gives one document (part 0). Larger ones are split by hash of
-    the member name into parts of bounded size, each a valid schema of its members; all of them under
-    ``allOf`` are the collection's validator.
+    ``keep`` identifies a collection (by default tenant, database and table). The document is one text and has to hold all
+    members of its collection; :func:`schema_properties` gives the same as rows, without that bound.
     """
     keep = list(keep)
-    rows = bounded_parts(schema_properties(fields, keep), keep, "column_name", part_size)
     name = F.to_json(F.array("column_name"))
     name = F.substring(name, F.lit(2), F.length(name) - 2)
     entry = F.concat(name, F.lit(":"), F.col("property"))
-    grouped = rows.groupBy(*keep, "part").agg(
+    grouped = schema_properties(fields, keep).groupBy(*keep).agg(
         F.array_sort(F.collect_set(F.struct(F.col("column_name").alias("k"), entry.alias("e")))).alias("_props"),
         F.array_sort(F.collect_set(F.when(F.col("required"), name))).alias("_req"),
     )
     props = F.array_join(F.transform("_props", lambda x: x["e"]), ",")
     required = F.when(F.size("_req") > 0, F.concat(F.lit(',"required":['), F.array_join("_req", ","), F.lit("]"))).otherwise(F.lit(""))
     doc = F.concat(F.lit('{"$jsonSchema":{"bsonType":"object","properties":{'), props, F.lit("}"), required, F.lit("}}"))
-    return grouped.select(*keep, "part", doc.alias("validator"))
+    return grouped.select(*keep, doc.alias("validator"))

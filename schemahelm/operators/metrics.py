@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from schemahelm.functions.text import norm_path
-from schemahelm.session import bounded_parts
 
 # --- fixed values -----------------------------------------------------------------------------------------
 LATENCY_BUCKETS = [0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0]
@@ -80,15 +79,13 @@ def label_counts(targets: DataFrame) -> DataFrame:
     return targets.select(entry).groupBy("label").agg(F.count(F.lit(1)).alias("targets"))
 
 
-def label_index(targets: DataFrame, part_size: int = 1000) -> DataFrame:
-    """Inverted index: label -> sorted keys, in parts of about ``part_size`` keys.
+def label_index(targets: DataFrame) -> DataFrame:
+    """Inverted index: distinct (label, tkey) rows, sorted by both across and within partitions.
 
-    Some labels are on every target, so a label's keys are split by hash into bounded parts; the parts of a
-    label together are its whole key set.
+    Some labels are on every target. As rows, a label's keys spread over as many partitions as they need.
     """
-    postings = targets.select(F.explode("label_set").alias("label"), "tkey")
-    parts = bounded_parts(postings, ["label"], "tkey", part_size)
-    return parts.groupBy("label", "part").agg(F.array_sort(F.collect_set("tkey")).alias("tkeys"))
+    postings = targets.select(F.explode("label_set").alias("label"), "tkey").distinct()
+    return postings.repartitionByRange("label", "tkey").sortWithinPartitions("label", "tkey")
 
 
 def _digest_words(text: Column) -> list[Column]:

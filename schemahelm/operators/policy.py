@@ -113,7 +113,7 @@ def known_plugins(rules: Sequence[Rule], widgets: DataFrame) -> set[str]:
     open_ids = sorted(wanted - set(BUILTIN_WIDGETS))
     if not open_ids:
         return set(wanted)
-    rows = widgets.where(F.col("id").isin(open_ids)).select("id").distinct().limit(len(open_ids)).collect()
+    rows = widgets.where(F.col("id").isin(open_ids)).select("id").distinct().collect()
     return (wanted & set(BUILTIN_WIDGETS)) | {r[0] for r in rows}
 
 

@@ -68,15 +68,20 @@ register_validator("uppercase", lambda c, p: c.cast("string") == F.upper(c.cast(
 # --- rows against rules -----------------------------------------------------------------------------------
 
 
-def rules_for(fields: DataFrame, table: str, columns: Sequence[str]) -> list[dict]:
-    """Registry rules of one data table, as driver-side configuration.
+def rules_for(fields: DataFrame, table: str, columns: Sequence[str], tenant: str | None = None, db_id: int | None = None) -> list[dict]:
+    """Registry rules of one data table, as driver-side configuration: one rule per column.
 
-    At most one rule per column of the table is read, whatever the size of the registry.
+    ``tenant`` and ``db_id`` choose among equal table names. A column with several definitions left is an error, as
+    either would be an arbitrary choice.
     """
     typ = ty.parse_type("data_type")
     opt = lambda c: F.col(c) if c in fields.columns else F.lit(None)
     rows = fields.where((F.col("table_name") == table) & F.col("column_name").isin(list(columns)))
-    rows = rows.select(
+    if tenant is not None:
+        rows = rows.where(F.col("tenant_id") == tenant)
+    if db_id is not None:
+        rows = rows.where(F.col("db_id") == db_id)
+    rule = F.struct(
         F.col("column_name").alias("column"),
         F.coalesce("validator", F.lit("")).alias("validator"),
         opt("validator_params").cast("string").alias("pattern"),
@@ -85,8 +90,12 @@ def rules_for(fields: DataFrame, table: str, columns: Sequence[str]) -> list[dic
         typ["base"].alias("base"),
         typ["length"].alias("length"),
         typ["enums"].alias("enums"),
-    ).dropDuplicates(["column"])
-    return [r.asDict() for r in rows.limit(len(columns)).collect()]
+    )
+    found = rows.groupBy("column_name").agg(F.count(F.lit(1)).alias("n"), F.first(rule).alias("rule")).collect()
+    several = sorted(r["column_name"] for r in found if r["n"] > 1)
+    if several:
+        raise ValueError(f"several definitions of {table}: {', '.join(several)}; name the tenant and the database")
+    return [r["rule"].asDict() for r in found]
 
 
 # --- fixed values: type names that a text can be tested for by a cast
@@ -131,8 +140,8 @@ def validate_rows(data: DataFrame, rules: Sequence[dict], key: Sequence[str], ta
     """One row per violation: ``table_name``, the key as text, ``column_name``, ``rule``, ``value``.
 
     A rule is a dict with ``column`` and any of ``validator, pattern, nullable, unique, base, length, enums``
-    (see :func:`rules_for`). All row rules are checked in one pass; each unique rule adds one group-by whose
-    repeated values are then looked up in the table.
+    (see :func:`rules_for`). All row rules are checked in one pass. All unique rules are one more: values are counted by
+    column, and rows with a repeated one are looked up by (column, value).
     """
     row_key = F.concat_ws("|", *[F.col(k).cast("string") for k in key])
     entries = []
@@ -152,16 +161,13 @@ def validate_rows(data: DataFrame, rules: Sequence[dict], key: Sequence[str], ta
     if entries:
         found = F.filter(F.array(*entries), lambda x: x.isNotNull())
         out.append(data.select(row_key.alias("row_key"), F.explode(found).alias("_v")).select("row_key", "_v.*"))
-    for column in [r["column"] for r in rules if r.get("unique")]:
-        repeated = data.where(F.col(column).isNotNull()).groupBy(column).count().where("count > 1").select(column)
-        out.append(
-            data.join(repeated, column, "left_semi").select(
-                row_key.alias("row_key"),
-                F.lit(column).alias("column_name"),
-                F.lit("unique").alias("rule"),
-                F.col(column).cast("string").alias("value"),
-            )
-        )
+    unique = [r["column"] for r in rules if r.get("unique")]
+    if unique:
+        pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in unique])
+        values = data.select(row_key.alias("row_key"), F.explode(pairs).alias("_v")).select("row_key", "_v.*").where("value IS NOT NULL")
+        repeated = values.groupBy("column_name", "value").count().where("count > 1").select("column_name", "value")
+        found = values.join(repeated, ["column_name", "value"], "left_semi")
+        out.append(found.select("row_key", "column_name", F.lit("unique").alias("rule"), "value"))
     if not out:
         schema = "table_name string, row_key string, column_name string, rule string, value string"
         return data.sparkSession.createDataFrame([], schema)

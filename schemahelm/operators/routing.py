@@ -76,15 +76,17 @@ def find_any(targets: DataFrame, *labels: str) -> DataFrame:
 def ordered_index(df: DataFrame, key: str, index: str = "idx", slices: int = 64) -> DataFrame:
     """Add the zero-based position of each (unique) key in sort order.
 
-    A bounded sample (the ``4 * slices`` keys with the smallest hashes) cuts the key range into slices;
-    positions are counted per slice and shifted by the sizes of the slices before. The cuts only balance the
-    work, the positions are exact for any cuts.
+    A bounded sample (the ``4 * slices`` keys with the smallest hashes) cuts the key range into slices; positions are
+    counted per slice and shifted by the sizes of the slices before. The cuts only balance the work, the positions are
+    exact for any cuts. Nothing runs before the result is used.
     """
-    sample = df.select(key).orderBy(F.sha2(F.col(key).cast("string"), 256)).limit(4 * slices).collect()
-    ordered = sorted(r[0] for r in sample)
-    cuts = ordered[4::4]
-    slice_no = reduce(lambda a, b: a + b, [(F.col(key) >= F.lit(c)).cast("int") for c in cuts], F.lit(0))
-    rows = df.withColumn("_slice", slice_no)
+    # One row: the sample is a limit, its cuts an array of at most ``slices`` keys.
+    sample = df.select(F.col(key).alias("_k")).orderBy(F.sha2(F.col(key).cast("string"), 256)).limit(4 * slices)
+    cuts = sample.agg(F.array_sort(F.collect_list("_k")).alias("_s")).select(
+        F.filter("_s", lambda x, i: (i > 0) & (i % 4 == 0)).alias("_cuts"), F.lit(1).alias("_one")
+    )
+    rows = df.withColumn("_one", F.lit(1)).join(F.broadcast(cuts), "_one").drop("_one")
+    rows = rows.withColumn("_slice", F.size(F.filter("_cuts", lambda c: c <= F.col(key)))).drop("_cuts")
     # At most ``slices`` rows of sizes.
     sizes = rows.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(F.lit(1)).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -124,8 +126,12 @@ def route(requests: DataFrame, targets: DataFrame, strategy: str = "first", quer
     if strategy == "hash":
         ranks = ordered_index(candidates.select("tkey"), "tkey", "_idx").withColumnRenamed("tkey", "chosen")
         source = F.coalesce(F.nullif(F.col(hash_col), F.lit("")), F.col("_first"))
-        spot = F.when(F.col("_n") > 0, F.pmod(fnv1a32(source), F.col("_n")))
-        return reqs.withColumn("_idx", spot).join(ranks, "_idx", "left").drop("_idx", "_first", "_n")
+        reqs = reqs.withColumn("_source", source)
+        # Sources repeat far more than they differ, and hashing goes byte by byte: each is hashed and placed once.
+        placed = reqs.select("_source", "_n").distinct().where("_source IS NOT NULL")
+        spot = F.when(F.col("_n") > 0, F.pmod(fnv1a32("_source"), F.col("_n")))
+        placed = placed.withColumn("_idx", spot).join(ranks, "_idx").select("_source", "chosen")
+        return reqs.join(placed, "_source", "left").drop("_source", "_first", "_n")
     raise ValueError(f"unknown strategy: {strategy}")
 
 
@@ -143,32 +149,58 @@ def resolve_target(requests: DataFrame, targets: DataFrame, query_choice: str =
     return df.withColumn("resolved", F.coalesce(*choice)).drop("_explicit", "_own", "_tenant")
 
 
-def candidates(requests: DataFrame, targets: DataFrame, query: str = "", max_attempts: int = 3, unavailable: DataFrame | None = None, primary_col: str = "explicit_key", prefer_col: str = "prefer_label") -> DataFrame:
-    """The targets a request will try, in order: its primary, those with its preferred label, the rest.
+def candidate_ranks(requests: DataFrame, targets: DataFrame, query: str = "", unavailable: DataFrame | None = None, prefer_col: str = "prefer_label") -> DataFrame:
+    """The complete order of targets for each label that requests prefer: ``want, rank`` (from 1), ``tkey``.
 
-    A run makes at most ``max_attempts`` attempts and skips unavailable targets, so exactly that many
-    available targets are listed. The lists per label and for the rest are short tops of sorted keys; taking
-    ``max_attempts`` of each is enough, because removing duplicates costs at most the entries before.
+    Targets with the label come first, whether or not they match the query, then all others that match it; both by
+    key. Without a known label ``want`` is ordered by key alone. Requests share these few orders; none carries its own.
     """
     usable = targets if unavailable is None else targets.join(unavailable.select("tkey"), "tkey", "left_anti")
-    held = usable.select("tkey", F.explode("label_set").alias("_label"))
-    per_label = Window.partitionBy("_label").orderBy("tkey")
-    top = held.withColumn("_rn", F.row_number().over(per_label)).where(F.col("_rn") <= max_attempts)
-    preferred = top.groupBy("_label").agg(F.array_sort(F.collect_list("tkey")).alias("_pref"))
-    rest = select_targets(usable, query).orderBy("tkey").limit(max_attempts).agg(F.array_sort(F.collect_list("tkey")).alias("_rest"))
-    primary = usable.select(F.col("tkey").alias("_primary"))
-    want = F.lower(F.coalesce(F.col(prefer_col), F.lit("")))
-    df = (
-        requests.join(primary, F.col(primary_col) == F.col("_primary"), "left")
-        .withColumn("_want", want)
-        .join(preferred, F.col("_want") == F.col("_label"), "left")
-        .withColumn("_one", F.lit(1))
-        .join(F.broadcast(rest.withColumn("_one", F.lit(1))), "_one")
+    wants = requests.select(F.lower(F.coalesce(F.col(prefer_col), F.lit(""))).alias("want")).distinct()
+    held = usable.select("tkey", F.explode("label_set").alias("want")).where("want <> ''").distinct().join(wants, "want", "left_semi")
+    rest = select_targets(usable, query).select("tkey", F.lit(1).alias("_all")).join(wants.withColumn("_all", F.lit(1)), "_all").drop("_all")
+    rest = rest.join(held, ["want", "tkey"], "left_anti")
+    both = held.select("want", "tkey", F.lit(0).alias("_class")).unionByName(rest.select("want", "tkey", F.lit(1).alias("_class")))
+    # One group for each wanted label, with the targets.
+    order = Window.partitionBy("want").orderBy("_class", "tkey")
+    return both.withColumn("rank", F.row_number().over(order)).select("want", "rank", "tkey")
+
+
+def _primaries(requests: DataFrame, targets: DataFrame, ranks: DataFrame, unavailable: DataFrame | None, primary_col: str, prefer_col: str) -> DataFrame:
+    """Requests with ``want``, ``primary`` (where it is usable) and the primary's rank in the order."""
+    usable = targets if unavailable is None else targets.join(unavailable.select("tkey"), "tkey", "left_anti")
+    known = usable.select(F.col("tkey").alias("primary"))
+    rows = requests.withColumn("want", F.lower(F.coalesce(F.col(prefer_col), F.lit("")))).join(known, F.col(primary_col) == F.col("primary"), "left")
+    own = ranks.select(F.col("want").alias("_w"), F.col("tkey").alias("_t"), F.col("rank").alias("_own"))
+    return rows.join(own, (F.col("want") == F.col("_w")) & (F.col("primary") == F.col("_t")), "left").drop("_w", "_t")
+
+
+def candidates(requests: DataFrame, targets: DataFrame, query: str = "", unavailable: DataFrame | None = None, primary_col: str = "explicit_key", prefer_col: str = "prefer_label") -> DataFrame:
+    """Every order in which requests try targets, in full: ``primary, want, position`` (from 1), ``tkey``.
+
+    A row for each distinct pair of primary and preferred label and each target: the primary, then the label's, then the rest. The
+    number of attempts is a limit of the run (:func:`attempt_outcome`), not of the order.
+    """
+    ranks = candidate_ranks(requests, targets, query, unavailable, prefer_col)
+    pairs = _primaries(requests, targets, ranks, unavailable, primary_col, prefer_col).select("want", "primary", "_own").distinct()
+    first = F.col("primary").isNotNull().cast("int")
+    moved = F.col("rank") + first - (F.col("rank") > F.coalesce("_own", F.lit(1 << 30))).cast("int")
+    rest = pairs.join(ranks, "want").where(~F.col("tkey").eqNullSafe(F.col("primary"))).select("primary", "want", moved.alias("position"), "tkey")
+    head = pairs.where("primary IS NOT NULL").select("primary", "want", F.lit(1).alias("position"), F.col("primary").alias("tkey"))
+    return head.unionByName(rest)
+
+
+def candidate_at(requests: DataFrame, targets: DataFrame, attempt: Column, query: str = "", unavailable: DataFrame | None = None, primary_col: str = "explicit_key", prefer_col: str = "prefer_label") -> DataFrame:
+    """Requests with ``tkey``: the target of this attempt (from 1), NULL past the last; found by its rank in the shared order."""
+    ranks = candidate_ranks(requests, targets, query, unavailable, prefer_col)
+    rows = _primaries(requests, targets, ranks, unavailable, primary_col, prefer_col).withColumn("_at", attempt)
+    after = F.when(F.col("primary").isNull(), F.col("_at")).otherwise(
+        F.col("_at") - 1 + (F.col("_at") - 1 >= F.coalesce("_own", F.lit(1 << 30))).cast("int")
     )
-    none = F.array().cast("array<string>")
-    head = F.when(F.col("_primary").isNotNull(), F.array("_primary")).otherwise(none)
-    merged = F.array_distinct(F.concat(head, F.coalesce("_pref", none), F.coalesce("_rest", none)))
-    return df.withColumn("candidates", F.slice(merged, 1, max_attempts)).drop("_primary", "_want", "_label", "_pref", "_one", "_rest")
+    named = ranks.select(F.col("want").alias("_w"), F.col("rank").alias("_r"), F.col("tkey").alias("_next"))
+    joined = rows.withColumn("_rank", after).join(named, (F.col("want") == F.col("_w")) & (F.col("_rank") == F.col("_r")), "left")
+    chosen = F.when(F.col("primary").isNotNull() & (F.col("_at") == 1), F.col("primary")).otherwise(F.col("_next"))
+    return joined.withColumn("tkey", chosen).drop("want", "primary", "_own", "_at", "_rank", "_w", "_r", "_next")
 
 
 def for_each_target(targets: DataFrame, query: str, fn: Callable[[dict], dict], schema: str) -> DataFrame:
@@ -200,8 +232,9 @@ def backoff_ms(attempt: Column | str, base_ms: int, max_ms: int = 0) -> Column:
     """Wait after an attempt: doubles from ``base_ms``, up to ``max_ms`` where that is positive."""
     if base_ms <= 0:
         return F.lit(0).cast("bigint")
-    n = F.least(col_of(attempt).cast("bigint"), F.lit(40))
-    wait = (F.lit(base_ms) * F.pow(F.lit(2.0), n - 1)).cast("bigint")
+    n = col_of(attempt).cast("bigint")
+    # Past 2**62 milliseconds the wait stays there instead of running over.
+    wait = F.least(F.lit(base_ms) * F.pow(F.lit(2.0), n - 1), F.lit(float(1 << 62))).cast("bigint")
     capped = F.when(n > 1, F.least(wait, F.lit(max_ms))).otherwise(wait) if max_ms > 0 else wait
     return F.when(n > 0, capped).otherwise(F.lit(0).cast("bigint"))
 

@@ -69,6 +69,24 @@ def _(x):
     return a.capabilities(x.F_USERS, x.F_UROLES, x.F_POLICIES)
 
 
+# More capabilities than a long has bits; each of the later ones is granted by one policy only.
+_WIDE = [(f"c{i}", f"/v1/own/{i}", "GET") for i in range(70)]
+
+
+@query(
+    "j6_capabilities_wide",
+    """WITH pol AS (SELECT role_id, path FROM F_POLICIES UNION ALL SELECT DISTINCT 1 + o_orderkey % 5, '/v1/own/' || CAST(o_orderkey % 70 AS VARCHAR) FROM orders WHERE o_orderkey % 7 = 0),
+ m AS (SELECT 'c' || i AS capability, '/v1/own/' || i AS path FROM range(70) t(i)),
+ ok AS (SELECT DISTINCT ur.user_id, m.capability FROM F_UROLES ur JOIN pol ON pol.role_id = ur.role_id JOIN m ON m.path = pol.path OR pol.path = '/v1/*')
+ SELECT u.id AS user_id, m.capability, ok.user_id IS NOT NULL AS allowed FROM F_USERS u CROSS JOIN m LEFT JOIN ok ON ok.user_id = u.id AND ok.capability = m.capability""",
+)
+def _(x):
+    own = x.orders.where("o_orderkey % 7 = 0").select(
+        (1 + F.col("o_orderkey") % 5).alias("role_id"), F.concat(F.lit("/v1/own/"), (F.col("o_orderkey") % 70).cast("string")).alias("path"), F.lit("GET").alias("method")
+    )
+    return a.capabilities(x.F_USERS, x.F_UROLES, x.F_POLICIES.unionByName(own.distinct()), _WIDE)
+
+
 @query(
     "j7_enforce_log",
     f"""WITH h AS (SELECT DISTINCT r.path, r.method, p.role_id FROM (SELECT DISTINCT path, method FROM F_API) r JOIN F_POLICIES p ON {_match('r.path', 'r.method')})
@@ -83,7 +101,7 @@ def _(x):
     return a.role_members(x.F_USERS, x.F_UROLES, 2, "t1")
 
 
-_FIELDS = "SELECT DISTINCT 'tbl_' || CAST(event_id % 6 AS STRING) AS table_name, 'col_' || CAST(event_id % 7 AS STRING) AS column_name, CASE event_id % 7 WHEN 0 THEN 'int' ELSE 'text' END AS data_type FROM events WHERE event_id % 6 <> 2"
+_FIELDS = "SELECT DISTINCT 't' || CAST(user_id % 3 AS STRING) AS tenant_id, 'tbl_' || CAST(event_id % 6 AS STRING) AS table_name, 'col_' || CAST(event_id % 7 AS STRING) AS column_name, CASE WHEN event_id % 7 = 0 THEN 'int' WHEN user_id % 3 = 1 THEN 'uuid' ELSE 'text' END AS data_type FROM events WHERE event_id % 6 <> 2"
 
 
 def _lookups(x):
@@ -93,7 +111,7 @@ def _lookups(x):
 
 @query(
     "j10_lookup_fields",
-    f"SELECT id, f.data_type, f.table_name IS NOT NULL AS hit FROM F_AUD a LEFT JOIN ({_FIELDS}) f ON f.table_name = a.table_name AND f.column_name = a.column_name",
+    f"SELECT id, f.data_type, f.table_name IS NOT NULL AS hit FROM F_AUD a LEFT JOIN ({_FIELDS}) f ON f.tenant_id = a.tenant_id AND f.table_name = a.table_name AND f.column_name = a.column_name",
 )
 def _(x):
     return _lookups(x).select("id", "data_type", "hit")
@@ -101,7 +119,7 @@ def _(x):
 
 @query(
     "g11_hit_ratio",
-    f"""SELECT a.table_name, count(f.table_name) AS hits, count(*) - count(f.table_name) AS misses FROM F_AUD a LEFT JOIN ({_FIELDS}) f ON f.table_name = a.table_name AND f.column_name = a.column_name GROUP BY a.table_name""",
+    f"""SELECT a.table_name, count(f.table_name) AS hits, count(*) - count(f.table_name) AS misses FROM F_AUD a LEFT JOIN ({_FIELDS}) f ON f.tenant_id = a.tenant_id AND f.table_name = a.table_name AND f.column_name = a.column_name GROUP BY a.table_name""",
 )
 def _(x):
     return metrics.hit_ratio(_lookups(x), ["table_name"])

@@ -60,7 +60,7 @@ _RECOUNT = """q AS (SELECT *, json_extract_string(before_json, '$.k') AS bk, jso
  CAST(CASE WHEN change_count = 0 THEN xa + xr ELSE change_count END AS BIGINT) AS change_count FROM c""",
 )
 def backfill(x):
-    return a.backfill_audit_counts(x.F_AUD, nested=False).select("id", "added_count", "removed_count", "change_count")
+    return a.backfill_audit_counts(x.F_AUD).select("id", "added_count", "removed_count", "change_count")
 
 
 @query(
@@ -113,8 +113,8 @@ def _(x):
  CASE WHEN change_count = 0 THEN xa + xr ELSE change_count END AS change_count) FROM c WHERE tenant_id = 't3') SELECT id, {_SUMMARY} AS summary FROM (SELECT * FROM h ORDER BY applied_at DESC, id DESC LIMIT 200)""",
 )
 def _(x):
-    counted = a.backfill_audit_counts(x.F_AUD, nested=False)
-    return a.audit_list(counted, x.F_USERS, limit=500, tenant="t3").select("id", "summary")
+    counted = a.backfill_audit_counts(x.F_AUD)
+    return a.audit_list(counted, x.F_USERS, limit=200, tenant="t3").select("id", "summary")
 
 
 @query(

@@ -158,7 +158,7 @@ def reconcile_tables(x):
   CAST(CASE WHEN before_json IS NULL THEN 0 WHEN after_json IS NULL THEN 2 WHEN bk = ak THEN 1 ELSE 2 END AS BIGINT) AS removed FROM p""",
 )
 def _(x):
-    return jsondiff.with_diff_counts(x.F_AUD, "before_json", "after_json", nested=False).select("id", "_counts.*")
+    return jsondiff.with_diff_counts(x.F_AUD, "before_json", "after_json").select("id", "_counts.*")
 
 
 @query(

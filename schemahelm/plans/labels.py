@@ -135,18 +135,27 @@ def _(x):
     return r.resolve_target(routed, t, tenant_prefix="db:", default_key="db:default").select("request_id", "resolved")
 
 
+_ORDERS = f"""{_T}, u AS (SELECT * FROM t WHERE tkey <> 'db:2'), r AS (SELECT request_id, prefer_label AS want, (SELECT tkey FROM u WHERE u.tkey = q.explicit_key) AS pri FROM F_REQ q),
+ d AS (SELECT DISTINCT pri, want FROM r),
+ o AS (SELECT d.pri, d.want, u.tkey, row_number() OVER (PARTITION BY d.pri, d.want ORDER BY CASE WHEN u.tkey = d.pri THEN 0 WHEN list_contains(u.ls, d.want) THEN 1 ELSE 2 END, u.tkey) AS position
+  FROM d JOIN u ON u.tkey IS NOT DISTINCT FROM d.pri OR list_contains(u.ls, d.want) OR NOT {_HAS('deprecated')})"""
+
+
+def _shut(x):
+    return x.spark.createDataFrame([("db:2",)], "tkey string")
+
+
+@query("l6_candidates", f"WITH {_ORDERS} SELECT pri AS \"primary\", want, CAST(position AS INTEGER) AS position, tkey FROM o")
+def _(x):
+    return r.candidates(x.F_REQ, targets(x), "!deprecated", _shut(x))
+
+
 @query(
-    "l6_candidates",
-    f"""WITH {_T}, u AS (SELECT * FROM t WHERE tkey <> 'db:2'), p AS (SELECT request_id, explicit_key, prefer_label, (SELECT tkey FROM u WHERE u.tkey = r.explicit_key) AS pri FROM F_REQ r),
- l AS (SELECT prefer_label, (SELECT list(tkey ORDER BY tkey) FROM u WHERE list_contains(u.ls, k.prefer_label)) AS pref FROM (SELECT DISTINCT prefer_label FROM F_REQ) k),
- a AS (SELECT list(tkey ORDER BY tkey) AS rest FROM u WHERE NOT {_HAS('deprecated')}),
- m AS (SELECT request_id, pri, list_filter(coalesce(pref, []), lambda k: k IS DISTINCT FROM pri) AS pref, rest FROM p JOIN l ON l.prefer_label = p.prefer_label, a)
- SELECT request_id, array_to_string(list_slice(list_concat(CASE WHEN pri IS NULL THEN [] ELSE [pri] END, pref, list_filter(rest, lambda k: k IS DISTINCT FROM pri AND NOT list_contains(pref, k))), 1, 4), ',') AS candidates FROM m""",
+    "l6_candidate_at",
+    f"WITH {_ORDERS} SELECT r.request_id, o.tkey FROM r LEFT JOIN o ON o.pri IS NOT DISTINCT FROM r.pri AND o.want = r.want AND o.position = 1 + r.request_id % 30",
 )
 def _(x):
-    t = targets(x)
-    shut = x.spark.createDataFrame([("db:2",)], "tkey string")
-    return r.candidates(x.F_REQ, t, "!deprecated", 4, shut).select("request_id", joined("candidates").alias("candidates"))
+    return r.candidate_at(x.F_REQ, targets(x), 1 + F.col("request_id") % 30, "!deprecated", _shut(x)).select("request_id", "tkey")
 
 
 @query("l7_for_each_target", f"WITH {_T} SELECT tkey, CAST(len(ls) AS BIGINT) AS n_labels FROM t WHERE {_HAS('tier=gold')}")
@@ -184,10 +193,6 @@ def _(x):
     return metrics.label_counts(targets(x))
 
 
-@query(
-    "g5_label_index",
-    f"""WITH {_T}, p AS (SELECT tkey, unnest(ls) AS label FROM t), n AS (SELECT label, CAST(ceil(count(*) / 40) AS BIGINT) AS parts FROM p GROUP BY label)
- SELECT p.label, CAST('0x' || substr(sha256(tkey), 1, 8) AS BIGINT) % n.parts AS part, string_agg(tkey, ',' ORDER BY tkey) AS tkeys FROM p JOIN n ON n.label = p.label GROUP BY 1, 2""",
-)
+@query("g5_label_index", f"WITH {_T} SELECT DISTINCT unnest(ls) AS label, tkey FROM t")
 def _(x):
-    return metrics.label_index(targets(x), 40).withColumn("tkeys", joined("tkeys"))
+    return metrics.label_index(targets(x))

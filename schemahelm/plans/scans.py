@@ -107,14 +107,17 @@ def _profile_sql(table: str, columns: dict[str, str]) -> str:
 
 
 _PROFILED = {
-    "orders": {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_orderpriority": "string"},
-    "customer": {"c_custkey": "bigint", "c_name": "string", "c_nationkey": "int"},
+    "orders": {
+        "o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double", "o_orderdate": "timestamp_ntz", "o_orderpriority": "string",
+    },
+    "customer": {"c_custkey": "bigint", "c_name": "string", "c_nationkey": "int", "c_acctbal": "double", "c_mktsegment": "string"},
+    "events": {"event_id": "bigint", "user_id": "bigint", "event_type": "string", "value": "double", "ts": "timestamp_ntz", "props": "string"},
 }
 
 
 @query("s8_profile_tables", " UNION ALL ".join(_profile_sql(t, c) for t, c in _PROFILED.items()))
 def _(x):
-    return profile.profile_tables({t: getattr(x, t).select(*cols) for t, cols in _PROFILED.items()})
+    return profile.profile_tables({t: getattr(x, t) for t in _PROFILED})
 
 
 _CATALOG = """SELECT DISTINCT table_schema, table_name, CASE WHEN length(table_name) % 2 = 0 THEN 'comment of ' || table_name END AS comment,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from schemahelm.functions import jsondiff, text as tx
 from schemahelm.functions import typing as ty
 from schemahelm.operators.audit import audit_summary
-from schemahelm.operators.jsonschema import build_jsonschema
+from schemahelm.operators.jsonschema import build_jsonschema, schema_properties
 from schemahelm.operators.merge import desired_indexes, index_plan
 from schemahelm.plans.registry import case_sql, joined, query, ts_sql, ts_text
 from schemahelm.sources.registry import backfill_kinds
@@ -151,16 +151,27 @@ def _(x):
 
 @query(
     "p12_build_jsonschema",
-    f"""WITH p AS (SELECT tenant_id, table_name, column_name, is_nullable, {_BSON_OUT} AS b, is_nullable OR has_default AS nul,
+    f"""WITH p AS (SELECT tenant_id, db_id, table_name, column_name, is_nullable, {_BSON_OUT} AS b, is_nullable OR has_default AS nul,
   CASE WHEN has_default THEN 'int' WHEN is_unique THEN 'bool' END AS item FROM F_OLD),
  e AS (SELECT *, '"' || column_name || '":{{"bsonType":' || CASE WHEN nul THEN '["' || b || '","null"]' ELSE '"' || b || '"' END
   || CASE WHEN b = 'array' AND item IS NOT NULL THEN ',"items":{{"bsonType":"' || item || '"}}' ELSE '' END || '}}' AS entry FROM p)
- SELECT tenant_id, table_name, CAST(0 AS BIGINT) AS part, '{{"$jsonSchema":{{"bsonType":"object","properties":{{' || string_agg(entry, ',' ORDER BY column_name) || '}}' ||
+ SELECT tenant_id, db_id, table_name, '{{"$jsonSchema":{{"bsonType":"object","properties":{{' || string_agg(entry, ',' ORDER BY column_name) || '}}' ||
   coalesce(',"required":[' || string_agg('"' || column_name || '"', ',' ORDER BY column_name) FILTER (NOT is_nullable) || ']', '') || '}}}}' AS validator
- FROM e GROUP BY tenant_id, table_name""",
+ FROM e GROUP BY tenant_id, db_id, table_name""",
 )
 def _(x):
-    return build_jsonschema(_doc_fields(x), ["tenant_id", "table_name"])
+    return build_jsonschema(_doc_fields(x))
+
+
+@query(
+    "p12_schema_properties",
+    f"""WITH p AS (SELECT tenant_id, db_id, table_name, column_name, is_nullable, {_BSON_OUT} AS b, is_nullable OR has_default AS nul,
+  CASE WHEN has_default THEN 'int' WHEN is_unique THEN 'bool' END AS item FROM F_OLD)
+ SELECT tenant_id, db_id, table_name, column_name, '{{"bsonType":' || CASE WHEN nul THEN '["' || b || '","null"]' ELSE '"' || b || '"' END
+  || CASE WHEN b = 'array' AND item IS NOT NULL THEN ',"items":{{"bsonType":"' || item || '"}}' ELSE '' END || '}}' AS property, NOT is_nullable AS required FROM p""",
+)
+def _(x):
+    return schema_properties(_doc_fields(x), ["tenant_id", "db_id", "table_name"])
 
 
 _DESIRED = """SELECT table_name, column_name, 'meta_' || table_name || '_' || column_name || '_unique' AS index_name, true AS is_unique, CAST(NULL AS INT) AS expire_after

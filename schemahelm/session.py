@@ -1,7 +1,8 @@
-"""Session helpers: scratch space, lineage cuts and bounded splitting of groups."""
+"""Session helpers: shared scratch space and lineage cuts."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,11 +13,16 @@ _CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Shared folder named by the cluster; a local one only where the cluster names none."""
-    root = spark.conf.get(_CHECKPOINT_CONF, None)
-    if not root:
-        root = spark.sparkContext.getConf().get(_CHECKPOINT_CONF)
+    """Shared folder named by ``spark.checkpoint.dir``.
+
+    Where the setting is missing, a session on one machine (master ``local``) gets a temporary folder of its own; on a
+    cluster executors could not see such a folder, so that is an error.
+    """
+    root = spark.conf.get(_CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(_CHECKPOINT_CONF)
     if not root:
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[|$)", master):
+            raise ValueError(f"{_CHECKPOINT_CONF} names no shared folder for {master}")
         root = tempfile.mkdtemp(prefix="schemahelm-")
         spark.conf.set(_CHECKPOINT_CONF, root)
     return root
@@ -42,20 +48,3 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
 def hash_bucket(col: Column, buckets: Column) -> Column:
     """Bucket number from the SHA-256 of a string: stable across engines, runs and retries."""
     return F.pmod(F.conv(F.substring(F.sha2(col, 256), 1, 8), 16, 10).cast("bigint"), buckets)
-
-
-def bounded_parts(df: DataFrame, group: list[str], key: str, part_size: int = 1000, part_col: str = "part") -> DataFrame:
-    """Number the rows of each group into parts of about ``part_size`` rows.
-
-    A group that holds a third of all rows becomes many parts of bounded size, so that a later
-    ``collect_list`` per (group, part) never gathers an unbounded group in one task. The counts are
-    pre-aggregated map-side; the join back streams the large side (broadcast or skew-split by AQE).
-    """
-    sizes = df.groupBy(*group).agg(
-        F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(part_size))).cast("bigint").alias("_parts")
-    )
-    return (
-        df.join(sizes, group, "left")
-        .withColumn(part_col, hash_bucket(F.col(key), F.col("_parts")))
-        .drop("_parts")
-    )

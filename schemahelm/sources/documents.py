@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from schemahelm.functions import typing as ty
@@ -28,29 +28,27 @@ def member_type(value: Column) -> Column:
     )
 
 
-def infer_document_schema(docs: DataFrame, collection_col: str = "collection", json_col: str = "doc", by: Sequence[str] = (), sample: int | None = None) -> DataFrame:
+def infer_document_schema(docs: DataFrame, collection_col: str = "collection", json_col: str = "doc", by: Sequence[str] = ()) -> DataFrame:
     """One field row per (collection, member): its only type, or ``string`` when several occur.
 
-    Reads all documents (``sample`` takes the given number per collection, by lowest ``doc_id``, where the
-    quick look of the original is wanted). The type sets are folded map-side, so a collection that holds
-    most documents sends a handful of rows per task. A member is nullable when some document lacks it.
+    Reads all documents once: beside its members every document gives a nameless one, whose count is that of the
+    collection's documents. Counts are folded map-side, so a collection that holds most documents sends a handful
+    of rows per task. A member is nullable when some document lacks it.
     """
     key = [*by, collection_col]
-    if sample is not None:
-        from pyspark.sql import Window
-
-        first = Window.partitionBy(*key).orderBy("doc_id")
-        docs = docs.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= sample).drop("_n")
-    totals = docs.groupBy(*key).agg(F.count(F.lit(1)).alias("_docs"))
-    # Two counters per type keep the state of a group constant in size.
-    members = docs.select(*key, F.explode(F.from_json(json_col, _MEMBERS)).alias("column_name", "_value"))
-    typed = members.select(*key, "column_name", member_type(F.col("_value")).alias("_type"))
+    members = F.coalesce(F.map_entries(F.from_json(json_col, _MEMBERS)), F.array().cast("array<struct<key:string,value:variant>>"))
+    each = F.concat(F.array(F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast("variant").alias("value"))), members)
+    rows = docs.select(*key, F.explode(each).alias("_m")).select(*key, F.col("_m.key").alias("column_name"), F.col("_m.value").alias("_value"))
+    typed = rows.select(*key, "column_name", F.when(F.col("column_name").isNotNull(), member_type(F.col("_value"))).alias("_type"))
     per_type = typed.groupBy(*key, "column_name", "_type").agg(F.count(F.lit(1)).alias("_n"))
     fields = per_type.groupBy(*key, "column_name").agg(
         F.count(F.lit(1)).alias("_types"), F.min("_type").alias("_only"), F.sum("_n").alias("_present")
     )
+    # The distinct members of a collection.
+    whole = Window.partitionBy(*key)
+    fields = fields.withColumn("_docs", F.max(F.when(F.col("column_name").isNull(), F.col("_present"))).over(whole))
     data_type = F.when(F.col("_types") == 1, F.col("_only")).otherwise(F.lit("string"))
-    return fields.join(totals, key).select(
+    return fields.where(F.col("column_name").isNotNull()).select(
         *by,
         F.col(collection_col).alias("table_name"),
         "column_name",

@@ -7,35 +7,39 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_ATOMIC_ONLY = ("array", "map", "struct", "variant")
+_NESTED = ("array", "map", "struct", "variant")
 
 
-def profile_tables(tables: dict[str, DataFrame], slack: float = 0.15) -> DataFrame:
+def profile_tables(tables: dict[str, DataFrame]) -> DataFrame:
     """One row per column: ``table_name, column_name, data_type, row_count, null_count, is_nullable, is_unique``.
 
-    One pass per table folds counts and distinct sketches map-side. Only columns whose sketch comes within
-    ``slack`` of the row count can be unique; those alone are checked exactly, one group-by each. The driver
-    sees one row of counters per table.
+    Exact, in one plan for all columns: a table's rows become (column, value) pairs, which are counted map-side before
+    they meet, so a value or a null that most rows have sends one row per task. Columns of nested types are
+    counted and never unique.
     """
-    return reduce(DataFrame.unionByName, [_profile(name, df, slack) for name, df in tables.items()])
-
-
-def _profile(name: str, df: DataFrame, slack: float) -> DataFrame:
-    types = dict(df.dtypes)
-    sketchable = [c for c in df.columns if not types[c].startswith(_ATOMIC_ONLY)]
-    aggs = [F.count(F.lit(1)).alias("_rows")]
-    aggs += [F.count(F.col(c)).alias(f"n_{c}") for c in df.columns]
-    aggs += [F.approx_count_distinct(F.col(c), 0.03).alias(f"d_{c}") for c in sketchable]
-    stats = df.agg(*aggs).first()
-    total = stats["_rows"]
-    close = [c for c in sketchable if stats[f"n_{c}"] and stats[f"d_{c}"] >= (1 - slack) * stats[f"n_{c}"]]
-    unique = {c: df.where(F.col(c).isNotNull()).groupBy(c).count().where("count > 1").isEmpty() for c in close}
-    rows = [
-        (name, c, types[c], total, total - stats[f"n_{c}"], total > stats[f"n_{c}"], unique.get(c, False))
-        for c in df.columns
-    ]
-    schema = (
-        "table_name string, column_name string, data_type string, row_count bigint, null_count bigint, "
-        "is_nullable boolean, is_unique boolean"
+    return reduce(DataFrame.unionByName, [_profile(name, df) for name, df in tables.items()])
+
+
+def _profile(name: str, df: DataFrame) -> DataFrame:
+    types = df.dtypes
+    pair = lambda c, t: F.struct(
+        F.lit(c).alias("column_name"),
+        F.col(c).isNull().alias("missing"),
+        (F.when(F.col(c).isNotNull(), F.lit("")) if t.startswith(_NESTED) else F.col(c).cast("string")).alias("value"),
+    )
+    counts = df.select(F.explode(F.array(*[pair(c, t) for c, t in types])).alias("p")).groupBy("p.column_name", "p.missing", "p.value").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    columns = counts.groupBy("column_name").agg(
+        F.sum("n").alias("row_count"),
+        F.coalesce(F.sum(F.when(F.col("missing"), F.col("n"))), F.lit(0)).alias("null_count"),
+        F.max(F.when(~F.col("missing"), F.col("n"))).alias("most"),
+    )
+    # An empty table has columns too.
+    known = df.sparkSession.createDataFrame(types, "column_name string, data_type string")
+    nested = F.col("data_type").rlike(rf"^({'|'.join(_NESTED)})")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
+    return known.join(columns, "column_name", "left").select(
+        F.lit(name).alias("table_name"), "column_name", "data_type", zero("row_count").alias("row_count"), zero("null_count").alias("null_count"),
+        (zero("null_count") > 0).alias("is_nullable"), (~nested & F.coalesce(F.col("most") == 1, F.lit(False))).alias("is_unique"),
     )
-    return df.sparkSession.createDataFrame(rows, schema)

@@ -11,7 +11,6 @@ from schemahelm.functions import labels as lb
 from schemahelm.functions import text as tx
 from schemahelm.functions import typing as ty
 from schemahelm.operators import access, audit, breaker, diff, merge, metrics, policy, quality, routing
-from schemahelm.session import bounded_parts
 from schemahelm.sources import catalog, documents, registry, targets
 
 FIELD = "tenant_id string, db_id bigint, table_name string, column_name string, data_type string, is_nullable boolean, is_unique boolean, has_default boolean, default_value string, validator string"
@@ -233,12 +232,19 @@ def test_ordered_index_is_the_sorted_position(spark):
     assert {r.k: r.idx for r in df.collect()} == {k: i for i, k in enumerate(sorted(keys))}
 
 
-def test_bounded_parts_split_a_hot_group(spark):
-    df = spark.range(9000).select(F.when(F.col("id") < 6000, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("g"), F.col("id").cast("string").alias("k"))
-    sizes = bounded_parts(df, ["g"], "k", 500).groupBy("g", "part").count()
-    assert sizes.agg(F.sum("count")).first()[0] == 9000
-    assert sizes.where("g = 'hot'").count() == 12
-    assert sizes.agg(F.max("count")).first()[0] < 700
+def test_candidates_are_complete_and_found_by_rank(spark):
+    targets_ = spark.createDataFrame([(f"k{i:02d}", ["gold"] if i % 3 == 0 else ["silver"]) for i in range(9)], "tkey string, label_set array<string>")
+    reqs = spark.createDataFrame([(1, "k04", "gold"), (2, None, "gold"), (3, "k03", None), (4, "gone", "tin")], "id bigint, explicit_key string, prefer_label string")
+    rows = routing.candidates(reqs, targets_).collect()
+    order = lambda primary, want: [r.tkey for r in sorted(rows, key=lambda r: r.position) if (r["primary"], r.want) == (primary, want)]
+    keys = [f"k{i:02d}" for i in range(9)]
+    gold = keys[::3] + [k for k in keys if k not in keys[::3]]
+    assert order("k04", "gold") == ["k04"] + [k for k in gold if k != "k04"]
+    assert order(None, "gold") == gold and order("k03", "") == ["k03"] + [k for k in keys if k != "k03"] and order(None, "tin") == keys
+    for n in range(1, 11):
+        got = {r.id: r.tkey for r in routing.candidate_at(reqs, targets_, F.lit(n)).collect()}
+        want = [order("k04", "gold"), order(None, "gold"), order("k03", ""), order(None, "tin")]
+        assert [got[i] for i in (1, 2, 3, 4)] == [x[n - 1] if n <= 9 else None for x in want]
 
 
 # --- scans ------------------------------------------------------------------------------------------------
