@@ -93,14 +93,13 @@ def user_page(
         roles.select(F.col("id").alias("role_id"), F.col("name").alias("role")), "role_id"
     )
     names = named.groupBy(F.col("user_id").alias("id")).agg(F.array_join(F.array_sort(F.collect_set("role")), ",").alias("roles"))
-    # One-row total joined onto the page.
-    return (
-        rows.join(names, "id", "left")
-        .withColumn("roles", F.coalesce("roles", F.lit("")))
-        .withColumn("_one", F.lit(1))
-        .join(F.broadcast(total.withColumn("_one", F.lit(1))), "_one")
-        .drop("_one")
-    )
+    return _with_total(rows.join(names, "id", "left").withColumn("roles", F.coalesce("roles", F.lit(""))), total)
+
+
+def _with_total(rows: DataFrame, total: DataFrame) -> DataFrame:
+    """The page with the one-row ``total``; a page past the end is one row that has nothing but the total."""
+    one = total.withColumn("_one", F.lit(1)).join(rows.withColumn("_one", F.lit(1)), "_one", "left")
+    return one.select(*rows.columns, "total")
 
 
 def widget_filter(widgets: DataFrame, scopes: Sequence[str] = (), tenant: str = "", q: str = "") -> DataFrame:
@@ -122,8 +121,7 @@ def list_widgets(widgets: DataFrame, scopes: Sequence[str] = (), tenant: str = "
     """A page of widgets by id, with the total number of hits."""
     hits = widget_filter(widgets, scopes, tenant, q)
     rows = hits.orderBy("id").offset(max(offset, 0)).limit(clamp_limit(limit))
-    total = hits.agg(F.count(F.lit(1)).alias("total")).withColumn("_one", F.lit(1))
-    return rows.withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one").drop("_one")
+    return _with_total(rows, hits.agg(F.count(F.lit(1)).alias("total")))
 
 
 def list_failed(dlq: DataFrame) -> DataFrame:

@@ -176,12 +176,18 @@ _USER_HITS = """h AS (SELECT id, username FROM F_USERS u WHERE tenant_id = 't1'
 @query(
     "w2_user_page",
     f"""WITH {_USER_HITS}, p AS (SELECT * FROM h ORDER BY username DESC, id LIMIT 10 OFFSET 10)
- SELECT p.id, p.username, coalesce((SELECT string_agg(r.name, ',' ORDER BY r.name) FROM F_UROLES ur JOIN F_ROLES r ON r.id = ur.role_id WHERE ur.user_id = p.id), '') AS roles, (SELECT count(*) FROM h) AS total FROM p""",
+ SELECT p.id, p.username, CASE WHEN p.id IS NOT NULL THEN coalesce((SELECT string_agg(r.name, ',' ORDER BY r.name) FROM F_UROLES ur JOIN F_ROLES r ON r.id = ur.role_id WHERE ur.user_id = p.id), '') END AS roles,
+  t.total FROM (SELECT count(*) AS total FROM h) t LEFT JOIN p ON true""",
 )
 def _(x):
     return p.user_page(x.F_USERS, x.F_UROLES, x.F_ROLES, "t1", page=2, per_page=10, order="desc", term="1", without_role=2)
 
 
+@query("w2_past_the_end", f"WITH {_USER_HITS} SELECT NULL::BIGINT AS id, NULL::VARCHAR AS username, NULL::VARCHAR AS roles, count(*) AS total FROM h")
+def _(x):
+    return p.user_page(x.F_USERS, x.F_UROLES, x.F_ROLES, "t1", page=10**6, per_page=10, order="desc", term="1", without_role=2)
+
+
 @query(
     "w3_page_role_names",
     """WITH p AS (SELECT id, username FROM F_USERS WHERE tenant_id = 't0' ORDER BY username, id LIMIT 20)

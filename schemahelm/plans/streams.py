@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from schemahelm.operators import breaker as b
+from schemahelm.operators import merge
 from schemahelm.operators.diff import diff
 from schemahelm.plans.changes import _DIFF
+from schemahelm.plans.upserts import _SCAN, _SUMMARY, _scan
 from schemahelm.plans.fixtures import VIEWS
 from schemahelm.plans.labels import targets
 from schemahelm.plans.registry import query, ts_sql, ts_text
@@ -41,16 +43,33 @@ def dead(rows, attempt):
 _NOW = "TIMESTAMP '2024-06-01 12:00:00'"
 
 
+_ATTRS = ["data_type", "db_id", "default_value", "driver_extras", "has_default", "is_nullable", "is_unique", "kind", "label_key", "validator", "widget", "widget_config"]
+_SIDE = lambda s: "{" + ", ".join(["'table_name': table_name", "'column_name': column_name", *(f"'{c}': {s}_{c}" for c in _ATTRS)]) + "}"
+
+
 @query(
     "t1_change_events",
     _DIFF
     + f"""SELECT CASE change_type WHEN 'added' THEN 'cf.field.created' WHEN 'deleted' THEN 'cf.field.deleted' ELSE 'cf.field.updated' END AS name, {ts_sql(_NOW)} AS time,
- table_name || '.' || column_name AS id, CASE change_type WHEN 'deleted' THEN old_data_type ELSE new_data_type END AS data_type FROM chg WHERE change_type <> 'unchanged'""",
+ table_name || '.' || column_name AS id, CASE change_type WHEN 'added' THEN to_json({_SIDE('new')})::VARCHAR WHEN 'deleted' THEN to_json({{'table': table_name, 'column': column_name}})::VARCHAR
+  ELSE to_json({{'before': {_SIDE('old')}, 'after': {_SIDE('new')}}})::VARCHAR END AS data FROM chg WHERE change_type <> 'unchanged'""",
 )
 def _(x):
     now = F.lit("2024-06-01 12:00:00").cast("timestamp_ntz")
     out = ev.change_events(diff(x.F_OLDX.drop("k"), x.F_NEWX.drop("k")), now)
-    return out.select("name", ts_text("time").alias("time"), "id", F.get_json_object("data", "$.data_type").alias("data_type"))
+    return out.select("name", ts_text("time").alias("time"), "id", "data")
+
+
+@query(
+    "t1_scan_events",
+    _SCAN
+    + f"""SELECT 'cf.scan' AS name, {ts_sql(_NOW)} AS time, CAST(db_id AS VARCHAR) AS id, '{{"total":' || (inserted + updated + skipped) || ',"inserted":' || inserted || ',"updated":' || updated
+ || ',"skipped":' || skipped || ',"db_id":' || db_id || ',"tables":' || tables || '}}' AS data FROM (SELECT tenant_id, db_id, {_SUMMARY} FROM r GROUP BY tenant_id, db_id)""",
+)
+def _(x):
+    now = F.lit("2024-06-01 12:00:00").cast("timestamp_ntz")
+    out = ev.scan_events(merge.scan_databases(*_scan(x), ["email"]).summary, now)
+    return out.select("name", ts_text("time").alias("time"), "id", "data")
 
 
 _PAYLOAD = """'{"name":"' || name || '","time":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || '","data":' || replace(data, ' ', '') || ',"id":"' || id || '"}'"""
@@ -114,9 +133,14 @@ def _(x):
 )
 def _(x):
     dlq = x.F_EVT.where("failing_attempts >= 3").select(
-        "id", "name", "data", (F.col("failing_attempts") - 3).alias("failing_attempts"), F.lit(3).alias("attempts"), F.lit("refused").alias("last_error")
+        F.lit("flaky").alias("sink"), "id", "name", "data", (F.col("failing_attempts") - 3).alias("failing_attempts"), F.lit(3).alias("attempts"),
+        F.lit("refused").alias("last_error"),
     )
-    left, sent = ev.retry_dlq(dlq, ev.Sink("flaky", flaky), scratch_path(x.spark, "retry"))
+    path = scratch_path(x.spark, "dead")
+    dlq.write.parquet(path)
+    left, sent = ev.retry_dlq(x.spark, path, ev.Sink("flaky", flaky))
+    # What is still open is what failed.
+    left = ev.open_letters(x.spark, path).join(left.select("id"), "id", "left_semi")
     flag = lambda df, ok: df.select("id", F.lit(ok).alias("delivered"), "attempts")
     return flag(sent, True).unionByName(flag(left, False))
 
@@ -145,20 +169,21 @@ def _(x):
 
 @query(
     "t5_directory_changes",
-    """SELECT 'changed' AS change, 'w' || s_suppkey AS id FROM supplier WHERE s_suppkey % 3 <> 0 UNION ALL SELECT 'removed', '/gone/' || s_suppkey || '.json' FROM supplier WHERE s_suppkey % 5 = 0""",
+    """SELECT 'changed' AS change, 'w' || s_suppkey AS id FROM supplier WHERE s_suppkey % 3 <> 0 UNION ALL SELECT 'removed', 'gone' || s_suppkey FROM supplier WHERE s_suppkey % 5 = 0""",
 )
 def _(x):
     # One widget file per supplier; the previous poll knew a third of them, and others that are gone now.
     path = write_widget_files(x.supplier.select("s_suppkey", F.concat(F.lit("w"), F.col("s_suppkey").cast("string")).alias("id")))
-    files = st.directory_files(x.spark, path)
-    known = files.where(F.regexp_extract("file_path", "s_suppkey=([0-9]+)/", 1).cast("int") % 3 == 0)
+    key = F.regexp_extract("file_path", "s_suppkey=([0-9]+)/", 1)
+    known = st.directory_files(x.spark, path).where(key.cast("int") % 3 == 0).withColumn("id", F.concat(F.lit("w"), key))
     gone = x.supplier.where("s_suppkey % 5 = 0").select(
         F.concat(F.lit("/gone/"), F.col("s_suppkey").cast("string"), F.lit(".json")).alias("file_path"),
         F.current_timestamp().alias("modified"),
         F.lit(1).cast("bigint").alias("size"),
+        F.concat(F.lit("gone"), F.col("s_suppkey").cast("string")).alias("id"),
     )
     changed, removed, _ = st.directory_changes(x.spark, path, known.unionByName(gone))
-    return changed.select(F.lit("changed").alias("change"), "id").unionByName(removed.select(F.lit("removed").alias("change"), F.col("file_path").alias("id")))
+    return changed.select(F.lit("changed").alias("change"), "id").unionByName(removed.select(F.lit("removed").alias("change"), "id"))
 
 
 @query("t6_apply_if_new", "SELECT tkey, 'v2' AS version FROM F_TGT WHERE right(tkey, 1) <> '3'")

@@ -6,8 +6,8 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -33,6 +33,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
+    """A Parquet table, or None if nothing is at the path; any other error of the read is raised."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
 def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the files.
 
@@ -43,8 +53,3 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def hash_bucket(col: Column, buckets: Column) -> Column:
-    """Bucket number from the SHA-256 of a string: stable across engines, runs and retries."""
-    return F.pmod(F.conv(F.substring(F.sha2(col, 256), 1, 8), 16, 10).cast("bigint"), buckets)

@@ -7,24 +7,35 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
 from schemahelm.functions.text import hmac_sha256
+from schemahelm.session import read_if_there
 
 # --- fixed values: event names of registry changes
 EVENT_NAMES = {"added": "cf.field.created", "updated": "cf.field.updated", "deleted": "cf.field.deleted"}
+SCAN_EVENT = "cf.scan"
 
 
 def change_events(changes: DataFrame, now: Column) -> DataFrame:
-    """Events of a diff's real changes: ``name, time, data, id``; works on batches and streams."""
+    """Events of a diff's real changes: ``name, time, data, id``; works on batches and streams.
+
+    The data of a created field is its definition, of an updated one ``{before, after}``, of a deleted one its
+    table and column.
+    """
     kind = F.col("change_type")
     name = F.when(kind == "added", F.lit(EVENT_NAMES["added"])).when(kind == "deleted", F.lit(EVENT_NAMES["deleted"]))
-    side = lambda c: F.when(kind == "deleted", F.col(f"old_{c}")).otherwise(F.col(f"new_{c}"))
     attrs = sorted(c[4:] for c in changes.columns if c.startswith("new_") and f"old_{c[4:]}" in changes.columns)
-    data = F.to_json(F.struct("table_name", "column_name", *[side(c).alias(c) for c in attrs]))
+    side = lambda s: F.struct("table_name", "column_name", *[F.col(f"{s}_{c}").alias(c) for c in attrs])
+    text = lambda *fields: F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+    data = (
+        F.when(kind == "added", F.to_json(side("new"), {"ignoreNullFields": "false"}))
+        .when(kind == "deleted", text(F.col("table_name").alias("table"), F.col("column_name").alias("column")))
+        .otherwise(text(side("old").alias("before"), side("new").alias("after")))
+    )
     return changes.where(kind != "unchanged").select(
         name.otherwise(F.lit(EVENT_NAMES["updated"])).alias("name"),
         now.alias("time"),
@@ -34,13 +45,12 @@ def change_events(changes: DataFrame, now: Column) -> DataFrame:
 
 
 def scan_events(summary: DataFrame, now: Column) -> DataFrame:
-    """One event per scanned database, its counters as data."""
-    counters = ("tables", "inserted", "updated", "skipped")
+    """One event per scanned database: its id, and its counters as data."""
+    data = F.struct(
+        (F.col("inserted") + F.col("updated") + F.col("skipped")).alias("total"), "inserted", "updated", "skipped", "db_id", "tables"
+    )
     return summary.select(
-        F.lit("cf.database.scanned").alias("name"),
-        now.alias("time"),
-        F.to_json(F.struct(*counters)).alias("data"),
-        F.concat_ws("/", "tenant_id", F.col("db_id").cast("string")).alias("id"),
+        F.lit(SCAN_EVENT).alias("name"), now.alias("time"), F.to_json(data).alias("data"), F.col("db_id").cast("string").alias("id")
     )
 
 
@@ -55,10 +65,6 @@ def sign_events(events: DataFrame, secret: str) -> DataFrame:
     return event_payload(events).withColumn("signature", hmac_sha256("payload", secret))
 
 
-def kafka_options(brokers: str, topic: str) -> dict[str, str]:
-    return {"kafka.bootstrap.servers": brokers, "topic": topic}
-
-
 def write_events(stream: DataFrame, format: str, options: dict[str, str], checkpoint: str) -> DataStreamWriter:
     """Writer of JSON events keyed by id, for Kafka or any other stream sink; the caller starts it."""
     rows = event_payload(stream).select(F.col("id").cast("string").alias("key"), F.col("payload").alias("value"))
@@ -88,12 +94,16 @@ def deliver(events: DataFrame, sink: Sink, work: str, max_attempts: int = 3, del
     """Send a batch with retries; returns every event with ``attempts`` and ``error`` (NULL when delivered).
 
     Attempts are rounds over what is still failing, each written to ``work`` before it is judged: a send is
-    not repeated because its result is read twice, and the job waits once per round, not per event.
+    not repeated because its result is read twice, and the job waits once per round, not per event. ``work`` belongs to
+    one batch and sink. When the batch is repeated, its own log is read first and what was delivered is not sent again.
     """
     spark = events.sparkSession
-    pending = events
+    log = read_if_there(spark, work)
+    done = None if log is None else log.where(F.col("error").isNull())
+    pending = events if done is None else events.join(done.select("id"), "id", "left_anti")
+    run = 0 if log is None else log.agg(F.max("run")).first()[0] + 1
     for attempt in range(1, max_attempts + 1):
-        path = f"{work}/attempt={attempt}"
+        path = f"{work}/run={run}/attempt={attempt}"
         _send_once(pending, sink, attempt).write.mode("overwrite").parquet(path)
         sent = spark.read.parquet(path)
         pending = sent.where(F.col("error").isNotNull()).drop("error")
@@ -102,9 +112,9 @@ def deliver(events: DataFrame, sink: Sink, work: str, max_attempts: int = 3, del
         wait = delay * 2 ** (attempt - 1)
         time.sleep(min(wait, max_delay) if max_delay > 0 else wait)
     rounds = spark.read.parquet(work).withColumnRenamed("attempt", "attempts")
-    # Delivered rows of every round, failed rows of the last one; later rounds are left from an earlier try.
-    settled = (F.col("attempts") <= attempt) & (F.col("error").isNull() | (F.col("attempts") == attempt))
-    return rounds.where(settled).withColumn("attempts", F.col("attempts").cast("bigint"))
+    # Delivered rows of every round of any run, failed rows of this run's last round.
+    settled = F.col("error").isNull() | ((F.col("run") == run) & (F.col("attempts") == attempt))
+    return rounds.where(settled).drop("run").withColumn("attempts", F.col("attempts").cast("bigint"))
 
 
 def dead_letters(outcome: DataFrame, sink: str) -> DataFrame:
@@ -128,22 +138,48 @@ def run_fanout(stream: DataFrame, sinks: Sequence[Sink], work: str, dlq: str, ch
 
     def dispatch(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
+        try:
+            send(batch, batch_id)
+        finally:
+            batch.unpersist()
+
+    def send(batch: DataFrame, batch_id: int) -> None:
         for sink in sinks:
             outcome = deliver(batch, sink, f"{work}/sends/batch_id={batch_id}/to={sink.name}", max_attempts, delay, max_delay)
             log = outcome.select(F.lit(sink.name).alias("sink"), "id", "attempts", F.col("error").isNull().alias("delivered"))
             log.write.mode("overwrite").parquet(f"{work}/log/batch_id={batch_id}/to={sink.name}")
             write_dlq(outcome, sink.name, dlq, batch_id)
-        batch.unpersist()
 
     writer = stream.writeStream.foreachBatch(dispatch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def retry_dlq(dlq: DataFrame, sink: Sink, work: str) -> tuple[DataFrame, DataFrame]:
-    """Send dead letters once more -> (still failing, delivered)."""
-    path = f"{work}/redispatch"
-    _send_once(dlq, sink, 1).write.mode("overwrite").parquet(path)
-    sent = dlq.sparkSession.read.parquet(path)
+def open_letters(spark: SparkSession, dlq: str) -> DataFrame:
+    """Dead letters that no retry has delivered, with the attempts and the last error of all retries so far."""
+    letters = spark.read.parquet(dlq)
+    tried = read_if_there(spark, f"{dlq}.retries")
+    if tried is None:
+        return letters
+    seen = tried.groupBy("sink", "id").agg(
+        F.bool_or(F.col("error").isNull()).alias("_done"), F.count(F.lit(1)).alias("_more"), F.max_by("error", "retry").alias("_error")
+    )
+    rows = letters.join(seen, ["sink", "id"], "left").where(~F.coalesce("_done", F.lit(False)))
+    attempts = (F.col("attempts") + F.coalesce("_more", F.lit(0))).cast(letters.schema["attempts"].dataType)
+    return rows.withColumn("attempts", attempts).withColumn("last_error", F.coalesce("_error", "last_error")).select(letters.columns)
+
+
+def retry_dlq(spark: SparkSession, dlq: str, sink: Sink) -> tuple[DataFrame, DataFrame]:
+    """Send the open dead letters of a sink once more -> (still failing, delivered).
+
+    The outcome is added to the log beside the store as one more retry, which takes delivered letters out of it; a
+    retry that breaks off leaves no log, and its letters stay open.
+    """
+    log = f"{dlq}.retries"
+    past = read_if_there(spark, log)
+    retry = 0 if past is None else past.agg(F.max("retry")).first()[0] + 1
+    pending = open_letters(spark, dlq).where(F.col("sink") == sink.name)
+    _send_once(pending, sink, 1).write.mode("overwrite").parquet(f"{log}/retry={retry}")
+    sent = spark.read.parquet(f"{log}/retry={retry}")
     failed = F.col("error").isNotNull()
     remaining = sent.where(failed).withColumn("last_error", F.col("error")).withColumn("attempts", F.col("attempts") + 1)
     return remaining.drop("error"), sent.where(~failed).drop("error")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from schemahelm.operators.breaker import BreakerPolicy, breaker_states
 from schemahelm.operators.diff import diff, diff_summary
+from schemahelm.session import read_if_there
 from schemahelm.sources.targets import ignored_file, parse_widgets
 
 
@@ -50,10 +51,7 @@ def widget_state(stream: DataFrame, path: str, checkpoint: str, repository: Data
 
 
 def current_widgets(base: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
-    """Base registry with the logged changes applied: the latest change per id wins.
-
-    To compact, write the result as the new base and pass only changes of later batches from then on.
-    """
+    """Base registry with the logged changes applied: the latest change per id wins."""
     payload = [c for c in base.columns if c != key]
     seeded = base.select(key, F.lit("upsert").alias("change_type"), *payload, F.struct(F.lit(-1).cast("bigint").alias("b"), F.lit(0).cast("bigint").alias("s")).alias("_at"))
     logged = changes.select(
@@ -63,6 +61,20 @@ def current_widgets(base: DataFrame, changes: DataFrame, key: str = "id") -> Dat
     return last.where(F.col("_s.change_type") == "upsert").select(key, *[F.col(f"_s.{c}").alias(c) for c in payload])
 
 
+def compact_widgets(spark: SparkSession, base: DataFrame, path: str, upto: int) -> DataFrame:
+    """New base with the log's batches up to ``upto`` applied; from then on pass only ``changes_after`` that batch.
+
+    Nothing is deleted here: old batches can go once the new base is stored.
+    """
+    changes = spark.read.parquet(path)
+    return current_widgets(base, changes.where(F.col("batch_id") <= upto))
+
+
+def changes_after(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
+    """Logged changes of later batches; the filter prunes to their folders."""
+    return spark.read.parquet(path).where(F.col("batch_id") > batch_id)
+
+
 def directory_files(spark: SparkSession, path: str) -> DataFrame:
     """Widget files of a folder with their times and sizes; contents are not read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(path)
@@ -70,32 +82,47 @@ def directory_files(spark: SparkSession, path: str) -> DataFrame:
     return listed.where(~ignored_file(F.element_at(F.split("file_path", "/"), -1)))
 
 
+LISTING = "file_path string, modified timestamp, size bigint, id string"
+
+
 def directory_changes(spark: SparkSession, path: str, previous: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Compare a folder with its previous listing -> (changed widget rows, removed file paths, listing)."""
+    """Compare a folder with its previous listing -> (changed widget rows, removed widget ids, listing).
+
+    Only files that are new or changed are read. A widget is removed when its file is gone, or holds another one now,
+    and no other file has its id. The listing remembers the id of each file.
+    """
     now = directory_files(spark, path)
-    changes = diff(previous, now, ["file_path"], ["modified", "size"])
-    touched = changes.where("change_type in ('added', 'updated')").select("file_path")
-    text = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path)
-    text = text.select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_path").alias("file_path"))
+    changes = diff(previous.drop("id"), now, ["file_path"], ["modified", "size"])
+    # The files that were touched since the last poll.
+    touched = [r[0] for r in changes.where("change_type in ('added', 'updated')").select("file_path").collect()]
+    if touched:
+        text = spark.read.option("wholetext", True).text(touched)
+    else:
+        text = spark.createDataFrame([], "value string").withColumn("_metadata", F.lit(None).cast("struct<file_name:string,file_path:string>"))
     local = lambda c: F.regexp_replace(c, "^file:/+", "/")
-    named = text.withColumn("file_path", local("file_path")).join(touched.withColumn("file_path", local("file_path")), "file_path", "left_semi")
-    return parse_widgets(named), changes.where("change_type = 'deleted'").select("file_path"), now
+    parsed = parse_widgets(text.select("value", F.col("_metadata.file_path").alias("file")))
+    names = parsed.where(F.col("error").isNull()).select(local("file").alias("_f"), F.col("id").alias("_new"))
+    kept = previous.select(local("file_path").alias("_p"), F.col("id").alias("_old"))
+    same = changes.where("change_type = 'unchanged'").select(local("file_path").alias("_p")).join(kept, "_p")
+    listing = now.withColumn("_f", local("file_path")).join(names, "_f", "left").join(same.withColumnRenamed("_p", "_f"), "_f", "left")
+    listing = listing.select("file_path", "modified", "size", F.coalesce("_new", "_old").alias("id"))
+    removed = previous.where(F.col("id").isNotNull()).select("id").distinct().join(listing.where(F.col("id").isNotNull()).select("id"), "id", "left_anti")
+    changed = parsed.withColumn("file", F.element_at(F.split("file", "/"), -1))
+    return changed, removed, listing
 
 
 def watch_dir(spark: SparkSession, path: str, on_change: Callable[[DataFrame, DataFrame, int], None], state: str, checkpoint: str, debounce: str = "1 second"):
     """Poll a folder; changes within one trigger interval are handled together.
 
-    ``on_change(changed, removed, batch_id)`` gets parsed widgets and removed paths. The listing of each poll
+    ``on_change(changed, removed, batch_id)`` gets parsed widgets and removed ids. The listing of each poll
     is kept under its batch id, and the next poll compares with it.
     """
     ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
-    empty = spark.createDataFrame([], "file_path string, modified timestamp, size bigint")
+    empty = spark.createDataFrame([], LISTING)
 
     def poll(_: DataFrame, batch_id: int) -> None:
-        try:
-            previous = spark.read.parquet(f"{state}/batch_id={batch_id - 1}")
-        except Exception:  # no listing yet
-            previous = empty
+        previous = read_if_there(spark, f"{state}/batch_id={batch_id - 1}")
+        previous = empty if previous is None else previous
         changed, removed, listing = directory_changes(spark, path, previous)
         on_change(changed, removed, batch_id)
         listing.write.mode("overwrite").parquet(f"{state}/batch_id={batch_id}")
@@ -108,11 +135,8 @@ def watch_dir(spark: SparkSession, path: str, on_change: Callable[[DataFrame, Da
 
 def stored_version(spark: SparkSession, path: str) -> str | None:
     """Version of the configuration applied last; None before the first one."""
-    try:
-        row = spark.read.parquet(f"{path}/applied").agg(F.max_by("version", "no").alias("v")).first()
-    except Exception:  # nothing applied yet
-        return None
-    return row["v"]
+    applied = read_if_there(spark, f"{path}/applied")
+    return None if applied is None else applied.agg(F.max_by("version", "no").alias("v")).first()["v"]
 
 
 def apply_if_new(config: DataFrame, version: str, path: str) -> bool:

@@ -1,7 +1,8 @@
-"""Small cases with known answers."""
+"""Small cases with known answers; names, patterns and expected texts in them are fixed values."""
 
 import json
 import random
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -455,31 +456,64 @@ def test_fanout_is_idempotent_per_batch(spark, tmp_path):
 
     calls = spark.createDataFrame([(i, "n", "{}", i % 4) for i in range(40)], "id bigint, name string, data string, failing_attempts bigint")
     calls = calls.withColumn("time", F.lit("t"))
-    sink = events.Sink("s", lambda rows, attempt: ["no" if n >= attempt else None for n in rows["failing_attempts"]])
-    for _ in range(2):
+    sent = tmp_path / "sent"
+    sent.mkdir()
+
+    def send(rows, attempt):
+        for i in rows["id"]:
+            (sent / f"{i}-{attempt}-{uuid.uuid4().hex}").touch()
+        return ["no" if n >= attempt else None for n in rows["failing_attempts"]]
+
+    sink = events.Sink("s", send)
+    for run in range(2):
         out = events.deliver(calls, sink, str(tmp_path / "w"), 3, delay=0.0)
         assert out.count() == 40
         assert values(out.groupBy("attempts").agg(F.count_if(F.col("error").isNotNull()).alias("failed"), F.count("id").alias("n")), "attempts", "failed", "n") == [(1, 0, 10), (2, 0, 10), (3, 10, 20)]
         events.write_dlq(out, "s", str(tmp_path / "dlq"), 0)
+        # A repeated batch sends only what was not delivered.
+        assert len(list(sent.iterdir())) == 40 + 30 + 20 + run * 30
     assert spark.read.parquet(str(tmp_path / "dlq")).count() == 10
 
 
+def test_retried_letters_leave_the_store(spark, tmp_path):
+    from schemahelm.streaming import events
+
+    dlq = str(tmp_path / "dlq")
+    spark.createDataFrame([("s", i, "n", "{}", 3, "x") for i in range(6)], "sink string, id bigint, name string, payload string, attempts bigint, last_error string").write.parquet(dlq)
+    sink = events.Sink("s", lambda rows, attempt: [None if i % 2 else "no" for i in rows["id"]])
+    left, done = events.retry_dlq(spark, dlq, sink)
+    assert values(left, "id", "attempts") == [(0, 4), (2, 4), (4, 4)] and values(done, "id") == [(1,), (3,), (5,)]
+    assert values(events.open_letters(spark, dlq), "id", "attempts", "last_error") == [(0, 4, "no"), (2, 4, "no"), (4, 4, "no")]
+    left, done = events.retry_dlq(spark, dlq, sink)
+    assert values(left, "id", "attempts") == [(0, 5), (2, 5), (4, 5)] and done.count() == 0
+
+
+def test_unreadable_state_is_an_error(spark, tmp_path):
+    from schemahelm.streaming import state
+
+    assert state.stored_version(spark, str(tmp_path / "none")) is None
+    (tmp_path / "bad" / "applied").mkdir(parents=True)
+    (tmp_path / "bad" / "applied" / "part-0.parquet").write_bytes(b"no parquet")
+    with pytest.raises(Exception):
+        state.stored_version(spark, str(tmp_path / "bad"))
+
+
 def test_directory_poll(spark, tmp_path):
     from schemahelm.streaming import state
 
     folder = tmp_path / "d"
     folder.mkdir()
     (folder / "a.json").write_text('{"id":"a","name":"n","type":"widget"}')
-    empty = spark.createDataFrame([], "file_path string, modified timestamp, size bigint")
+    empty = spark.createDataFrame([], state.LISTING)
     changed, removed, listing = state.directory_changes(spark, str(folder), empty)
     seen = spark.createDataFrame(listing.collect(), listing.schema)
     assert values(changed, "id") == [("a",)] and removed.count() == 0
     (folder / "b.json").write_text('{"id":"b","name":"n","type":"widget"}')
     (folder / "a.json").write_text('{"id":"a","name":"longer","type":"widget"}')
-    gone = spark.createDataFrame([("/x/gone.json", None, 1)], seen.schema)
+    gone = spark.createDataFrame([("/x/gone.json", None, 1, "gone"), ("/x/twin.json", None, 1, "a")], seen.schema)
     changed, removed, _ = state.directory_changes(spark, str(folder), seen.unionByName(gone))
     assert values(changed, "id", "name") == [("a", "longer"), ("b", "n")]
-    assert values(removed, "file_path") == [("/x/gone.json",)]
+    assert values(removed, "id") == [("gone",)]
 
 
 def test_apply_materialized_equals_lazy(spark):
