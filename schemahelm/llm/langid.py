@@ -108,6 +108,8 @@ def train(docs: DataFrame, max_words: int = 100_000, max_grams: int = 50_000) ->
         for n in GRAMS:
             starts = F.sequence(F.lit(1), F.length("p") - (n - 1))
             each = padded.where(F.length("p") >= n).select("lang", "n", F.explode(F.transform(starts, lambda i: F.substr(F.col("p"), i, F.lit(n)))).alias("gram"))  # noqa: B023
+            # A mere end of a word tells nothing.
+            each = each.where(~F.col("gram").isin("^", "$"))
             grams[n] = _log_frequencies(each, "gram", langs, max_grams)
     finally:
         counts.unpersist()

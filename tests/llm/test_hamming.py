@@ -28,7 +28,12 @@ def test_ties_copies_and_clusters_in_several_blocks(spark, monkeypatch):
     monkeypatch.setattr(hamming, "QUERIES", 20)
     rng = random.Random(1)
     codes = [rng.getrandbits(64) - 2**63 for _ in range(60)]
-    rows = [(i, codes[0] if i % 3 == 0 else codes[rng.randrange(60)] ^ sum(1 << rng.randrange(63) for _ in range(rng.randrange(6)))) for i in range(900)]
+    rows = []
+    for i in range(900):
+        code = codes[0] if i % 3 == 0 else codes[rng.randrange(60)]
+        for _ in range(rng.randrange(6) if i % 3 else 0):
+            code ^= 1 << rng.randrange(63)
+        rows.append((i, code))
     asked = [r for r in rows if r[0] % 20 == 0]
     assert search(spark, rows, asked, 7) == brute_force(rows, asked, 7)
 
