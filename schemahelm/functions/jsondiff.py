@@ -91,14 +91,35 @@ def _key_counts(before: str | None, after: str | None) -> tuple[int, int]:
     return added, removed
 
 
+#: Types of values whose JSON text is the same in every writer.
+_PLAIN = ("BIGINT", "STRING", "BOOLEAN", "VOID")
+
+
+def _plain_text(doc: Column) -> Column:
+    """Stable text of a flat object of whole numbers, plain strings, truth values and nulls; NULL for anything else."""
+
+    def text(v: Column) -> Column:
+        members = F.map_entries(F.transform_values(F.try_variant_get(v, "$", "map<string,variant>"), lambda k, x: F.when(F.schema_of_variant(x).isin(*_PLAIN), F.to_json(x))))
+        simple = lambda e: ~e["key"].rlike(r'["\\\x00-\x1f]') & F.coalesce(~e["value"].contains("\\"), F.lit(False))
+        lines = F.transform(F.array_sort(members), lambda e: F.concat(F.lit('  "'), e["key"], F.lit('": '), e["value"]))
+        whole = F.concat(F.lit("{\n"), F.array_join(lines, ",\n"), F.lit("\n}"))
+        return F.when(F.schema_of_variant(v).startswith("OBJECT<") & (F.size(members) > 0) & F.forall(members, simple), whole)
+
+    return let(F.try_parse_json(doc), text)
+
+
 def normalize_json(doc: Column | str) -> Column:
-    """Sorted keys, two-space indentation; text that is no JSON stays as it is."""
+    """Sorted keys, two-space indentation; text that is no JSON stays as it is.
+
+    Flat objects of plain values are written inside the JVM; the helper gets only what is left.
+    """
 
     @F.pandas_udf("string")
     def stable(values: pd.Series) -> pd.Series:
         return values.map(lambda v: None if v is None else _stable(v))
 
-    return stable(col_of(doc))
+    native = _plain_text(col_of(doc))
+    return F.coalesce(native, stable(F.when(native.isNull(), col_of(doc))))
 
 
 def nested_diff_counts(before: Column | str, after: Column | str) -> Column:

@@ -153,7 +153,9 @@ _VIEWED = "SELECT c_custkey AS user_id, CAST(c_nationkey AS BIGINT) AS id, 'post
 
 @query(
     "p30_mask_secrets",
-    f"""WITH w AS (SELECT DISTINCT user_id FROM F_UROLES WHERE role_id IN (1, 2)) SELECT v.user_id, v.id, CASE WHEN w.user_id IS NOT NULL THEN v.dsn ELSE '' END AS dsn FROM ({_VIEWED}) v LEFT JOIN w ON w.user_id = v.user_id""",
+    f"""WITH v AS ({_VIEWED}), w AS (SELECT DISTINCT v.user_id, v.id FROM v JOIN F_UROLES ur ON ur.user_id = v.user_id JOIN F_POLICIES p ON p.role_id = ur.role_id
+  AND (({_match("'/v1/databases'", "'POST'")}) OR ({_match("'/v1/databases/' || v.id", "'PUT'")}) OR ({_match("'/v1/databases/' || v.id", "'DELETE'")})))
+ SELECT v.user_id, v.id, CASE WHEN w.user_id IS NOT NULL THEN v.dsn ELSE '' END AS dsn FROM v LEFT JOIN w ON w.user_id = v.user_id AND w.id = v.id""",
 )
 def _(x):
     x.customer.createOrReplaceTempView("customer")

@@ -117,7 +117,11 @@ SELECT DISTINCT o_custkey AS user_id, CAST(1 + o_orderkey % 5 AS BIGINT) AS role
 VIEWS["F_POLICIES"] = """
 SELECT CAST(v.role_id AS BIGINT) AS role_id, v.path AS path, v.method AS method
 FROM (VALUES (1,'/v1/*','*'), (2,'/v1/databases','GET'), (2,'/v1/databases/:id','PUT'), (3,'/v1/custom-fields','GET'),
-             (3,'/v1/custom-fields/:name','DELETE'), (4,'/v1/snapshots','POST')) AS v(role_id, path, method)"""
+             (3,'/v1/custom-fields/:name','DELETE'), (4,'/v1/snapshots','POST')) AS v(role_id, path, method)
+UNION ALL
+SELECT CAST(1 + s_suppkey % 5 AS BIGINT), CASE s_suppkey % 3 WHEN 0 THEN '/v1/databases/' || CAST(s_suppkey AS STRING) WHEN 1 THEN '/v1/targets/' || CAST(s_suppkey AS STRING) || '/*'
+       ELSE '/v1/targets/' || CAST(s_suppkey AS STRING) || '/:part' END, CASE s_suppkey % 2 WHEN 0 THEN 'GET' ELSE 'PUT' END
+FROM supplier"""
 
 VIEWS["F_API"] = """
 SELECT event_id AS request_id, 't' || CAST(user_id % 4 AS STRING) AS tenant, user_id,

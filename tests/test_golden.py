@@ -449,6 +449,16 @@ def test_widget_state_over_batches(spark, tmp_path):
     state.widget_state(_split_source(spark, df, "seq", 3, tmp_path), out, str(tmp_path / "cp")).awaitTermination()
     base = spark.createDataFrame([("z", "0")], "id string, version string")
     assert values(state.current_widgets(base, spark.read.parquet(out)), "id", "version") == [("a", "3"), ("z", "0")]
+    # A base with some batches applied and the later changes are the same registry.
+    newer = state.compact_widgets(spark, base, out, 0)
+    assert values(state.current_widgets(newer, state.changes_after(spark, out, 0)), "id", "version") == [("a", "3"), ("z", "0")]
+
+
+def test_stable_text_is_the_same_on_both_paths(spark):
+    docs = ['{"b":1,"a":"x"}', '{"z":null,"é":true,"y":false}', "{}", '{"a":1.0}', '{"a":1.50,"b":2}', '{"a":"q\\"uote"}', '{"a\\n":1}', '{"a":{"b":1}}', '{"a":[1]}',
+            "[1]", "no json", "", None, '{"a":12345678901234567890}', '{"a":1e3}', '{"a":"tab\\t"}', '{"a":"/"}', '{"a":-0}', '{"a":1,"a":2}', ' {"k" : "v" } ']
+    got = [r[0] for r in spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "i int, d string").orderBy("i").select(jsondiff.normalize_json("d")).collect()]
+    assert got == [None if d is None else jsondiff._stable(d) for d in docs]
 
 
 def test_fanout_is_idempotent_per_batch(spark, tmp_path):
