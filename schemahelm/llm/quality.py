@@ -42,25 +42,26 @@ def document_statistics(text: bytes) -> list[float]:
     letters = max(1, int(counts[65:91].sum() + counts[97:123].sum() + counts[128:].sum()))
     same = sum(map(bytes.__eq__, words[1:], words[:-1]))
     marked = sum(1 for w in seen for _ in range(seen[w]) if _SYMBOLS[w[-1]]) if counts[_SYMBOLS].any() else 0
-    root = lambda part, whole: float(np.sqrt(part / whole))
+    # Shares of very short texts say little: they are taken as if some plain words and letters more were there.
+    root = lambda part, whole, more: float(np.sqrt(part / (whole + more)))
     return [
         float(np.log1p(n)),
-        float(np.log(size / n)),
+        float(np.log((size + 60) / (n + 10))),
         # Distinct words grow as a power of the length; the exponent barely depends on it.
-        float(np.log(len(seen)) / np.log(n)) if n > 1 else 1.0,
-        root(same, max(1, n - 1)),
-        root(max(seen.values()) - 1, n),
-        root(int(counts[_SYMBOLS].sum()), size),
-        root(marked, n),
-        root(int(counts[65:91].sum()), letters),
-        root(int(counts[48:58].sum()), size),
-        root(int(counts[124]), n),
-        root(int(counts[33]), n),
-        root(int(counts[46] + counts[63] + counts[33]), n),
+        float(np.log(len(seen) + 10) / np.log(n + 10)),
+        root(same, n, 10),
+        root(max(seen.values()) - 1, n, 10),
+        root(int(counts[_SYMBOLS].sum()), size, 60),
+        root(marked, n, 10),
+        root(int(counts[65:91].sum()), letters, 60),
+        root(int(counts[48:58].sum()), size, 60),
+        root(int(counts[124]), n, 10),
+        root(int(counts[33]), n, 10),
+        root(int(counts[46] + counts[63] + counts[33]), n, 10),
         float(np.log1p(n / len(lines))),
-        len(set(lines)) / len(lines),
-        float(-(share * np.log(share)).sum()),
-        root(int(counts[128:].sum()), size),
+        (len(set(lines)) + 2) / (len(lines) + 2),
+        float(-(share * np.log(share)).sum()) * size / (size + 60),
+        root(int(counts[128:].sum()), size, 60),
     ]
 
 
