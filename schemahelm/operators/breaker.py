@@ -1,7 +1,7 @@
 """Circuit breaker states of an attempt log.
 
 A key's breaker depends on everything before, yet one hot key must not become one task. The log of a key is
-cut into time slices. Each slice is summarised on its own: for every state the breaker may be in at its
+cut into time slices, finer ones where a key has many rows at a time. Each slice is summarised on its own: for every state the breaker may be in at its
 start, the state at its end. The summaries are short (neighbouring cases that end alike are merged) and are
 chained per key; then each slice is replayed from its known start. All three steps run per slice or on
 summaries.
@@ -28,6 +28,7 @@ class BreakerPolicy:
     open_after: int = 3
     open_seconds: int = 60
     slice_seconds: int = 86400
+    slice_rows: int = 50_000
 
     @property
     def counts(self) -> int:
@@ -101,6 +102,20 @@ def _chain(pdf: pd.DataFrame, failures: int, until: int) -> list[tuple[int, int]
     return [*starts, (failures, until)]
 
 
+def _sliced(attempts: DataFrame, policy: BreakerPolicy) -> DataFrame:
+    """The log with ``slice``, the start of each row's slice in microseconds.
+
+    A slice of more than ``slice_rows`` rows is cut into equal parts of its time; the counts are folded map-side.
+    """
+    width = policy.slice_seconds * 1_000_000
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    log = attempts.select("seq", "tkey", us.alias("us"), "outcome").withColumn("_coarse", F.expr(f"us - pmod(us, {width}L)"))
+    counts = log.groupBy("tkey", "_coarse").agg(F.ceil(F.count(F.lit(1)) / policy.slice_rows).cast("bigint").alias("_parts"))
+    step = F.ceil(F.lit(width) / F.col("_parts")).cast("bigint")
+    placed = log.join(counts, ["tkey", "_coarse"]).withColumn("_step", step)
+    return placed.withColumn("slice", F.expr("_coarse + (us - _coarse) div _step * _step")).drop("_coarse", "_parts", "_step")
+
+
 def breaker_states(attempts: DataFrame, policy: BreakerPolicy, initial: DataFrame | None = None, materialize: bool = False) -> tuple[DataFrame, DataFrame]:
     """Attempt log (``seq, tkey, ts, outcome``) -> (rows, final state per key).
 
@@ -108,9 +123,7 @@ def breaker_states(attempts: DataFrame, policy: BreakerPolicy, initial: DataFram
     ``state`` (after it). ``initial`` carries ``tkey, failures, open_until_us`` from an earlier run. ``materialize`` writes the small
     table of slice starts once, for callers that use both results.
     """
-    width = policy.slice_seconds * 1_000_000
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    log = attempts.select("seq", "tkey", us.alias("us"), "outcome", F.floor(us / F.lit(width)).cast("bigint").alias("slice"))
+    log = _sliced(attempts, policy)
 
     def summarise(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["us", "seq"])

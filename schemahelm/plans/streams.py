@@ -201,7 +201,7 @@ def _(x):
     return b.prune_states(states, targets(x).where(F.array_contains("label_set", "tier=gold")))
 
 
-_POLICY = b.BreakerPolicy(open_after=2, open_seconds=3 * 3600, slice_seconds=86400)
+_POLICY = b.BreakerPolicy(open_after=2, open_seconds=3 * 3600, slice_seconds=86400, slice_rows=20)
 _OPENED = "epoch_us(n.ts) + 10800000000"
 # One attempt after the other per key: the state before decides whether the attempt is made.
 _BREAKER = f"""n AS (SELECT *, row_number() OVER (PARTITION BY tkey ORDER BY ts, seq) AS rn FROM F_HLT),

@@ -431,7 +431,7 @@ def test_breaker_stream_carries_state(spark, tmp_path):
         ts += rng.choice([1, 3, 9])
         rows.append((seq, "k" if seq % 3 else "other", ts, rng.choice(["ok", "transient", "transient"])))
     df = spark.createDataFrame(rows, "seq bigint, tkey string, t bigint, outcome string").withColumn("ts", F.timestamp_seconds("t"))
-    policy_ = breaker.BreakerPolicy(open_after=2, open_seconds=15, slice_seconds=100)
+    policy_ = breaker.BreakerPolicy(open_after=2, open_seconds=15, slice_seconds=100, slice_rows=7)
     out = str(tmp_path / "out")
     state.breaker_stream(_split_source(spark, df, "seq", 4, tmp_path), policy_, out, str(tmp_path / "cp")).awaitTermination()
     streamed = spark.read.parquet(out + "/rows")
