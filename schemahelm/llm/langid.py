@@ -86,11 +86,25 @@ class LanguageModel:
 
 
 def _log_frequencies(counts: DataFrame, key: str, langs: list[str], most: int) -> tuple[dict[str, int], np.ndarray]:
-    """Places of the ``most`` frequent keys and, by place, their smoothed log frequencies; totals are over all keys."""
+    """Places of the most frequent keys, at most ``most``, and, by place, their smoothed log frequencies; totals are over all keys.
+
+    A histogram of the frequencies (sixteenths of a doubling, and within each 64 slots by hash) tells where to cut, so
+    that no task sends more than what stays.
+    """
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     each = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(langs)]
-    top = counts.groupBy(key).agg(F.sum("n").alias("n"), *each).where("n > 1").orderBy(F.desc("n"), key).limit(most)
-    rows = top.collect()  # at most ``most`` rows
+    slot = F.floor(F.log2(F.col("n").cast("double")) * 16) * 64 + F.pmod(F.xxhash64(key), F.lit(64))
+    found = counts.groupBy(key).agg(F.sum("n").alias("n"), *each).where("n > 1").withColumn("slot", slot).persist()
+    try:
+        cut, kept = None, 0
+        # At most 64 rows for each sixteenth of a doubling.
+        for r in sorted(found.groupBy("slot").count().collect(), reverse=True):
+            if kept + r["count"] > most:
+                break
+            cut, kept = r["slot"], kept + r["count"]
+        rows = [] if cut is None else found.where(F.col("slot") >= cut).orderBy(F.desc("n"), key).collect()  # at most ``most`` rows
+    finally:
+        found.unpersist()
     n = np.array([[r[f"n{i}"] for i in range(len(langs))] for r in rows], float).reshape(len(rows), len(langs))
     whole = np.array([totals.get(x, 0) for x in langs], float)
     logs = np.log((n + 0.5) / (whole + 0.5 * max(1, len(rows))))
