@@ -12,6 +12,7 @@ ids of the parts, joined, are those of the whole text, and parts seen before com
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import uuid
@@ -26,16 +27,24 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemahelm.llm.common import CACHE_WORDS, slices
+from schemahelm.llm.common import slices
 from schemahelm.session import scratch_path
 
 #: Sequences in one record batch, tokens in one sequence.
 BATCH, LENGTH = 64, 2048
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+_ODD = re.compile(r"\s\s|^\s|\s\Z")
+#: Parts that are encoded as the lines of one text.
+LINES = 512
+#: Parts of a task's cache before it is emptied, about 200 bytes each.
+PARTS = 800_000
 
 
 class Encoder:
-    """Ids of whole texts as little-endian bytes of ``dtype``, by looking up parts of text in a cache."""
+    """Ids of whole texts as little-endian bytes of ``dtype``, by looking up parts of text in a cache.
+
+    Tokenizers with another pre-tokenizer than the byte-level one encode whole texts.
+    """
 
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
@@ -44,31 +53,61 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
         self.end = np.array([end_id], self.dtype).tobytes()
-        # Parts that open a text, and parts that follow a space, kept without it. None: not cut at single spaces alone.
+        parts = json.loads(self.tokenizer.to_str())
+        before = parts["pre_tokenizer"] or {}
+        self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.cuts = (
+            parts["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
+            and len(self.line) == 1
+        )
+        # Parts that open a text or a line, and parts that follow a space, kept without it, or a line break, kept with it.
         self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes | None] = {}
+        self.later: dict[str, bytes] = {}
+
+    def _bytes(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of parts without white space but for one space in front, many of them as the lines of one text.
+
+        A line break before a part is a token of its own, and no such part has its id.
+        """
+        out: list[bytes] = []
+        width = self.dtype.itemsize
+        for i in range(0, len(words), LINES):
+            lines = words[i : i + LINES]
+            ids = np.array(self.tokenizer.encode("\n".join(lines), add_special_tokens=False).ids, self.dtype)
+            ends = np.flatnonzero(ids == self.line[0])
+            if len(ends) != len(lines) - 1:
+                out += self._bytes(lines)
+                continue
+            flat, ends = ids.tobytes(), [-1, *ends.tolist(), len(ids)]
+            out += [flat[(a + 1) * width : b * width] for a, b in zip(ends, ends[1:])]
+        return out
 
     def _learn(self, first: set[str], later: set[str]) -> None:
-        if len(self.first) + len(self.later) > CACHE_WORDS:
+        """Put all these parts into the cache."""
+        if len(self.first) + len(self.later) > PARTS:
             self.first, self.later = {}, {}
-            return self._learn(first, later)
-        new = [x for x in first if x not in self.first]
-        more = [x for x in later if x not in self.later]
-        ids = self.tokenizer.encode_batch_fast(new + [" " + x for x in more], add_special_tokens=False)
-        as_bytes = [np.array(e.ids, self.dtype).tobytes() for e in ids]
-        self.first.update(zip(new, as_bytes))
-        self.later.update(zip(more, as_bytes[len(new) :]))
+        line = np.array(self.line, self.dtype).tobytes()
+        breaks = {x for x in later - self.later.keys() if x[0] == "\n"}
+        first = first | {x[1:] for x in breaks}
+        for cache, parts, lead in ((self.first, first, ""), (self.later, later - breaks, " ")):
+            new = parts - cache.keys()
+            odd = [x for x in new if len(x.split()) != 1 or len(x.split()[0]) != len(x)]
+            plain = list(new.difference(odd))
+            for group, encode in ((plain, self._words), (odd, self._bytes)):
+                cache.update(zip(group, encode([lead + x for x in group])))
+        for x in breaks:
+            self.later[x] = line + self.first[x[1:]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, the end id last."""
-        cut = []
-        for t in texts:
-            parts = t.split(" ")
-            # An empty part, or white space at a cut, means that the spaces around are not all single.
-            if any(not p or p[0].isspace() or p[-1].isspace() for p in set(parts)):
-                parts = _CUT.split(t)
-            cut.append(parts)
-        # What is needed now must be in the cache at once, however full it was.
+        if not self.cuts:
+            return [x + self.end for x in self._bytes(texts)]
+        # Where all white space is single and between words, line breaks are cuts as well: each is a token of its own, and the
+        # word after it has no space in front.
+        cut = [_CUT.split(t) if _ODD.search(t) else t.replace("\n", " \n").split(" ") for t in texts]
         self._learn({p[0] for p in cut}, set().union(*(p[1:] for p in cut)) if cut else set())
         first, later = self.first, self.later.__getitem__
         return [b"".join([first[p[0]], *map(later, p[1:]), self.end]) for p in cut]
