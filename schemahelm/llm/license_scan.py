@@ -1,8 +1,8 @@
 """Licence scan: sparse TF-IDF cosine to licence templates, then inheritance from the nearest ancestor directory.
 
 Every file's lines (a line, or two in a row) are compared with the templates: a file's own licence is that of its best
-line, if the cosine reaches the threshold. Inverse document frequencies of the templates' terms are counted over all
-files. A file with a licence file's name passes its licence on to all below its directory: every other file
+line, if the cosine reaches the threshold. Document frequencies of all terms are counted over all files, and joined with
+the terms of the lines that can reach it. A file with a licence file's name passes its licence on to all below its directory: every other file
 without a licence of its own joins its chain of ancestor directories with those of the licence files and takes the deepest.
 """
 
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from schemahelm.llm.common import raw, slices, stash
+from schemahelm.llm.common import CACHE_WORDS, raw, slices, stash, table_types
 
 #: Short statements of use, as they stand in file headers; several for a licence are alternatives.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -57,53 +57,63 @@ def template_terms() -> list[bytes]:
     return sorted({w for texts in TEMPLATES.values() for t in texts for w in terms_of(t.encode())})
 
 
-def term_counts(files: DataFrame) -> tuple[int, dict[str, int]]:
-    """Number of files, and in how many of them each template term occurs, over all files."""
-    terms = set(template_terms())
+def term_counts(files: DataFrame) -> DataFrame:
+    """term, n: in how many files each term of any file occurs; the empty term has the number of files. Partial counts are made per task."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, n = Counter(), 0
+        seen: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            rows = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
+            seen.clear()
+            return rows
+
         for batch in batches:
             for part in slices(batch):
                 for text in raw(part.column("text")):
-                    n += 1
-                    seen.update(terms.intersection(terms_of(text)))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(["", *(t.decode() for t in seen)]), pa.array([n, *seen.values()], pa.int64())], ["term", "n"]
-        )
+                    seen[b""] += 1
+                    seen.update(set(terms_of(text)))
+                    if len(seen) > CACHE_WORDS:
+                        yield out()
+        yield out()
 
-    got = files.select("text").mapInArrow(count, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
-    counts = {r["term"]: r["n"] for r in got.collect()}  # at most one row for each term of the templates
-    return counts.pop("", 0), counts
+    return files.select("text").mapInArrow(count, "term binary, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 class Matcher:
-    """Cosine of a line's TF-IDF vector to every template's."""
+    """Cosine of a line's TF-IDF vector to every template's. ``counts`` are the files of each term; a term without is in none."""
 
-    def __init__(self, n_files: int, counts: dict[str, int]):
-        idf = lambda n: math.log((n_files + 1) / (n + 1)) + 1.0
-        self.idf = {t: idf(counts.get(t.decode(), 0)) for t in template_terms()}
-        self.other = idf(0)  # terms of no template weigh like unseen ones
-        self.names, rows = [], []
+    def __init__(self, n_files: int, counts: dict[str, int], threshold: float = 0.6):
+        self.n_files = n_files
+        self.idf = {t: self.idf_of(counts.get(t.decode(), 0)) for t in template_terms()}
+        self.names, self.rows = [], []
         for name, texts in TEMPLATES.items():
             for t in texts:
-                v = self._vector(terms_of(t.encode()))
+                v = {t: (1 + math.log(n)) * self.idf[t] for t, n in Counter(terms_of(t.encode())).items()}
                 norm = math.sqrt(sum(x * x for x in v.values()))
                 self.names.append(name)
-                rows.append({k: x / norm for k, x in v.items()})
+                self.rows.append({k: x / norm for k, x in v.items()})
         self.postings: dict[bytes, list[tuple[int, float]]] = {}
-        for i, row in enumerate(rows):
+        for i, row in enumerate(self.rows):
             for t, x in row.items():
                 self.postings.setdefault(t, []).append((i, x))
-        # A line whose common terms alone cannot reach half of a template need not be compared.
-        self.rare = {t for t in self.idf if counts.get(t.decode(), 0) * 20 <= n_files}
-        self.common_most = max(math.sqrt(sum(x * x for t, x in row.items() if t not in self.rare)) for row in rows)
-
-    def _vector(self, terms: list[bytes]) -> dict[bytes, float]:
-        return {t: (1 + math.log(n)) * self.idf.get(t, self.other) for t, n in Counter(terms).items()}
-
-    def best(self, terms: list[bytes]) -> tuple[float, str]:
-        v = self._vector(terms)
+        # The other terms of a template alone stay below the threshold, so that what reaches it has one of these.
+        self.rare: set[bytes] = set()
+        for row in self.rows:
+            left = sum(x * x for x in row.values())
+            for t in sorted(row, key=lambda t: (-self.idf[t], t)):
+                if left < (threshold * 0.999) ** 2:
+                    break
+                self.rare.add(t)
+                left -= row[t] ** 2
+        self.common_most = max(math.sqrt(sum(x * x for t, x in row.items() if t not in self.rare)) for row in self.rows)
+
+    def idf_of(self, n: int) -> float:
+        return math.log((self.n_files + 1) / (n + 1)) + 1.0
+
+    def best(self, terms: list[bytes], others: dict[bytes, float], other: float) -> tuple[float, str]:
+        """``others``: inverse document frequencies of terms of no template; ``other`` is that of those not in it."""
+        v = {t: (1 + math.log(n)) * (self.idf.get(t) or others.get(t, other)) for t, n in Counter(terms).items()}
         norm = math.sqrt(sum(x * x for x in v.values()))
         dots = np.zeros(len(self.names))
         for t, x in v.items():
@@ -112,39 +122,74 @@ class Matcher:
         i = int(dots.argmax())
         return (float(dots[i] / norm), self.names[i]) if norm else (0.0, "")
 
-    def file(self, text: bytes, threshold: float) -> tuple[float, str | None]:
-        """Best cosine of the file's lines, single or two in a row, and its licence if that reaches the threshold."""
-        # Common terms alone give at most ``common_most``; below the threshold a rare term must be there.
-        gate = self.common_most < threshold
-        if gate and self.rare.isdisjoint(terms_of(text)):
-            return 0.0, None
+    def candidates(self, text: bytes, threshold: float) -> list[list[bytes]]:
+        """Terms of the lines, single or two in a row, that reach the threshold if their other terms weigh the least that they can."""
+        if self.rare.isdisjoint(terms_of(text)):
+            return []
         lines = [x for x in (terms_of(_COMMENT.sub(b"", line)) for line in text.split(b"\n")) if x]
-        near = [not gate or not self.rare.isdisjoint(x) for x in lines]
-        top, name = 0.0, ""
-        for i, line in enumerate(lines):
-            if near[i]:
-                top, name = max((top, name), self.best(line))
-            if i + 1 < len(lines) and (near[i] or near[i + 1]) and len(line) + len(lines[i + 1]) <= 60:
-                top, name = max((top, name), self.best(line + lines[i + 1]))
+        near = [not self.rare.isdisjoint(x) for x in lines]
+        found = [x for x, n in zip(lines, near) if n]
+        for i in range(len(lines) - 1):
+            if (near[i] or near[i + 1]) and len(lines[i]) + len(lines[i + 1]) <= 60:
+                found.append(lines[i] + lines[i + 1])
+        # No term is in more than all files, so none weighs less than 1.
+        return [x for x in found if self.best(x, {}, 1.0)[0] >= threshold - 1e-9]
+
+    def judge(self, found: list[list[bytes]], others: dict[bytes, float], threshold: float) -> tuple[float, str | None]:
+        """Best cosine of the candidates, and the licence if that reaches the threshold."""
+        top, name = max((self.best(x, others, self.idf_of(0)) for x in found), default=(0.0, ""))
         return top, name if top >= threshold else None
 
+    def file(self, text: bytes, threshold: float) -> tuple[float, str | None]:
+        """Best cosine and licence of a text whose terms are in no file, but for those of the templates."""
+        return self.judge(self.candidates(text, threshold), {}, threshold)
+
 
 def own_licences(files: DataFrame, threshold: float) -> DataFrame:
-    """(path, text) and other columns -> path, the others, cosine, licence (null below the threshold)."""
-    matcher = Matcher(*term_counts(files))
+    """(path, text) and other columns -> path, the others, cosine, licence (null below the threshold).
+
+    Texts are read twice: to count all terms and to find candidates. Only the terms of these are joined with the counts.
+    """
+    counts = stash(term_counts(files), "term_counts")
+    wanted = [bytearray(t) for t in (b"", *template_terms())]
+    known = {bytes(r["term"]).decode(): r["n"] for r in counts.where(F.col("term").isin(wanted)).collect()}  # at most the templates' terms
+    matcher = Matcher(known.pop("", 0), known, threshold)
     others = [c for c in files.columns if c not in ("path", "text")]
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                found = [matcher.file(t, threshold) for t in raw(part.column("text"))]
+                found = [matcher.candidates(t, threshold) for t in raw(part.column("text"))]
+                words = [list({t for x in f for t in x if t not in matcher.idf}) for f in found]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("path"), *(part.column(c) for c in others), pa.array([x[0] for x in found], pa.float64()), pa.array([x[1] for x in found], pa.string())],
-                    ["path", *others, "cosine", "licence"],
+                    [part.column("path"), *(part.column(c) for c in others), pa.array([[b" ".join(x) for x in f] for f in found], pa.list_(pa.binary())), pa.array(words, pa.list_(pa.binary()))],
+                    ["path", *others, "__found", "__words"],
                 )
 
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.select("path", *others).schema.fields)
-    return files.select("path", *others, "text").mapInArrow(scan, f"{types}, cosine double, licence string")
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            judged = []
+            for found, terms, n in zip(*(batch.column(c).to_pylist() for c in ("__found", "__terms", "__n"))):
+                idf = {t: matcher.idf_of(k) for t, k in zip(terms or (), n or ())}
+                judged.append(matcher.judge([x.split() for x in found], idf, threshold))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("__row"), pa.array([x[0] for x in judged], pa.float64()), pa.array([x[1] for x in judged], pa.string())],
+                ["__row", "cosine", "licence"],
+            )
+
+    types = table_types(files.select("path", *others))
+    types = f"{types}, __found array<binary>, __words array<binary>" if types else "__found array<binary>, __words array<binary>"
+    rows = files.select("path", *others, "text").mapInArrow(find, types).withColumn("__row", F.monotonically_increasing_id())
+    # Row numbers hold once they are written.
+    rows = stash(rows, "candidates")
+    found = rows.where(F.size("__found") > 0).select("__row", "__found", "__words")
+    words = found.select("__row", F.explode("__words").alias("term"))
+    # Counts of the candidates' terms first: few, while a common line's terms are in many rows.
+    counted = stash(counts.join(words.select("term").distinct(), "term"), "candidate_terms")
+    weighed = words.join(counted, "term").groupBy("__row").agg(F.collect_list(F.struct("term", "n")).alias("t"))
+    weighed = weighed.select("__row", F.col("t.term").alias("__terms"), F.col("t.n").alias("__n"))
+    judged = found.select("__row", "__found").join(weighed, "__row", "left").mapInArrow(judge, "__row bigint, cosine double, licence string")
+    return rows.join(judged, "__row", "left").select("path", *others, F.coalesce("cosine", F.lit(0.0)).alias("cosine"), "licence")
 
 
 def _parts(path: Column) -> Column:

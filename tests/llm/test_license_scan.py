@@ -65,3 +65,24 @@ def test_document_paths(spark):
     docs = frame(spark, [(0, "a"), (1234, "b"), (1200, "c"), (3000, "d", "en", None), (None, "e")])
     got = {r["doc_id"]: r["path"] for r in rows_of(license_scan.document_paths(docs))}
     assert got == {0: "/s0/0/LICENSE", 1234: "/s0/1/12/1234", 1200: "/s0/1/12/LICENSE", 3000: "/unknown/3/LICENSE", None: None}
+
+
+def test_common_words_on_a_header_weigh_by_their_files(spark):
+    """Words that are in most files do not hide a header, whatever the number of files."""
+    header = "Released under the quite ordinary everyday MIT License"
+    licence_terms = {"released": 0.01, "under": 0.3, "the": 0.9, "mit": 0.01, "license": 0.01}
+    for n in (1_000, 10_000_000):
+        matcher = license_scan.Matcher(n, {t: int(x * n) for t, x in licence_terms.items()})
+        common = {t: matcher.idf_of(n // 2) for t in (b"quite", b"ordinary", b"everyday")}
+        found = matcher.candidates(header.encode(), 0.6)
+        cosine, licence = matcher.judge(found, common, 0.6)
+        assert licence == "MIT" and cosine > 0.9
+    # The frequencies are those of the files: the same line among files that have its words, and among others.
+    line = "# MIT quite ordinary everyday license"
+    cosines = []
+    for filler in ("quite ordinary everyday prose", "some other kind of prose"):
+        files = frame(spark, [("/x", line, 1), *((f"/f{i}", filler, 1) for i in range(60))], FILES).drop("cosine")
+        counts = {bytes(r["term"]): r["n"] for r in license_scan.term_counts(files).collect()}
+        assert counts[b""] == 61 and counts[b"quite"] == (61 if "quite" in filler else 1) and counts[b"mit"] == 1
+        cosines.append({r["path"]: r["cosine"] for r in rows_of(license_scan.scan(files, 0.3))}["/x"])
+    assert cosines[0] > cosines[1] + 0.1
