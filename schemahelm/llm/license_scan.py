@@ -1,15 +1,15 @@
 """Licence scan: sparse TF-IDF cosine to licence templates, then inheritance from the nearest ancestor directory.
 
-Every file's lines (a line, or two in a row) are compared with the templates: a file's own licence is that of its best
-line, if the cosine reaches the threshold. Document frequencies of all terms are counted over all files, and joined with
-the terms of the lines that can reach it. A file with a licence file's name passes its licence on to all below its directory: every other file
+Windows of a file's terms, over line breaks and up to twice as long as the template, are compared with the templates: a
+file's own licence is that of its best window, if the cosine reaches the threshold. Document frequencies of all terms are
+counted over all files, and joined with the terms of the windows that can reach it. A file with a licence file's name passes its licence on to all below its directory: every other file
 without a licence of its own joins its chain of ancestor directories with those of the licence files and takes the deepest.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -46,7 +46,6 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 }
 LICENCE_NAMES = r"(?i)^(licen[cs]e|copying|notice|unlicense)(\.[a-z]+)?$"
 _TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_COMMENT = re.compile(rb"^[\s#/*;%<>!-]+")
 
 
 def terms_of(text: bytes) -> list[bytes]:
@@ -81,17 +80,18 @@ def term_counts(files: DataFrame) -> DataFrame:
 
 
 class Matcher:
-    """Cosine of a line's TF-IDF vector to every template's. ``counts`` are the files of each term; a term without is in none."""
+    """Cosine of windows' TF-IDF vectors to the templates'. ``counts`` are the files of each term; a term without is in none."""
 
     def __init__(self, n_files: int, counts: dict[str, int], threshold: float = 0.6):
         self.n_files = n_files
         self.idf = {t: self.idf_of(counts.get(t.decode(), 0)) for t in template_terms()}
-        self.names, self.rows = [], []
+        self.names, self.rows, self.lengths = [], [], []
         for name, texts in TEMPLATES.items():
             for t in texts:
                 v = {t: (1 + math.log(n)) * self.idf[t] for t, n in Counter(terms_of(t.encode())).items()}
                 norm = math.sqrt(sum(x * x for x in v.values()))
                 self.names.append(name)
+                self.lengths.append(len(terms_of(t.encode())))
                 self.rows.append({k: x / norm for k, x in v.items()})
         self.postings: dict[bytes, list[tuple[int, float]]] = {}
         for i, row in enumerate(self.rows):
@@ -111,33 +111,63 @@ class Matcher:
     def idf_of(self, n: int) -> float:
         return math.log((self.n_files + 1) / (n + 1)) + 1.0
 
-    def best(self, terms: list[bytes], others: dict[bytes, float], other: float) -> tuple[float, str]:
-        """``others``: inverse document frequencies of terms of no template; ``other`` is that of those not in it."""
-        v = {t: (1 + math.log(n)) * (self.idf.get(t) or others.get(t, other)) for t, n in Counter(terms).items()}
-        norm = math.sqrt(sum(x * x for x in v.values()))
-        dots = np.zeros(len(self.names))
-        for t, x in v.items():
-            for i, y in self.postings.get(t, ()):
-                dots[i] += x * y
-        i = int(dots.argmax())
-        return (float(dots[i] / norm), self.names[i]) if norm else (0.0, "")
+    def windows(self, terms: list[bytes], others: dict[bytes, float], other: float, least: float) -> Iterator[tuple[float, int, int, int]]:
+        """(cosine, template, first, last) of windows that begin and end with a term of the template and hold one of the rare ones.
+
+        A window has at most twice the template's terms, whatever the line breaks. ``others``: inverse document frequencies of terms of no
+        template, ``other`` that of those not in it. What a template's terms near by cannot bring to ``least`` is passed over.
+        """
+        if self.rare.isdisjoint(terms):
+            return
+        places = [p for p, t in enumerate(terms) if t in self.idf]
+        before = [-1] * len(self.rows)  # by template, its last rare term so far: windows with that one have been looked at
+        for k, p in enumerate(places):
+            if terms[p] not in self.rare:
+                continue
+            for i, _ in self.postings[terms[p]]:
+                row, most = self.rows[i], 2 * self.lengths[i]
+                low = max(before[i], p - most)
+                before[i] = p
+                first, end = k, bisect.bisect_left(places, p + most, k)
+                while first > 0 and places[first - 1] > low:
+                    first -= 1
+                near = {terms[q] for q in places[first:end]} & row.keys()
+                # No window has a better cosine than the template's norm over the terms that it holds.
+                if math.sqrt(sum(row[t] ** 2 for t in near)) < least:
+                    continue
+                for a in places[first : k + 1]:
+                    if terms[a] not in row:
+                        continue
+                    times: dict[bytes, int] = {}
+                    norm = dot = 0.0
+                    for q in range(a, min(a + most, len(terms))):
+                        t = terms[q]
+                        n = times[t] = times.get(t, 0) + 1
+                        weight = self.idf.get(t) or others.get(t, other)
+                        new, old = (1 + math.log(n)) * weight, (1 + math.log(n - 1)) * weight if n > 1 else 0.0
+                        norm += new * new - old * old
+                        if t in row:
+                            dot += (new - old) * row[t]
+                            if q >= p:
+                                yield dot / math.sqrt(norm), i, a, q
 
     def candidates(self, text: bytes, threshold: float) -> list[list[bytes]]:
-        """Terms of the lines, single or two in a row, that reach the threshold if their other terms weigh the least that they can."""
-        if self.rare.isdisjoint(terms_of(text)):
-            return []
-        lines = [x for x in (terms_of(_COMMENT.sub(b"", line)) for line in text.split(b"\n")) if x]
-        near = [not self.rare.isdisjoint(x) for x in lines]
-        found = [x for x, n in zip(lines, near) if n]
-        for i in range(len(lines) - 1):
-            if (near[i] or near[i + 1]) and len(lines[i]) + len(lines[i + 1]) <= 60:
-                found.append(lines[i] + lines[i + 1])
+        """Runs of terms: the windows that reach the threshold if their other terms weigh the least that they can, joined where they overlap."""
+        terms = terms_of(text)
         # No term is in more than all files, so none weighs less than 1.
-        return [x for x in found if self.best(x, {}, 1.0)[0] >= threshold - 1e-9]
+        spans = sorted({(a, q) for x, _, a, q in self.windows(terms, {}, 1.0, threshold - 1e-9) if x >= threshold - 1e-9})
+        runs: list[list[int]] = []
+        for a, q in spans:
+            if runs and a <= runs[-1][1]:
+                runs[-1][1] = max(runs[-1][1], q)
+            else:
+                runs.append([a, q])
+        return [terms[a : q + 1] for a, q in runs]
 
     def judge(self, found: list[list[bytes]], others: dict[bytes, float], threshold: float) -> tuple[float, str | None]:
-        """Best cosine of the candidates, and the licence if that reaches the threshold."""
-        top, name = max((self.best(x, others, self.idf_of(0)) for x in found), default=(0.0, ""))
+        """Best cosine of the candidates' windows, and the licence if that reaches the threshold."""
+        each = ((x, self.names[i]) for terms in found for x, i, _, _ in self.windows(terms, others, self.idf_of(0), 0.0))
+        top, name = max(each, default=(0.0, ""))
         return top, name if top >= threshold else None
 
     def file(self, text: bytes, threshold: float) -> tuple[float, str | None]:

@@ -1,3 +1,7 @@
+import math
+import random
+from collections import Counter
+
 import pytest
 from helpers import empty, frame, rows_of
 
@@ -86,3 +90,33 @@ def test_common_words_on_a_header_weigh_by_their_files(spark):
         assert counts[b""] == 61 and counts[b"quite"] == (61 if "quite" in filler else 1) and counts[b"mit"] == 1
         cosines.append({r["path"]: r["cosine"] for r in rows_of(license_scan.scan(files, 0.3))}["/x"])
     assert cosines[0] > cosines[1] + 0.1
+
+
+@pytest.mark.parametrize("name", list(license_scan.TEMPLATES))
+def test_statements_within_a_line_and_over_many(name):
+    """A statement is found in a text without line breaks and wrapped after every second word."""
+    matcher = license_scan.Matcher(1000, {t.decode(): 300 for t in license_scan.template_terms() if t in (b"the", b"of", b"this", b"is", b"under", b"work", b"by")})
+    prose = PROSE.replace("\n", " ")
+    for text in license_scan.TEMPLATES[name]:
+        words = text.split()
+        wrapped = "".join(f" * {' '.join(words[i : i + 2])}\n" for i in range(0, len(words), 2))
+        for whole in (f"{prose} {text} {prose}", f"{PROSE}\n{wrapped}{PROSE}"):
+            cosine, licence = matcher.file(whole.encode(), 0.6)
+            assert licence == name and cosine > 0.999
+    assert matcher.file(prose.encode(), 0.6)[1] is None
+
+
+def test_windows_are_those_of_brute_force():
+    rng = random.Random(3)
+    matcher = license_scan.Matcher(1000, {t.decode(): rng.randrange(200) for t in license_scan.template_terms()})
+    pool = [t for name in ("MIT", "CC-BY-4.0") for x in license_scan.TEMPLATES[name] for t in license_scan.terms_of(x.encode())]
+    for _ in range(40):
+        terms = [rng.choice(pool) if rng.random() < 0.5 else f"w{rng.randrange(9)}".encode() for _ in range(60)]
+        best = 0.0
+        for i, row in enumerate(matcher.rows):
+            for a in range(len(terms)):
+                for b in range(a + 1, min(a + 2 * matcher.lengths[i], len(terms)) + 1):
+                    v = {t: (1 + math.log(n)) * (matcher.idf.get(t) or matcher.idf_of(0)) for t, n in Counter(terms[a:b]).items()}
+                    best = max(best, sum(x * row.get(t, 0) for t, x in v.items()) / math.sqrt(sum(x * x for x in v.values())))
+        got = matcher.file(b" ".join(terms), 0.6)[0]
+        assert abs(got - best) < 1e-9 if best >= 0.6 else got < 0.6
