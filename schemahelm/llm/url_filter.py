@@ -1,7 +1,7 @@
 """URL filter: explicit rules first, then path templates judged by the labels of the urls that they cover.
 
-Level by level, a host's paths grow a template tree. Below a node, segments of one shape (digits, hexadecimal or other
-text) stay literal while they are few and repeat, and become that shape's wildcard where they vary. Templates of a
+Level by level, a host's paths grow a template tree. Below a node, segments of text that repeat stay literal; the others,
+digits and hexadecimal become the wildcard of their shape. Templates of a
 host that differ in literal segments only, and whose label shares do not differ more than chance would have it, are
 merged into one with a wildcard there. A template's purity is its share of good labels, smoothed towards its host's,
 which is smoothed towards the share of all; templates below the threshold are rejected.
@@ -46,8 +46,7 @@ RULES = (
 @dataclass(frozen=True)
 class TreePlan:
     depth: int = 6  # deeper segments share one wildcard
-    few: int = 12  # so many literal segments of one shape at a node may stay
-    repeats: float = 4.0  # urls for each distinct literal, at least
+    repeats: float = 4.0  # urls of a literal segment at a node, at least, for it to stay
     z: float = 2.0  # standard errors that branches may differ by and still be merged
     weight: float = 8.0  # labels that the prior share weighs as much as
     threshold: float = 0.5  # least purity
@@ -83,20 +82,18 @@ def _shape(segment: Column) -> Column:
 def path_templates(paths: DataFrame, plan: TreePlan) -> DataFrame:
     """(host, path, n) with distinct paths -> the same plus ``template``.
 
-    All levels are keyed by (host, template so far), counts are pre-aggregated, and only the counts of a node's shapes, not
-    its segments, are joined back.
+    All levels are keyed by (host, template so far) and counts are pre-aggregated. Each {text} segment is judged by its own urls,
+    however many there are at a node: with ``plan.repeats`` it stays, else it becomes the wildcard.
     """
     segments = F.split(F.regexp_replace("path", r"^/", ""), "/")
     grown = paths.select("host", "path", "n", segments.alias("segments"), F.lit("").alias("template"))
     for level in range(plan.depth):
         here = F.get(F.col("segments"), F.lit(level))
         grown = grown.withColumn("here", here).withColumn("shape", F.when(here.isNotNull(), _shape(here)))
-        literals = grown.where("here IS NOT NULL").groupBy("host", "template", "shape", "here").agg(F.sum("n").alias("n"))
-        shapes = literals.groupBy("host", "template", "shape").agg(F.count("*").alias("distinct"), F.sum("n").alias("urls"))
-        varies = (F.col("distinct") > plan.few) | (F.col("shape") != "{text}") | (F.col("urls") < F.col("distinct") * plan.repeats)
-        shapes = shapes.select("host", "template", "shape", varies.alias("varies"))
-        grown = grown.join(shapes, ["host", "template", "shape"], "left")
-        step = F.when(F.col("here").isNull(), F.lit("")).when(F.col("varies"), F.concat(F.lit("/"), "shape")).otherwise(F.concat(F.lit("/"), "here"))
+        literals = grown.where("shape = '{text}'").groupBy("host", "template", "here").agg(F.sum("n").alias("urls"))
+        stay = literals.where(F.col("urls") >= plan.repeats).select("host", "template", "here", F.lit(True).alias("stays"))
+        grown = grown.join(stay, ["host", "template", "here"], "left")
+        step = F.when(F.col("here").isNull(), F.lit("")).when(F.col("stays"), F.concat(F.lit("/"), "here")).otherwise(F.concat(F.lit("/"), "shape"))
         grown = stash(grown.select("host", "path", "n", "segments", F.concat("template", step).alias("template")), "tree")
     rest = F.when(F.size("segments") > plan.depth, F.lit("/{rest}")).otherwise(F.lit(""))
     return grown.select("host", "path", "n", F.concat("template", rest).alias("template"))

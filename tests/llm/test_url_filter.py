@@ -93,3 +93,15 @@ def test_labels_come_from_the_number_of_the_document(spark, url, doc):
     labels = frame(spark, [(12, 1), (12, None), (13, 0)], "doc_id bigint, quality int")
     got = rows_of(url_filter.document_labels(frame(spark, [(5, url)], PAGES), labels))
     assert got == ([{"page_id": 5, "good": 1.0}] if doc else [])
+
+
+def test_a_bad_section_among_many_is_blocked(spark):
+    """A host of 20 busy sections, one of them bad, and of segments that occur once."""
+    urls = [f"http://h/section-{'abcdefghijklmnopqrst'[k]}/{i}" for k in range(20) for i in range(30)] + [f"http://h/misspelt-{'abcdefghij'[k]}/1" for k in range(10)]
+    pages = frame(spark, list(enumerate(urls)), PAGES)
+    labels = frame(spark, [(i, float("section-g" not in u)) for i, u in enumerate(urls) if i % 2], LABELS)
+    verdicts = {}
+    for r in rows_of(url_filter.judge(pages, labels, ())):
+        verdicts.setdefault(r["template"], set()).add(r["verdict"])
+    assert verdicts.pop("/section-g/{number}") == {"block"} and verdicts.pop("/{text}/{number}") == {"allow"}
+    assert len(verdicts) == 19 and all(v == {"allow"} for v in verdicts.values())
