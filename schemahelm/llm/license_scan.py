@@ -219,7 +219,7 @@ def own_licences(files: DataFrame, threshold: float) -> DataFrame:
     weighed = words.join(counted, "term").groupBy("__row").agg(F.collect_list(F.struct("term", "n")).alias("t"))
     weighed = weighed.select("__row", F.col("t.term").alias("__terms"), F.col("t.n").alias("__n"))
     judged = found.select("__row", "__found").join(weighed, "__row", "left").mapInArrow(judge, "__row bigint, cosine double, licence string")
-    return rows.join(judged, "__row", "left").select("path", *others, F.coalesce("cosine", F.lit(0.0)).alias("cosine"), "licence")
+    return rows.join(judged, "__row", "left").select("path", *others, "cosine", "licence")
 
 
 def _parts(path: Column) -> Column:
@@ -235,6 +235,7 @@ def scan(files: DataFrame, threshold: float = 0.6) -> DataFrame:
 
     ``origin``: header (a licence of its own), licence_file (the file is one itself), inherited (``licence_path`` is the
     directory that it is from) or none. Two licence files in one directory: the better cosine, then the first name.
+    ``cosine`` is null where it was not computed, as no window of the file could reach the threshold whatever its other terms weigh.
     Null and empty texts have no licence of their own; a null path has no directory and inherits nothing; repeated rows are judged alike.
     """
     rows = stash(own_licences(files, threshold), "licences").withColumn("_parts", _parts(F.col("path")))

@@ -120,3 +120,8 @@ def test_windows_are_those_of_brute_force():
                     best = max(best, sum(x * row.get(t, 0) for t, x in v.items()) / math.sqrt(sum(x * x for x in v.values())))
         got = matcher.file(b" ".join(terms), 0.6)[0]
         assert abs(got - best) < 1e-9 if best >= 0.6 else got < 0.6
+
+
+def test_a_cosine_that_was_not_computed_is_null(spark):
+    files = frame(spark, [("/a", "plain words", 1), ("/b", None, 1), ("/c", license_scan.TEMPLATES["MIT"][0], 1)], FILES).drop("cosine")
+    assert {r["path"]: r["cosine"] for r in rows_of(license_scan.scan(files))} == {"/a": None, "/b": None, "/c": 1.0}
