@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemahelm.llm import decontaminate, hamming, kd_shards, langid, license_scan, mixing, near_dup, quality, token_files, url_filter
+from schemahelm.llm import (
+    decontaminate, fill_middle, hamming, kd_shards, langid, license_scan, mixing, near_dup, quality, token_files, url_filter,
+)
 from schemahelm.llm.common import table
 
 
@@ -58,10 +60,19 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_middle(table(spark, sf_dir, "documents"), seed=7, rate=100, spm_rate=50)
+    sha = lambda text: F.sha2(text.cast("binary"), 256)
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"),
+        sha(fill_middle.restored(F.col("output"), F.col("form"))).alias("restored_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_decontaminate, op2_token_files, op3_license_scan, op4_shard, op5_langid, op6_url_filter, op7_quality, op8_hamming,
-        op9_mix, op10_near_dup,
+        op9_mix, op10_near_dup, op11_fill_middle,
     )
     return {f.__name__: f for f in found}
 
@@ -103,7 +114,31 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, nei
 FROM pairs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) <= 10
 """
 
+_OP11 = """
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+units AS (
+    SELECT *, regexp_extract_all(text, '[^\\n]*\\n|[^\\n]+') AS u,
+        ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4
+    FROM docs
+),
+cuts AS (
+    SELECT *, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+        CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain'
+            WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+    FROM units
+),
+parts AS (
+    SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM cuts
+)
+SELECT doc_id, len(u)::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN len(p) END::BIGINT AS prefix_chars,
+    CASE WHEN form <> 'plain' THEN len(m) END::BIGINT AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+        ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+    sha256(text) AS restored_sha256
+FROM parts
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """Statements for what SQL can express on whole tables; the others are tested against brute force."""
-    return {"op1_decontaminate": _OP1, "op8_hamming": _OP8}
+    return {"op1_decontaminate": _OP1, "op8_hamming": _OP8, "op11_fill_middle": _OP11}
