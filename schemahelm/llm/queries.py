@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from schemahelm.llm import (
-    decontaminate, fill_middle, hamming, kd_shards, langid, license_scan, mixing, near_dup, quality, token_files, url_filter,
+    decontaminate, fill_middle, hamming, kd_shards, langid, license_scan, mixing, near_dup, periodic, quality, token_files,
+    url_filter,
 )
 from schemahelm.llm.common import table
 
@@ -69,10 +70,22 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(periodic.with_loops(table(spark, sf_dir, "documents")), least=6, exponent=4)
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    best = F.col("strongest")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"),
+        best["period"].alias("period"), F.floor(1000 * best["length"] / best["period"]).alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_decontaminate, op2_token_files, op3_license_scan, op4_shard, op5_langid, op6_url_filter, op7_quality, op8_hamming,
-        op9_mix, op10_near_dup, op11_fill_middle,
+        op9_mix, op10_near_dup, op11_fill_middle, op13_periodic_runs,
     )
     return {f.__name__: f for f in found}
 
