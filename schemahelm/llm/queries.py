@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from schemahelm.llm import (
-    decontaminate, fill_middle, hamming, kd_shards, langid, license_scan, mixing, near_dup, periodic, quality, token_files,
-    url_filter,
+    decontaminate, fill_middle, hamming, kd_shards, langid, license_scan, mixing, near_dup, packing, periodic, quality,
+    token_files, url_filter,
 )
 from schemahelm.llm.common import table
 
@@ -70,6 +70,13 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    made = packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096)
+    return packing.pack(made, capacity=4096)
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = periodic.periodic_runs(periodic.with_loops(table(spark, sf_dir, "documents")), least=6, exponent=4)
     line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
@@ -85,7 +92,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_decontaminate, op2_token_files, op3_license_scan, op4_shard, op5_langid, op6_url_filter, op7_quality, op8_hamming,
-        op9_mix, op10_near_dup, op11_fill_middle, op13_periodic_runs,
+        op9_mix, op10_near_dup, op11_fill_middle, op12_pack, op13_periodic_runs,
     )
     return {f.__name__: f for f in found}
 
