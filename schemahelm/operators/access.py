@@ -1,19 +1,18 @@
 """Roles, permissions and lookups.
 
-Policy paths are patterns. Comparing every request with every pattern would be a cross join, so both sides
-get an *anchor*: the literal leading segments of a pattern, and each leading segment path of a request. They
-meet by equality on the anchor; the full pattern is tested only on those few pairs. Matches are resolved for
-distinct resources and roles first, and only then joined to users.
+Policy paths are patterns; distinct resources meet them in a trie of segments (:mod:`schemahelm.operators.paths`).
+Users who hold the same set of roles form a class, named by its smallest user. Permissions and requests are resolved
+once for each class, and users meet their class at the end.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from schemahelm.functions.typing import col_of
+from schemahelm.operators.paths import matches, pattern_node
 from schemahelm.schemas import FIELD_KEY
 
 # --- fixed values -----------------------------------------------------------------------------------------
@@ -60,26 +59,6 @@ CAPABILITIES = [
 # --- end of fixed values ----------------------------------------------------------------------------------
 
 
-def pattern_regex(path: Column | str) -> Column:
-    """Anchored regex of a path pattern: ``/*`` is any rest, ``:name`` one segment, braces are literal."""
-    rest = F.replace(col_of(path), F.lit("/*"), F.lit("/.*"))
-    named = F.regexp_replace(rest, ":[^/]+", "[^/]+")
-    return F.concat(F.lit("^"), F.regexp_replace(named, r"([{}])", r"\\$1"), F.lit("$"))
-
-
-def pattern_anchor(path: Column | str) -> Column:
-    """Leading segments of a pattern that contain nothing but plain characters."""
-    return F.regexp_extract(col_of(path), r"^((?:/[A-Za-z0-9_-]+)*)(?=/|$)", 1)
-
-
-def path_anchors(path: Column | str) -> Column:
-    """Every leading segment path of a concrete path, from the empty one to the path itself."""
-    p = col_of(path)
-    return F.transform(
-        F.sequence(F.lit(1), F.size(F.split(p, "/"))), lambda i: F.call_function("substring_index", p, F.lit("/"), i)
-    )
-
-
 def with_admin(policies: DataFrame, roles: DataFrame) -> DataFrame:
     """Policies plus the standing access of the role named ``admin``."""
     rows = F.array(*[F.struct(F.lit(p).alias("path"), F.lit(m).alias("method")) for p, m in ADMIN_POLICIES])
@@ -89,30 +68,67 @@ def with_admin(policies: DataFrame, roles: DataFrame) -> DataFrame:
 
 def policy_hits(resources: DataFrame, policies: DataFrame, subject: str = "role_id", keep: Sequence[str] = ()) -> DataFrame:
     """Distinct (path, method, subject): which subjects may use which resources."""
-    pol = policies.select(
-        subject,
-        F.col("method").alias("_act"),
-        pattern_anchor("path").alias("_anchor"),
-        pattern_regex("path").alias("_rx"),
-    ).distinct()
-    res = resources.select("path", "method", *keep).distinct().withColumn("_anchor", F.explode(path_anchors("path")))
-    method = (F.col("_act") == "*") | (F.col("_act") == F.col("method"))
-    hit = res.join(pol, "_anchor").where(method & F.rlike("path", F.col("_rx")))
-    return hit.select("path", "method", *keep, subject).distinct()
-
-
-def effective_permissions(user_roles: DataFrame, policies: DataFrame, direct: DataFrame | None = None) -> DataFrame:
-    """What each user may do: distinct (user_id, path pattern, method), through any role or directly.
-
-    ``direct`` holds policies of users themselves: ``user_id, path, method``. Grants stay patterns: expanding
-    them to (user, resource) pairs would grow with users times resources. :func:`policy_hits` tells which
-    roles may use which resources, :func:`enforce_log` answers concrete requests.
+    pol = policies.select(subject, F.col("method").alias("_act"), pattern_node("path").alias("node")).distinct()
+    res = resources.select("path", "method", *keep).distinct()
+    hit = matches(res, policies).join(pol, "node").join(res, "path")
+    return hit.where((F.col("_act") == "*") | (F.col("_act") == F.col("method"))).select("path", "method", *keep, subject).distinct()
+
+
+def set_classes(members: DataFrame, items: Sequence[str], user: str = "user_id") -> tuple[DataFrame, DataFrame]:
+    """Interned sets: (user, item) rows -> (user, class_id) and (class_id, items), users with equal sets in one class.
+
+    A class is named by its smallest user. Sets are compared by their size and two 64-bit fingerprints, so no set is gathered
+    in one place; the sets themselves are the rows of the users that name a class.
+    """
+    rows = members.select(F.col(user).alias("user_id"), *items).distinct()
+    prints = [F.bit_xor(F.xxhash64(*items, F.lit(seed))) for seed in (0, 1)]
+    sets = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n"), prints[0].alias("_a"), prints[1].alias("_b"))
+    names = sets.groupBy("_n", "_a", "_b").agg(F.min("user_id").alias("class_id"))
+    of = sets.join(names, ["_n", "_a", "_b"]).select(F.col("user_id").alias(user), "class_id")
+    return of, rows.join(names.select(F.col("class_id").alias("user_id")), "user_id").select(F.col("user_id").alias("class_id"), *items)
+
+
+def effective_permissions(user_roles: DataFrame, policies: DataFrame, direct: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """What each user may do, as two tables: (user_id, via, class_id) and distinct (via, class_id, path, method).
+
+    ``direct`` holds policies of users themselves: ``user_id, path, method``. A user belongs to a class of users with the same
+    roles (via ``roles``) and to one of users with the same policies of their own (via ``direct``); their permissions are those of
+    both classes. Paths stay patterns: :func:`policy_hits` tells which roles may use which resources, :func:`enforce_log`
+    answers concrete requests.
     """
-    granted = user_roles.select("user_id", "role_id").distinct().join(policies.distinct(), "role_id")
-    granted = granted.select("user_id", "path", "method")
+    of, roles = set_classes(user_roles, ["role_id"])
+    grants = roles.join(policies.select("role_id", "path", "method").distinct(), "role_id").select("class_id", "path", "method").distinct()
+    of, grants = (x.withColumn("via", F.lit("roles")) for x in (of, grants))
     if direct is not None:
-        granted = granted.unionByName(direct.select("user_id", "path", "method"))
-    return granted.distinct()
+        own_of, own = set_classes(direct, ["path", "method"])
+        of, grants = (x.unionByName(y.withColumn("via", F.lit("direct"))) for x, y in ((of, own_of), (grants, own)))
+    return of.select("user_id", "via", "class_id"), grants.select("via", "class_id", "path", "method")
+
+
+def users_of_permissions(members: DataFrame, permissions: DataFrame) -> DataFrame:
+    """How many users have each (path, method), from the two tables of :func:`effective_permissions`.
+
+    Users are counted by the pair of their classes first; a permission that both classes of a pair give counts once.
+    """
+    of = lambda via: F.max(F.when(F.col("via") == via, F.col("class_id")))
+    pairs = members.groupBy("user_id").agg(of("roles").alias("roles"), of("direct").alias("direct")).groupBy("roles", "direct").agg(F.count(F.lit(1)).alias("users"))
+    classes = F.array(*(F.struct(F.lit(v).alias("via"), F.col(v).alias("class_id")) for v in ("roles", "direct")))
+    each = pairs.select("roles", "direct", "users", F.inline(classes)).join(permissions, ["via", "class_id"])
+    return each.select("roles", "direct", "users", "path", "method").distinct().groupBy("path", "method").agg(F.sum("users").alias("users"))
+
+
+def allowed_requests(asked: DataFrame, user_roles: DataFrame, policies: DataFrame) -> DataFrame:
+    """Those of the distinct (user_id, method, path) that a role of the user permits.
+
+    Requests are reduced to (class, method, path); a class asks with each of its roles, so a path that everybody uses
+    costs a row for each role of each class, whatever the number of users.
+    """
+    of, roles = set_classes(user_roles, ["role_id"])
+    asked = asked.select("user_id", "method", "path").distinct().join(of, "user_id")
+    by_class = asked.select("class_id", "method", "path").distinct()
+    hits = policy_hits(by_class, policies)
+    granted = by_class.join(roles, "class_id").join(hits, ["path", "method", "role_id"], "left_semi").select("class_id", "method", "path").distinct()
+    return asked.join(granted, ["class_id", "method", "path"], "left_semi").select("user_id", "method", "path")
 
 
 def capabilities(users: DataFrame, user_roles: DataFrame, policies: DataFrame, matrix: Sequence[tuple[str, str, str]] = CAPABILITIES) -> DataFrame:
@@ -138,18 +154,10 @@ def capabilities(users: DataFrame, user_roles: DataFrame, policies: DataFrame, m
 def enforce_log(requests: DataFrame, user_roles: DataFrame, policies: DataFrame) -> DataFrame:
     """Access log with ``allowed``: is the request permitted through any role of the user?
 
-    The log is first reduced to its distinct (user, method, path); patterns see distinct resources only.
+    Users are resolved by their classes; patterns see distinct resources only.
     """
     triple = ["user_id", "method", "path"]
-    asked = requests.select(*triple).distinct()
-    hits = policy_hits(asked, policies)
-    allowed = (
-        asked.join(hits, ["path", "method"])
-        .join(user_roles.select("user_id", "role_id"), ["user_id", "role_id"], "left_semi")
-        .select(*triple)
-        .distinct()
-        .withColumn("allowed", F.lit(True))
-    )
+    allowed = allowed_requests(requests, user_roles, policies).withColumn("allowed", F.lit(True))
     return requests.join(allowed, triple, "left").withColumn("allowed", F.coalesce("allowed", F.lit(False)))
 
 
@@ -161,13 +169,8 @@ def mask_secrets(databases: DataFrame, user_roles: DataFrame, policies: DataFram
     own = F.concat(F.lit(base + "/"), F.col("id").cast("string"))
     probes = F.array(probe(F.lit(base), "POST"), probe(own, "PUT"), probe(own, "DELETE"))
     asked = databases.select("user_id", "id", F.explode(probes).alias("_p")).select("user_id", "id", "_p.*")
-    writable = (
-        asked.join(policy_hits(asked, policies), ["path", "method"])
-        .join(user_roles.select("user_id", "role_id"), ["user_id", "role_id"], "left_semi")
-        .select("user_id", "id")
-        .distinct()
-        .withColumn("_write", F.lit(True))
-    )
+    granted = allowed_requests(asked, user_roles, policies)
+    writable = asked.join(granted, ["user_id", "method", "path"], "left_semi").select("user_id", "id").distinct().withColumn("_write", F.lit(True))
     df = databases.join(writable, ["user_id", "id"], "left")
     for name in secrets:
         df = df.withColumn(name, F.when(F.col("_write"), F.col(name)).otherwise(F.lit("")))

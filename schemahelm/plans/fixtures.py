@@ -117,7 +117,8 @@ SELECT DISTINCT o_custkey AS user_id, CAST(1 + o_orderkey % 5 AS BIGINT) AS role
 VIEWS["F_POLICIES"] = """
 SELECT CAST(v.role_id AS BIGINT) AS role_id, v.path AS path, v.method AS method
 FROM (VALUES (1,'/v1/*','*'), (2,'/v1/databases','GET'), (2,'/v1/databases/:id','PUT'), (3,'/v1/custom-fields','GET'),
-             (3,'/v1/custom-fields/:name','DELETE'), (4,'/v1/snapshots','POST')) AS v(role_id, path, method)
+             (3,'/v1/custom-fields/:name','DELETE'), (4,'/v1/snapshots','POST'), (2,'/v1/(x','GET'), (3,'/v1/a.b','*'), (4,'/v1/[z','*'),
+             (5,'/v1/q+/*','*'), (3,'/v1/own/*/part','GET'), (4,'/v1/own/v:ver/x','GET')) AS v(role_id, path, method)
 UNION ALL
 SELECT CAST(1 + s_suppkey % 5 AS BIGINT), CASE s_suppkey % 3 WHEN 0 THEN '/v1/databases/' || CAST(s_suppkey AS STRING) WHEN 1 THEN '/v1/targets/' || CAST(s_suppkey AS STRING) || '/*'
        ELSE '/v1/targets/' || CAST(s_suppkey AS STRING) || '/:part' END, CASE s_suppkey % 2 WHEN 0 THEN 'GET' ELSE 'PUT' END
@@ -127,7 +128,9 @@ VIEWS["F_API"] = """
 SELECT event_id AS request_id, 't' || CAST(user_id % 4 AS STRING) AS tenant, user_id,
        CASE event_id % 3 WHEN 0 THEN 'GET' WHEN 1 THEN 'PUT' ELSE 'POST' END AS method,
        CASE event_id % 4 WHEN 0 THEN '/v1/databases' WHEN 1 THEN '/v1/databases/' || CAST(user_id AS STRING)
-            WHEN 2 THEN '/v1/custom-fields' ELSE '/v1/snapshots' END AS path,
+            WHEN 2 THEN CASE event_id % 96 WHEN 2 THEN '/v1/(x' WHEN 6 THEN '/v1/aXb' WHEN 10 THEN '/v1/a.b' WHEN 14 THEN '/v1/[z' WHEN 18 THEN '/v1/q+/a/b'
+                 WHEN 22 THEN '/v1/own/a/b/part' WHEN 26 THEN '/v1/own/v7/x' WHEN 30 THEN '/v1/own/v/x' WHEN 34 THEN '/v1/own/part' WHEN 38 THEN '/v1/q' ELSE '/v1/custom-fields' END
+            ELSE '/v1/snapshots' END AS path,
        CASE event_type WHEN 'error' THEN 500 ELSE 200 END AS status, CAST(event_id % 1200 AS DOUBLE) / 100 AS duration_s, ts
 FROM events"""
 
