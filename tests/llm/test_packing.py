@@ -100,7 +100,7 @@ def test_bound_and_crossing():
 
 
 def test_sequences_hold_the_documents(spark):
-    docs = [(i, " ".join(words(random.Random(i), 40))) for i in range(60)] + [(100, " ".join(words(random.Random(0), 900))), (7, None)]
+    docs = [(i, " ".join(words(random.Random(i), 40))) for i in range(60)] + [(100, " ".join(words(random.Random(0), 900))), (700, None)]
     packed = packing.pack(packing.pieces(frame(spark, docs), PATH, capacity=256, ids=True), capacity=256).cache()
     whole = {r["sequence_id"]: np.frombuffer(bytes(r["ids"]), "<u4") for r in rows_of(packing.sequences(packed))}
     found = {}
