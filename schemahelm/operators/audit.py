@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from schemahelm.functions.jsondiff import nested_diff_counts, with_diff_counts
 from schemahelm.functions.typing import col_of
 from schemahelm.operators.paging import keyset_page
+from schemahelm.operators.slices import sorted_slices
 from schemahelm.schemas import DEFAULT_TENANT, FIELD_KEY
 
 AUDIT_ORDER = (("applied_at", "desc"), ("id", "desc"))
@@ -196,16 +197,17 @@ def audit_get(audit: DataFrame, users: DataFrame, id: int) -> DataFrame:
     return resolve_actor(row, users).withColumn("summary", summary).withColumn("diff_url", url).drop("_counts")
 
 
-def field_history(audit: DataFrame, keys: Sequence[str] = ("tenant_id", "table_name", "column_name"), unit: str = "day") -> DataFrame:
+def field_history(audit: DataFrame, keys: Sequence[str] = ("tenant_id", "table_name", "column_name")) -> DataFrame:
     """Per field: number of each change, the state before it, and the time since the last one.
 
-    A field that holds much of the log is split into time slices (``unit``): windows run per slice, one small
-    row per slice carries the count and the last state over to the next.
+    The log is cut into slices along (field, time, id), so a field that holds much of it, even of one instant, takes
+    as many slices as its share asks for. Windows run per field and slice; one small row for each carries the count and the
+    last state over to the next slice.
     """
     keys = list(keys)
     part = [*keys, "_slice"]
     order = ["applied_at", "id"]
-    df = audit.withColumn("_slice", F.date_trunc(unit, F.col("applied_at").cast("timestamp")))
+    df = sorted_slices(audit.select("id", *keys, "action", "applied_at", "after_json"), [*keys, *order]).rows
     tail = F.struct("applied_at", "after_json")
     slices = df.groupBy(*part).agg(F.count(F.lit(1)).alias("_n"), F.max_by(tail, F.struct(*order)).alias("_tail"))
     chain = Window.partitionBy(*keys).orderBy("_slice")

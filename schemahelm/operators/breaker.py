@@ -1,10 +1,11 @@
 """Circuit breaker states of an attempt log.
 
-A key's breaker depends on everything before, yet one hot key must not become one task. The log of a key is
-cut into time slices, finer ones where a key has many rows at a time. Each slice is summarised on its own: for every state the breaker may be in at its
-start, the state at its end. The summaries are short (neighbouring cases that end alike are merged) and are
-chained per key; then each slice is replayed from its known start. All three steps run per slice or on
-summaries.
+A key's breaker depends on everything before, yet one hot key must not become one task. The log is cut into slices along
+(key, time, number). Each key's part of a slice is summarised on its own: for every state the breaker may be in at its start, the
+state at its end. The summaries are short (an open breaker can only stay open for so long, and neighbouring cases that
+end alike are merged) and are chained per key; then each part is replayed from its known start.
+
+In a stream, a key's state is a keyed value of the stream itself, and a timer tells when an open breaker may be probed.
 
 A state is ``closed`` with a failure count, or ``open`` until a time. Attempts while open are not made. The
 first attempt at or after that time is the half-open probe: success closes, any failure opens again.
@@ -12,12 +13,15 @@ first attempt at or after that time is the half-open probe: success closes, any
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from schemahelm.operators.slices import sorted_slices
 from schemahelm.session import cut_lineage
 
 NOT_OPEN = -1
@@ -27,8 +31,7 @@ NOT_OPEN = -1
 class BreakerPolicy:
     open_after: int = 3
     open_seconds: int = 60
-    slice_seconds: int = 86400
-    slice_rows: int = 50_000
+    slices: int | None = None
 
     @property
     def counts(self) -> int:
@@ -50,8 +53,11 @@ def _after_probe(outcome: str, ts: int, policy: BreakerPolicy) -> tuple[int, int
     return (0, NOT_OPEN) if outcome == "ok" else (0, ts + policy.open_seconds * 1_000_000)
 
 
-def _summarise(ts: list[int], outcome: list[str], policy: BreakerPolicy) -> dict:
-    """End state of a slice for every start state, by going backwards over its rows."""
+def _summarise(ts: list[int], outcome: list[str], policy: BreakerPolicy, horizon: int = NOT_OPEN) -> dict:
+    """End state of a slice for every start state, by going backwards over its rows.
+
+    A breaker that was opened before the slice is open until ``horizon`` or the open time after the first row at most.
+    """
     n, m = len(ts), policy.counts
     closed = [[(f, NOT_OPEN) for f in range(m)]]
     probe: list[tuple[int, int]] = [(0, 0)] * n
@@ -71,7 +77,10 @@ def _summarise(ts: list[int], outcome: list[str], policy: BreakerPolicy) -> dict
         closed.append([onwards(_after(f, outcome[i], ts[i], policy), i + 1) for f in range(m)])
     bounds: list[int] = []
     ends: list[tuple[int, int]] = []
+    horizon = max(horizon, ts[0] + policy.open_seconds * 1_000_000)
     for t, end in zip(ts, probe):
+        if bounds and bounds[-1] >= horizon:
+            break
         # Runs of probe positions that end alike become one entry.
         if bounds and end == ends[-1]:
             bounds[-1] = t
@@ -102,18 +111,19 @@ def _chain(pdf: pd.DataFrame, failures: int, until: int) -> list[tuple[int, int]
     return [*starts, (failures, until)]
 
 
-def _sliced(attempts: DataFrame, policy: BreakerPolicy) -> DataFrame:
-    """The log with ``slice``, the start of each row's slice in microseconds.
-
-    A slice of more than ``slice_rows`` rows is cut into equal parts of its time; the counts are folded map-side.
-    """
-    width = policy.slice_seconds * 1_000_000
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    log = attempts.select("seq", "tkey", us.alias("us"), "outcome").withColumn("_coarse", F.expr(f"us - pmod(us, {width}L)"))
-    counts = log.groupBy("tkey", "_coarse").agg(F.ceil(F.count(F.lit(1)) / policy.slice_rows).cast("bigint").alias("_parts"))
-    step = F.ceil(F.lit(width) / F.col("_parts")).cast("bigint")
-    placed = log.join(counts, ["tkey", "_coarse"]).withColumn("_step", step)
-    return placed.withColumn("slice", F.expr("_coarse + (us - _coarse) div _step * _step")).drop("_coarse", "_parts", "_step")
+def replay(pdf: pd.DataFrame, failures: int, until: int, policy: BreakerPolicy) -> tuple[pd.DataFrame, int, int]:
+    """Attempts of one key (seq, tkey, us, outcome) with ``seen``, ``made`` and ``state``, and the state after them."""
+    pdf = pdf.sort_values(["us", "seq"])
+    seen, made, after = [], [], []
+    for t, outcome in zip(pdf["us"].tolist(), pdf["outcome"].tolist()):
+        blocked = until != NOT_OPEN and t < until
+        seen.append("open" if blocked else "closed" if until == NOT_OPEN else "half_open")
+        made.append(not blocked)
+        if not blocked:
+            probing = until != NOT_OPEN
+            failures, until = _after_probe(outcome, t, policy) if probing else _after(failures, outcome, t, policy)
+        after.append("closed" if until == NOT_OPEN else "open")
+    return pdf[["seq", "tkey", "us", "outcome"]].assign(seen=seen, made=made, state=after), failures, until
 
 
 def breaker_states(attempts: DataFrame, policy: BreakerPolicy, initial: DataFrame | None = None, materialize: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -123,14 +133,19 @@ def breaker_states(attempts: DataFrame, policy: BreakerPolicy, initial: DataFram
     ``state`` (after it). ``initial`` carries ``tkey, failures, open_until_us`` from an earlier run. ``materialize`` writes the small
     table of slice starts once, for callers that use both results.
     """
-    log = _sliced(attempts, policy)
+    log = attempts.select("seq", "tkey", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "outcome")
+    log = sorted_slices(log, ["tkey", "us", "seq"], policy.slices).rows.withColumn("slice", F.col("_slice").cast("bigint")).drop("_slice")
+    told = log.withColumn("horizon", F.lit(NOT_OPEN).cast("bigint"))
+    if initial is not None:
+        told = log.join(initial.select("tkey", F.col("open_until_us").alias("horizon")), "tkey", "left").fillna({"horizon": NOT_OPEN})
 
     def summarise(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["us", "seq"])
-        return pd.DataFrame([{"tkey": key[0], "slice": key[1], **_summarise(pdf["us"].tolist(), pdf["outcome"].tolist(), policy)}])
+        ends = _summarise(pdf["us"].tolist(), pdf["outcome"].tolist(), policy, int(pdf["horizon"].iloc[0]))
+        return pd.DataFrame([{"tkey": key[0], "slice": key[1], **ends}])
 
     schema = "tkey string, slice bigint, closed_f array<int>, closed_until array<bigint>, bounds array<bigint>, probe_f array<int>, probe_until array<bigint>"
-    summaries = log.groupBy("tkey", "slice").applyInPandas(summarise, schema)
+    summaries = told.groupBy("tkey", "slice").applyInPandas(summarise, schema)
     if initial is None:
         begun = summaries.withColumn("failures", F.lit(0)).withColumn("open_until_us", F.lit(NOT_OPEN).cast("bigint"))
     else:
@@ -150,26 +165,62 @@ def breaker_states(attempts: DataFrame, policy: BreakerPolicy, initial: DataFram
         starts = cut_lineage(starts, "breaker")
     final = starts.where(F.col("slice").isNull()).drop("slice")
 
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["us", "seq"])
-        failures, until = int(pdf["failures"].iloc[0]), int(pdf["open_until_us"].iloc[0])
-        seen, made = [], []
-        after = []
-        for t, outcome in zip(pdf["us"].tolist(), pdf["outcome"].tolist()):
-            blocked = until != NOT_OPEN and t < until
-            seen.append("open" if blocked else "closed" if until == NOT_OPEN else "half_open")
-            made.append(not blocked)
-            if not blocked:
-                probing = until != NOT_OPEN
-                failures, until = _after_probe(outcome, t, policy) if probing else _after(failures, outcome, t, policy)
-            after.append("closed" if until == NOT_OPEN else "open")
-        return pdf[["seq", "tkey", "outcome"]].assign(seen=seen, made=made, state=after)
+    def rerun(pdf: pd.DataFrame) -> pd.DataFrame:
+        return replay(pdf, int(pdf["failures"].iloc[0]), int(pdf["open_until_us"].iloc[0]), policy)[0].drop(columns="us")
 
     placed = log.join(starts.where(F.col("slice").isNotNull()), ["tkey", "slice"])
-    rows = placed.groupBy("tkey", "slice").applyInPandas(replay, "seq bigint, tkey string, outcome string, seen string, made boolean, state string")
+    rows = placed.groupBy("tkey", "slice").applyInPandas(rerun, "seq bigint, tkey string, outcome string, seen string, made boolean, state string")
     return rows, final
 
 
+class BreakerProcessor(StatefulProcessor):
+    """Keyed breaker of a stream: a value for each key that occurs, and a timer while its breaker is open."""
+
+    def __init__(self, policy: BreakerPolicy):
+        self.policy = policy
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.value = handle.getValueState("breaker", "failures int, open_until bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        failures, until = self.value.get() if self.value.exists() else (0, NOT_OPEN)
+        batch = pd.concat(list(rows), ignore_index=True)
+        done, failures, after = replay(batch, int(failures), int(until), self.policy)
+        self.value.update((failures, after))
+        if after != until:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            if after != NOT_OPEN:
+                self.handle.registerTimer(-(-after // 1000))
+        yield done
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        # Nobody has asked since: the next attempt will be a probe. The state itself already says so.
+        _, until = self.value.get()
+        row = {"seq": None, "tkey": key[0], "us": until, "outcome": None, "seen": "open", "made": None, "state": "half_open"}
+        yield pd.DataFrame([row]).astype({"seq": "Int64", "made": "boolean"})
+
+    def close(self) -> None:
+        pass
+
+
+STREAM_ROW = "seq bigint, tkey string, us bigint, outcome string, seen string, made boolean, state string"
+
+
+def keyed_breaker(attempts: DataFrame, policy: BreakerPolicy, late: str = "1 hour") -> DataFrame:
+    """Attempt stream (``seq, tkey, ts, outcome``) -> rows as of :func:`breaker_states`, with their time ``us``.
+
+    A key's state lives in the state store, so a micro-batch writes only keys that occur in it. While a breaker is open, a timer
+    waits for the stream to pass the end of that time; if no attempt of the key comes first, a row without ``seq`` reports it
+    as half-open. Attempts of a micro-batch are put in order by time; those of a later one count as later, and those
+    that come more than ``late`` behind the stream are dropped.
+    """
+    timed = attempts.select("seq", "tkey", F.col("ts").cast("timestamp").alias("ts"), "outcome").withWatermark("ts", late)
+    log = timed.withColumn("us", F.unix_micros("ts"))
+    return log.groupBy("tkey").transformWithStateInPandas(BreakerProcessor(policy), STREAM_ROW, "append", "eventTime")
+
+
 def prune_states(states: DataFrame, targets: DataFrame, key: str = "tkey") -> DataFrame:
     """Drop the state of targets that no longer exist."""
     return states.join(targets.select(key), key, "left_semi")

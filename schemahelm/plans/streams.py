@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from schemahelm.operators import breaker as b
 from schemahelm.operators import merge
 from schemahelm.operators.diff import diff
+from schemahelm.operators.slices import sorted_slices
 from schemahelm.plans.changes import _DIFF
 from schemahelm.plans.upserts import _SCAN, _SUMMARY, _scan
 from schemahelm.plans.fixtures import VIEWS
@@ -27,6 +28,15 @@ def stream_of(x, table: str, view: str) -> DataFrame:
     return x.spark.sql(VIEWS[view])
 
 
+def in_batches(df: DataFrame, order: list[str], batches: int) -> DataFrame:
+    """A stream of ``df`` along ``order``, in about as many micro-batches: the file source takes one file after the other."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, "batches")
+    whole = sorted_slices(df, order, batches).rows
+    for i in range(batches):
+        whole.where(F.col("_slice") == i).drop("_slice").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def _drain(running) -> None:
     running.awaitTermination()
 
@@ -201,7 +211,7 @@ def _(x):
     return b.prune_states(states, targets(x).where(F.array_contains("label_set", "tier=gold")))
 
 
-_POLICY = b.BreakerPolicy(open_after=2, open_seconds=3 * 3600, slice_seconds=86400, slice_rows=20)
+_POLICY = b.BreakerPolicy(open_after=2, open_seconds=3 * 3600)
 _OPENED = "epoch_us(n.ts) + 10800000000"
 # One attempt after the other per key: the state before decides whether the attempt is made.
 _BREAKER = f"""n AS (SELECT *, row_number() OVER (PARTITION BY tkey ORDER BY ts, seq) AS rn FROM F_HLT),
@@ -227,9 +237,21 @@ def _(x):
 
 @query("t7_breaker_stream", "WITH RECURSIVE " + _BREAKER + " " + _BREAKER_ROWS)
 def _(x):
+    return _breaker_rows(x).where("seq IS NOT NULL").select("seq", "tkey", "seen", "made", "state")
+
+
+def _breaker_rows(x):
     path = scratch_path(x.spark, "breaker")
-    _drain(st.breaker_stream(stream_of(x, "events", "F_HLT"), _POLICY, path, scratch_path(x.spark, "cp")))
-    return x.spark.read.parquet(f"{path}/rows").select("seq", "tkey", "seen", "made", "state")
+    _drain(st.breaker_stream(in_batches(x.F_HLT, ["ts", "seq"], 4), _POLICY, path, scratch_path(x.spark, "cp")))
+    return x.spark.read.parquet(f"{path}/rows")
+
+
+@query("t7_breaker_hot", "WITH RECURSIVE " + _BREAKER.replace("FROM F_HLT", "FROM (SELECT seq, CASE WHEN seq % 3 > 0 THEN 'hot' ELSE tkey END AS tkey, CASE WHEN seq % 3 = 1 THEN TIMESTAMP '2024-01-15 00:00:00' ELSE ts END AS ts, outcome FROM F_HLT)") + " " + _BREAKER_ROWS)
+def _(x):
+    # Two thirds of the log are of one key, half of them of one instant.
+    hot = x.F_HLT.withColumn("tkey", F.when(F.col("seq") % 3 > 0, F.lit("hot")).otherwise(F.col("tkey")))
+    hot = hot.withColumn("ts", F.when(F.col("seq") % 3 == 1, F.lit("2024-01-15 00:00:00").cast(x.F_HLT.schema["ts"].dataType)).otherwise(F.col("ts")))
+    return b.breaker_states(hot, b.BreakerPolicy(open_after=2, open_seconds=3 * 3600, slices=16))[0].drop("outcome")
 
 
 @query("t9_field_gauge", "SELECT table_name, count(*) AS fields FROM F_OLD GROUP BY table_name")

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemahelm.operators.breaker import BreakerPolicy, breaker_states
+from schemahelm.operators.breaker import BreakerPolicy, keyed_breaker
 from schemahelm.operators.diff import diff, diff_summary
 from schemahelm.session import read_if_there
 from schemahelm.sources.targets import ignored_file, parse_widgets
@@ -160,22 +160,22 @@ def current_config(spark: SparkSession, path: str) -> DataFrame:
 # --- breaker, gauges, rates, notifications ----------------------------------------------------------------
 
 
-def breaker_stream(stream: DataFrame, policy: BreakerPolicy, path: str, checkpoint: str, available_now: bool = True):
-    """Breaker states over an attempt stream; keys carry their state from batch to batch.
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    Each batch writes the state of all keys under its batch id, so the next one reads a single version.
-    """
-    spark = stream.sparkSession
 
-    def step(batch: DataFrame, batch_id: int) -> None:
-        before = spark.read.parquet(f"{path}/state/batch_id={batch_id - 1}") if batch_id > 0 else None
-        rows, final = breaker_states(batch, policy, before, materialize=True)
-        rows.write.mode("overwrite").parquet(f"{path}/rows/batch_id={batch_id}")
-        if before is not None:
-            final = final.unionByName(before.join(final.select("tkey"), "tkey", "left_anti"))
-        final.write.mode("overwrite").parquet(f"{path}/state/batch_id={batch_id}")
+def breaker_stream(stream: DataFrame, policy: BreakerPolicy, path: str, checkpoint: str, available_now: bool = True, late: str = "1 hour"):
+    """Breaker states over an attempt stream, appended to ``{path}/rows``; see :func:`keyed_breaker`.
 
-    return _start(stream, step, checkpoint, available_now)
+    The state of the keys needs the RocksDB store; other queries of the session keep theirs.
+    """
+    spark = stream.sparkSession
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, _ROCKSDB)
+    try:
+        return append_stream(keyed_breaker(stream, policy, late), f"{path}/rows", checkpoint, available_now)
+    finally:
+        spark.conf.set(_PROVIDER, before) if before else spark.conf.unset(_PROVIDER)
 
 
 def field_gauge_stream(fields: DataFrame, path: str, checkpoint: str, every: str | None = "30 seconds"):

@@ -366,10 +366,10 @@ def _reference_states(rows, policy):
     return out
 
 
-@pytest.mark.parametrize("slice_seconds", [7, 60, 100000])
-def test_breaker_slices_equal_one_pass(spark, slice_seconds):
+@pytest.mark.parametrize("slices", [1, 9, 200])
+def test_breaker_slices_equal_one_pass(spark, slices):
     rng = random.Random(11)
-    policy_ = breaker.BreakerPolicy(open_after=2, open_seconds=20, slice_seconds=slice_seconds)
+    policy_ = breaker.BreakerPolicy(open_after=2, open_seconds=20, slices=slices)
     rows, ts = [], 0
     for seq in range(1500):
         ts += rng.choice([0, 1, 3, 9, 40])
@@ -431,15 +431,31 @@ def test_breaker_stream_carries_state(spark, tmp_path):
         ts += rng.choice([1, 3, 9])
         rows.append((seq, "k" if seq % 3 else "other", ts, rng.choice(["ok", "transient", "transient"])))
     df = spark.createDataFrame(rows, "seq bigint, tkey string, t bigint, outcome string").withColumn("ts", F.timestamp_seconds("t"))
-    policy_ = breaker.BreakerPolicy(open_after=2, open_seconds=15, slice_seconds=100, slice_rows=7)
+    policy_ = breaker.BreakerPolicy(open_after=2, open_seconds=15, slices=7)
     out = str(tmp_path / "out")
-    state.breaker_stream(_split_source(spark, df, "seq", 4, tmp_path), policy_, out, str(tmp_path / "cp")).awaitTermination()
+    state.breaker_stream(_split_source(spark, df, "seq", 4, tmp_path), policy_, out, str(tmp_path / "cp")).awaitTermination(90)
     streamed = spark.read.parquet(out + "/rows")
-    assert streamed.select("batch_id").distinct().count() == 4
+    told, streamed = streamed.where("seq IS NULL"), streamed.where("seq IS NOT NULL")
+    assert all(r["state"] == "half_open" and r["seen"] == "open" and r["us"] % 1_000_000 == 0 for r in told.collect())
     batch = breaker.breaker_states(df, policy_)[0]
     assert values(streamed, "seq", "seen", "made", "state") == values(batch, "seq", "seen", "made", "state")
 
 
+def test_breaker_timer_tells_of_half_open(spark, tmp_path):
+    from schemahelm.streaming import state
+
+    # "quiet" is opened in the first batch and never asked again; "busy" is asked too early, then probed.
+    rows = [(1, "quiet", 0, "permanent"), (2, "busy", 0, "permanent"), (3, "busy", 5, "ok"), (4, "busy", 30, "ok"), (5, "other", 40, "ok")]
+    df = spark.createDataFrame(rows, "seq bigint, tkey string, t bigint, outcome string").withColumn("ts", F.timestamp_seconds(F.col("t") + 1000))
+    out = str(tmp_path / "out")
+    policy_ = breaker.BreakerPolicy(open_after=2, open_seconds=15)
+    state.breaker_stream(_split_source(spark, df, "seq", 3, tmp_path), policy_, out, str(tmp_path / "cp"), late="0 seconds").awaitTermination(90)
+    rows = spark.read.parquet(out + "/rows").select("seq", "tkey", "us", "seen", "made", "state").collect()
+    assert ("quiet", 1_015_000_000, "half_open") in {(r.tkey, r.us, r.state) for r in rows if r.seq is None}
+    assert [(r.seq, r.seen, r.made) for r in sorted(rows, key=lambda r: r.seq or 0) if r.seq] == [
+        (1, "closed", True), (2, "closed", True), (3, "open", False), (4, "half_open", True), (5, "closed", True)]
+
+
 def test_widget_state_over_batches(spark, tmp_path):
     from schemahelm.streaming import state
 
