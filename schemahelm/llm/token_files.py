@@ -7,7 +7,8 @@ file is a slice of memory. A second file beside it, the index, has a row for eac
 
 Encoding a piece of text costs far more than looking it up, and words repeat: texts are cut before every single space
 that stands between two characters that are no white space. The pre-tokenizer always begins a new word there, so the
-ids of the parts, joined, are those of the whole text, and parts seen before come from a bounded cache.
+ids of the parts, joined, are those of the whole text, and parts seen before come from a bounded cache that lives as long
+as the Python worker.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -36,8 +38,8 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 _ODD = re.compile(r"\s\s|^\s|\s\Z")
 #: Parts that are encoded as the lines of one text.
 LINES = 512
-#: Parts of a task's cache before it is emptied, about 200 bytes each.
-PARTS = 800_000
+#: Parts of a worker's cache, about 200 bytes each; its older half goes when the younger one is full.
+PARTS = 1_000_000
 
 
 class Encoder:
@@ -63,6 +65,9 @@ class Encoder:
         # Parts that open a text or a line, and parts that follow a space, kept without it, or a line break, kept with it.
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
+        self.old: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        # A comma or full stop after a letter is a token of its own, if nothing follows it.
+        self.stops = dict(zip(".,", self._bytes([".", ","]))) if self.cuts else {}
 
     def _bytes(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -74,30 +79,35 @@ class Encoder:
         """
         out: list[bytes] = []
         width = self.dtype.itemsize
-        for i in range(0, len(words), LINES):
-            lines = words[i : i + LINES]
-            ids = np.array(self.tokenizer.encode("\n".join(lines), add_special_tokens=False).ids, self.dtype)
+        groups = [words[i : i + LINES] for i in range(0, len(words), LINES)]
+        for lines, flat in zip(groups, self._bytes(["\n".join(g) for g in groups])):
+            ids = np.frombuffer(flat, self.dtype)
             ends = np.flatnonzero(ids == self.line[0])
             if len(ends) != len(lines) - 1:
                 out += self._bytes(lines)
                 continue
-            flat, ends = ids.tobytes(), [-1, *ends.tolist(), len(ids)]
+            ends = [-1, *ends.tolist(), len(ids)]
             out += [flat[(a + 1) * width : b * width] for a, b in zip(ends, ends[1:])]
         return out
 
     def _learn(self, first: set[str], later: set[str]) -> None:
-        """Put all these parts into the cache."""
-        if len(self.first) + len(self.later) > PARTS:
-            self.first, self.later = {}, {}
+        """Put all these parts into the younger half of the cache."""
+        if len(self.first) + len(self.later) > PARTS // 2:
+            self.old, self.first, self.later = (self.first, self.later), {}, {}
         line = np.array(self.line, self.dtype).tobytes()
         breaks = {x for x in later - self.later.keys() if x[0] == "\n"}
         first = first | {x[1:] for x in breaks}
-        for cache, parts, lead in ((self.first, first, ""), (self.later, later - breaks, " ")):
+        for cache, old, parts, lead in ((self.first, self.old[0], first, ""), (self.later, self.old[1], later - breaks, " ")):
             new = parts - cache.keys()
+            stopped = [x for x in new if x[-1:] in self.stops and x[-2:-1].isalpha()]
+            new = new.difference(stopped) | {x[:-1] for x in stopped}
+            cache.update((x, old[x]) for x in old.keys() & new)
+            new -= cache.keys()
             odd = [x for x in new if len(x.split()) != 1 or len(x.split()[0]) != len(x)]
             plain = list(new.difference(odd))
             for group, encode in ((plain, self._words), (odd, self._bytes)):
                 cache.update(zip(group, encode([lead + x for x in group])))
+            cache.update((x, cache[x[:-1]] + self.stops[x[-1]]) for x in stopped)
         for x in breaks:
             self.later[x] = line + self.first[x[1:]]
 
@@ -113,6 +123,12 @@ class Encoder:
         return [b"".join([first[p[0]], *map(later, p[1:]), self.end]) for p in cut]
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str, end_id: int) -> Encoder:
+    """One for each worker: what a task has looked up, the next one knows."""
+    return Encoder(path, end_id)
+
+
 def _writer(sink, length: int, dtype: np.dtype) -> pa.ipc.RecordBatchStreamWriter:
     schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(dtype), length)), ("mask", pa.list_(pa.bool_(), length))])
     return pa.ipc.new_stream(sink, schema)
@@ -143,7 +159,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         shard = TaskContext.get().partitionId()
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
-        encoder = Encoder(tokenizer, end_id)
+        encoder = _encoder(tokenizer, end_id)
         path, own = f"{root}/ids-{shard:06d}.arrows", f".{uuid.uuid4().hex}"
         ids_of, n_of, left, at = [], [], np.empty(0, encoder.dtype), 0
         with store.open_output_stream(path + own) as sink, _writer(sink, length, encoder.dtype) as writer:
