@@ -1,7 +1,8 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment of equal-token blocks.
 
-Documents are dealt to shards by a seeded hash, so a source that holds a third of all rows is spread over all shards.
-In each shard, every source's documents lie in a seeded order and their tokens are cut into blocks of equal length.
+Documents are dealt to shards by a seeded hash: a source to as many as leave it some tens of blocks in each, from a seeded one
+on, so a source that holds a third of all rows is spread over all shards, and a small one is not rounded in each of
+them. In each shard, every source's documents lie in a seeded order and their tokens are cut into blocks of equal length.
 A shard gives its blocks to the sources by highest quotients, votes over 1, 3, 5, ...; a source's votes are the
 blocks that its target asks of this shard, and it can take each of its blocks at most ``max_repeats`` times. The quota
 is an integer: all blocks are taken ``quota // blocks`` times, and the rest is a run of neighbouring blocks from
@@ -18,10 +19,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from schemahelm.llm.common import raw, slices, stash, table_types
+from schemahelm.operators.slices import sorted_slices
 
 
 @dataclass(frozen=True)
@@ -29,7 +31,8 @@ class MixPlan:
     weights: tuple[float, ...] = (3.0, 1.0, 2.0)
     share: float = 1.5
     max_repeats: int = 2
-    block_tokens: int = 64
+    block_tokens: int = 16
+    cell_blocks: int = 64  # blocks that a source has in each of its shards, about, at least
     shard_tokens: int = 1 << 18
     seed: int = 17
 
@@ -46,24 +49,28 @@ def with_sizes(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(count, f"{table_types(docs)}, __size bigint")
 
 
-def targets(sizes: dict[str | None, int], plan: MixPlan) -> dict[str | None, float]:
-    """Source -> target: shares by weight, at most ``max_repeats`` times the source's size, the excess shared anew."""
-    names = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
-    weight = {s: plan.weights[i % len(plan.weights)] for i, s in enumerate(names)}
-    cap = {s: float(plan.max_repeats * sizes[s]) for s in names}
-    found: dict[str | None, float] = {}
-    left, open_ = plan.share * sum(sizes.values()), list(names)
-    while open_:
-        whole = sum(weight[s] for s in open_)
-        share = {s: left * weight[s] / whole for s in open_}
-        over = [s for s in open_ if share[s] > cap[s]]
-        if not over:
-            return found | share
-        for s in over:
-            found[s] = cap[s]
-        left -= sum(cap[s] for s in over)
-        open_ = [s for s in open_ if s not in found]
-    return found
+def source_targets(sources: DataFrame, plan: MixPlan) -> DataFrame:
+    """(__sk, __source_size), a row for each source -> the same plus __target.
+
+    Shares by weight, at most ``max_repeats`` times the source's size, the excess shared anew until none is above. Weights
+    repeat along the order of the names. Each round is one aggregate, whatever the number of sources.
+    """
+    weights = F.array(*map(F.lit, plan.weights))
+    last = F.col("__sk") == ""  # the null source
+    ranked = sorted_slices(sources.select("__sk", "__source_size", last.alias("__last")), ["__last", "__sk"]).ranked("__rank")
+    weighed = ranked.select("__sk", "__source_size", F.element_at(weights, (F.col("__rank") % len(plan.weights) + 1).cast("int")).alias("__weight"))
+    weighed = stash(weighed.withColumn("__cap", (plan.max_repeats * F.col("__source_size")).cast("double")), "sources")
+    size, weight = weighed.agg(F.sum("__source_size"), F.sum("__weight")).first()
+    left, full = plan.share * (size or 0), -1
+    while weight:
+        over = F.lit(left) * F.col("__weight") / F.lit(weight) > F.col("__cap")
+        # Once over, a source stays over: what is left for each weight only grows.
+        n, caps, open_weight = weighed.agg(F.count_if(over), F.sum(F.when(over, F.col("__cap"))), F.sum(F.when(~over, F.col("__weight")))).first()
+        if n == full:
+            break
+        full, left, weight = n, plan.share * size - (caps or 0.0), open_weight or 0.0
+    share = F.lit(left) * F.col("__weight") / F.lit(weight) if weight else F.col("__cap")
+    return weighed.select("__sk", "__source_size", F.least("__cap", share).alias("__target"))
 
 
 def apportion(votes: np.ndarray, seats: int, capacity: np.ndarray) -> np.ndarray:
@@ -100,31 +107,32 @@ def _source_key(source: Column) -> Column:
 
 
 def _dealt(rows: DataFrame, plan: MixPlan, shards: int) -> DataFrame:
-    return rows.withColumn("__shard", F.pmod("__order", F.lit(shards)).cast("int"))
+    """Rows of known sources with their shard."""
+    spread = F.least(F.lit(shards), F.greatest(F.lit(1), F.floor(F.col("__source_size") / (plan.cell_blocks * plan.block_tokens))))
+    first = F.xxhash64("__sk", F.lit(plan.seed))
+    return rows.withColumn("__shard", F.pmod(F.pmod(first, F.lit(shards)) + F.pmod("__order", spread), F.lit(shards)).cast("int"))
 
 
 def _quotas(rows: DataFrame, plan: MixPlan) -> tuple[DataFrame, int]:
     """(__sk, __order, __size) -> a row for each source and shard with its blocks and quota; the number of shards."""
-    spark: SparkSession = rows.sparkSession
-    # One row for each source.
-    by_source = {r["__sk"]: r["n"] for r in rows.groupBy("__sk").agg(F.sum("__size").alias("n")).collect()}
-    whole = sum(by_source.values())
+    sources = rows.groupBy("__sk").agg(F.sum("__size").alias("__source_size"))
+    known = stash(source_targets(sources, plan), "targets")
+    whole = known.agg(F.sum("__source_size")).first()[0] or 0
     shards = max(1, -(-whole // plan.shard_tokens))
-    named = {(k[1:] if k else None): n for k, n in by_source.items()}
-    aims = targets(named, plan)
-    known = spark.createDataFrame(
-        [("" if s is None else "=" + s, n, float(aims[s])) for s, n in named.items()], "__sk string, __source_size bigint, __target double"
+    cells = _dealt(rows.join(known, "__sk"), plan, shards).groupBy("__sk", "__shard").agg(
+        F.sum("__size").alias("__cell"), F.first("__source_size").alias("__source_size"), F.first("__target").alias("__target")
     )
-    cells = _dealt(rows, plan, shards).groupBy("__sk", "__shard").agg(F.sum("__size").alias("__cell")).join(known, "__sk")
     block, repeats = plan.block_tokens, plan.max_repeats
+    cells = cells.withColumn("__turn", F.xxhash64("__sk", "__shard", F.lit(plan.seed)))
 
     def share_out(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__sk", ignore_index=True)
+        # Ties go in a seeded order.
+        pdf = pdf.sort_values(["__turn", "__sk"], ignore_index=True)
         cell, size = pdf["__cell"].to_numpy(), pdf["__source_size"].to_numpy()
         blocks = np.where(cell > 0, np.maximum(1, np.rint(cell / block)), 0).astype(np.int64)
         votes = np.where(size > 0, pdf["__target"].to_numpy() / np.maximum(size, 1), 0.0) * blocks
         quota = apportion(votes, int(np.rint(votes.sum())), repeats * blocks)
-        return pdf.assign(__blocks=blocks, __quota=quota)
+        return pdf.drop(columns="__turn").assign(__blocks=blocks, __quota=quota)
 
     schema = "__sk string, __shard int, __cell bigint, __source_size bigint, __target double, __blocks bigint, __quota bigint"
     return cells.groupBy("__shard").applyInPandas(share_out, schema), shards
@@ -133,7 +141,9 @@ def _quotas(rows: DataFrame, plan: MixPlan) -> tuple[DataFrame, int]:
 def _taken(rows: DataFrame, quotas: DataFrame, plan: MixPlan, shards: int) -> DataFrame:
     """Rows with __sk, __order, __size, __tie -> the same plus __source_size, __target and __taken."""
     order = Window.partitionBy("__sk", "__shard").orderBy("__order", "__tie").rowsBetween(Window.unboundedPreceding, 0)
-    placed = _dealt(rows, plan, shards).withColumn("__end", F.sum("__size").over(order)).join(quotas, ["__sk", "__shard"])
+    known = quotas.select("__sk", "__source_size").distinct()
+    dealt = _dealt(rows.join(known, "__sk"), plan, shards).drop("__source_size")
+    placed = dealt.withColumn("__end", F.sum("__size").over(order)).join(quotas, ["__sk", "__shard"])
     start, end, blocks = F.col("__end") - F.col("__size"), F.col("__end"), F.greatest("__blocks", F.lit(1))
     rest = F.col("__quota") % blocks
     first = F.pmod(F.xxhash64("__sk", "__shard", F.lit(plan.seed)), blocks)

@@ -45,7 +45,6 @@ RULES = (
 
 @dataclass(frozen=True)
 class TreePlan:
-    depth: int = 6  # deeper segments share one wildcard
     repeats: float = 4.0  # urls of a literal segment at a node, at least, for it to stay
     z: float = 2.0  # standard errors that branches may differ by and still be merged
     weight: float = 8.0  # labels that the prior share weighs as much as
@@ -83,20 +82,32 @@ def path_templates(paths: DataFrame, plan: TreePlan) -> DataFrame:
     """(host, path, n) with distinct paths -> the same plus ``template``.
 
     All levels are keyed by (host, template so far) and counts are pre-aggregated. Each {text} segment is judged by its own urls,
-    however many there are at a node: with ``plan.repeats`` it stays, else it becomes the wildcard.
+    however many there are at a node: with ``plan.repeats`` it stays, else it becomes the wildcard. Levels go on while a node
+    has segments left and urls enough for one to stay; below all others every segment has its shape.
     """
     segments = F.split(F.regexp_replace("path", r"^/", ""), "/")
-    grown = paths.select("host", "path", "n", segments.alias("segments"), F.lit("").alias("template"))
-    for level in range(plan.depth):
+    open_ = paths.select("host", "path", "n", segments.alias("segments"), F.lit("").alias("template"))
+    done, level = [], 0
+    while level == 0 or not open_.isEmpty():
         here = F.get(F.col("segments"), F.lit(level))
-        grown = grown.withColumn("here", here).withColumn("shape", F.when(here.isNotNull(), _shape(here)))
+        grown = open_.withColumn("here", here).withColumn("shape", _shape(here))
         literals = grown.where("shape = '{text}'").groupBy("host", "template", "here").agg(F.sum("n").alias("urls"))
         stay = literals.where(F.col("urls") >= plan.repeats).select("host", "template", "here", F.lit(True).alias("stays"))
         grown = grown.join(stay, ["host", "template", "here"], "left")
-        step = F.when(F.col("here").isNull(), F.lit("")).when(F.col("stays"), F.concat(F.lit("/"), "here")).otherwise(F.concat(F.lit("/"), "shape"))
+        step = F.concat(F.lit("/"), F.when(F.col("stays"), F.col("here")).otherwise(F.col("shape")))
         grown = stash(grown.select("host", "path", "n", "segments", F.concat("template", step).alias("template")), "tree")
-    rest = F.when(F.size("segments") > plan.depth, F.lit("/{rest}")).otherwise(F.lit(""))
-    return grown.select("host", "path", "n", F.concat("template", rest).alias("template"))
+        level += 1
+        longer = F.size("segments") > level
+        crowded = grown.where(longer).groupBy("host", "template").agg(F.sum("n").alias("urls")).where(F.col("urls") >= plan.repeats)
+        key = ["host", "template"]
+        rest = F.transform(F.slice("segments", level + 1, F.greatest(F.size("segments") - level, F.lit(0))), lambda s: F.concat(F.lit("/"), _shape(s)))
+        few = grown.where(longer).join(crowded.select(*key), key, "left_anti").unionByName(grown.where(~longer))
+        done.append(few.select("host", "path", "n", F.concat("template", F.array_join(rest, "")).alias("template")))
+        open_ = grown.where(longer).join(crowded.select(*key), key, "left_semi").select(grown.columns)
+    out = done[0]
+    for x in done[1:]:
+        out = out.unionByName(x)
+    return out
 
 
 def template_purity(urls: DataFrame, plan: TreePlan) -> DataFrame:

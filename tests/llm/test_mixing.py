@@ -8,14 +8,50 @@ from helpers import empty, frame, rows_of, words
 from schemahelm.llm import mixing
 
 
-def test_targets_share_the_excess():
-    plan = mixing.MixPlan()
-    got = mixing.targets({"b": 1000, "a": 10, "c": 1000, None: 500}, plan)
+def plain_targets(sizes, plan):
+    names = sorted(s for s in sizes if s is not None) + [None] * (None in sizes)
+    weight = {s: plan.weights[i % len(plan.weights)] for i, s in enumerate(names)}
+    cap, found = {s: float(plan.max_repeats * sizes[s]) for s in names}, {}
+    while True:
+        open_ = [s for s in names if s not in found]
+        left, whole = plan.share * sum(sizes.values()) - sum(found.values()), sum(weight[s] for s in open_)
+        share = {s: left * weight[s] / whole for s in open_}
+        over = {s: cap[s] for s in open_ if share[s] > cap[s]}
+        if not over:
+            return found | share
+        found |= over
+
+
+def targets(spark, sizes, plan=mixing.MixPlan()):
+    rows = [("" if s is None else "=" + s, n) for s, n in sizes.items()]
+    got = mixing.source_targets(spark.createDataFrame(rows, "__sk string, __source_size bigint"), plan)
+    return {r["__sk"][1:] if r["__sk"] else None: r["__target"] for r in got.collect()}
+
+
+def test_targets_share_the_excess(spark):
+    got = targets(spark, {"b": 1000, "a": 10, "c": 1000, None: 500})
     # By code point: a (3), b (1), c (2), null (3).
     assert got["a"] == 20 and got[None] == 1000
     assert got["b"] == pytest.approx((3765 - 1020) / 3) and got["c"] == pytest.approx((3765 - 1020) * 2 / 3)
-    assert all(v <= 2 * n for v, n in zip((got["b"], got["c"]), (1000, 1000)))
-    assert mixing.targets({}, plan) == {} and mixing.targets({None: 0}, plan) == {None: 0.0}
+    assert targets(spark, {}) == {} and targets(spark, {None: 0}) == {None: 0.0}
+    rng = random.Random(8)
+    sizes = {chr(rng.randrange(33, 50_000)) * 2: rng.choice([0, 1, 7, 500, 90_000]) for _ in range(300)}
+    want = plain_targets(sizes, mixing.MixPlan())
+    assert targets(spark, sizes) == {s: pytest.approx(t) for s, t in want.items()}
+
+
+def test_many_small_sources(spark):
+    # 5,000 equal sources: each must come near its own target, though none has more than a few tens of blocks.
+    docs = [(i, " ".join(["w"] * 200), "en", f"s{i % 5000:04d}") for i in range(20_000)]
+    took, target = defaultdict(int), {}
+    for r in mixing.mix(frame(spark, docs)).select("source", "target", "taken").collect():
+        took[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+    assert len(target) == 5000 and {round(t / 800, 2) for t in target.values()} == {2.0, 0.83, 1.67}
+    for kind in (2.0, 0.83, 1.67):
+        own = [s for s, t in target.items() if round(t / 800, 2) == kind]
+        assert sum(took[s] for s in own) == pytest.approx(sum(target[s] for s in own), rel=0.01)
+        assert max(abs(took[s] / target[s] - 1) for s in own) <= 0.03
 
 
 def one_by_one(votes, seats, capacity):
@@ -51,7 +87,7 @@ def test_mix_of_a_hot_source(spark):
     sizes = defaultdict(int)
     for _, text, _, source in docs:
         sizes[source] += len((text or "").split())
-    want = mixing.targets(dict(sizes), plan)
+    want = plain_targets(dict(sizes), plan)
     taken = defaultdict(int)
     for r in got:
         assert 0 <= r["taken"] <= 2 * r["size"]

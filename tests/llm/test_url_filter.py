@@ -1,4 +1,7 @@
+import math
+import random
 import re
+from collections import Counter, defaultdict
 from urllib.parse import urlsplit
 
 import pytest
@@ -50,6 +53,84 @@ def test_whole_table(spark, sf_dir):
         assert r["verdict"] == rule.action if rule else r["verdict"] in ("allow", "block")
 
 
+def plain_templates(urls, plan):
+    """Template of each (host, path) by going down level by level with counters."""
+    def shape(x):
+        for form, name in ((r"[0-9]+", "{number}"), (r"[0-9]+\.[A-Za-z0-9]{1,5}", "{number.ext}"), (r"(?=.*[0-9])[0-9A-Fa-f-]{8,}", "{hex}")):
+            if re.fullmatch(form, x):
+                return name
+        return "{text}"
+
+    parts = {u: re.sub("^/", "", u[1]).split("/") for u in urls}
+    template, level = dict.fromkeys(urls, ""), 0
+    while any(len(p) > level for p in parts.values()):
+        counts = Counter()
+        for u, n in urls.items():
+            if len(parts[u]) > level:
+                counts[u[0], template[u], parts[u][level]] += n
+        template = {
+            u: t if len(parts[u]) <= level else f"{t}/" + (parts[u][level] if shape(parts[u][level]) == "{text}" and counts[u[0], t, parts[u][level]] >= plan.repeats else shape(parts[u][level]))
+            for u, t in template.items()
+        }
+        level += 1
+    return template
+
+
+def plain_rejected(rows, plan):
+    """Rejected (host, template)s of rows (host, template, good or None)."""
+    counts, outlines, hosts = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
+    outline = lambda t: re.sub(r"/(?!\{)[^/]+", "/{*}", t)
+    for host, t, good in rows:
+        for table, key in ((counts, (host, t)), (outlines, (host, outline(t))), (hosts, host)):
+            table[key][0] += good is not None
+            table[key][1] += good or 0
+    merged, of = defaultdict(lambda: [0, 0]), {}
+    for (host, t), (n, g) in counts.items():
+        pooled_n, pooled_g = outlines[host, outline(t)]
+        share = pooled_g / pooled_n if pooled_n else 0.5
+        alike = n == 0 or abs(g / n - share) <= plan.z * math.sqrt(max(share * (1 - share), 0.01) / n)
+        of[host, t] = (host, outline(t) if alike else t)
+        merged[of[host, t]][0] += n
+        merged[of[host, t]][1] += g
+    prior = (sum(g for _, g in hosts.values()) + 1) / (sum(n for n, _ in hosts.values()) + 2)
+    def purity(key):
+        (n, g), (hn, hg) = merged[key], hosts[key[0]]
+        return (g + plan.weight * (hg + plan.weight * prior) / (hn + plan.weight)) / (n + plan.weight)
+    return {t for t, key in of.items() if purity(key) < plan.threshold}
+
+
+def check_plain(spark, pages, labels, plan):
+    """Templates and the method's verdicts of all pages against the plain versions."""
+    got = rows_of(url_filter.judge(pages, labels, (), plan))
+    urls = Counter((r["host"], r["path"]) for r in got)
+    want = plain_templates(urls, plan)
+    assert {(r["host"], r["path"]): r["template"] for r in got} == want
+    marks = defaultdict(list)
+    for r in rows_of(labels):
+        marks[r["page_id"]].append(r["good"])
+    good = {k: sum(v) / len(v) for k, v in marks.items()}
+    rejected = plain_rejected([(r["host"], r["template"], good.get(r["page_id"])) for r in got], plan)
+    assert {(r["host"], r["template"]) for r in got if r["verdict"] == "block"} == rejected
+    return rejected
+
+
+def test_tree_merge_and_purity_of_a_whole_table(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    labels = url_filter.document_labels(pages, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    for plan in (TreePlan(), TreePlan(repeats=2.0, z=0.5, weight=2.0, threshold=0.6)):
+        check_plain(spark, pages, labels, plan)
+
+
+def test_deep_branches_are_judged_apart(spark):
+    rng = random.Random(3)
+    urls = [f"http://h/a/b/c/d/e/f/{kind}/{i}" for kind in ("good", "bad") for i in range(100)]
+    urls += ["http://k/" + "/".join(rng.choice(["x", "y", "7", "q1"]) for _ in range(rng.randrange(12))) for _ in range(200)] + [None, "http://z/" + "s/" * 40]
+    pages = frame(spark, list(enumerate(urls)), PAGES)
+    labels = frame(spark, [(i, 0.0 if "/bad/" in u else 1.0) for i, u in enumerate(urls) if u and i % 2 == 0], LABELS)
+    rejected = check_plain(spark, pages, labels, TreePlan())
+    assert ("h", "/a/b/c/d/e/f/bad/{number}") in rejected and ("h", "/a/b/c/d/e/f/good/{number}") not in rejected
+
+
 def tree(spark, urls, plan=TreePlan()):
     pages = frame(spark, list(enumerate(urls)), PAGES)
     return {r["page_id"]: r["template"] for r in rows_of(url_filter.judge(pages, empty(spark, LABELS), (), plan))}
@@ -59,7 +140,7 @@ def test_segments_that_vary_become_wildcards(spark):
     urls = [f"http://h/{kind}/{i}" for kind in ("news", "blog") for i in range(20)] + [f"http://h/user/name{i}x/posts" for i in range(20)] + ["http://h/a/deadbeef01"]
     got = tree(spark, urls)
     assert set(got.values()) >= {"/news/{number}", "/blog/{number}", "/user/{text}/posts"}
-    assert "/{rest}" in list(tree(spark, ["http://h/a/b/c/d"] * 4, TreePlan(depth=2)).values())[0]
+    assert set(tree(spark, ["http://h/a/b/c/d/e/f/g/h/1"] * 4).values()) == {"/a/b/c/d/e/f/g/h/{number}"}
 
 
 def test_purity_blocks_a_bad_branch_and_merges_like_ones(spark):
