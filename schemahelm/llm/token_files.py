@@ -35,7 +35,6 @@ from schemahelm.session import scratch_path
 #: Sequences in one record batch, tokens in one sequence.
 BATCH, LENGTH = 64, 2048
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_ODD = re.compile(r"\s\s|^\s|\s\Z")
 #: Parts that are encoded as the lines of one text.
 LINES = 512
 #: Parts of a worker's cache, about 200 bytes each; its older half goes when the younger one is full.
@@ -95,14 +94,15 @@ class Encoder:
         if len(self.first) + len(self.later) > PARTS // 2:
             self.old, self.first, self.later = (self.first, self.later), {}, {}
         line = np.array(self.line, self.dtype).tobytes()
-        breaks = {x for x in later - self.later.keys() if x[0] == "\n"}
-        first = first | {x[1:] for x in breaks}
-        for cache, old, parts, lead in ((self.first, self.old[0], first, ""), (self.later, self.old[1], later - breaks, " ")):
-            new = parts - cache.keys()
+        later = later.difference(self.later)
+        breaks = [x for x in later if x[0] == "\n"]
+        first = first.union([x[1:] for x in breaks]).difference(self.first)
+        for cache, old, new, lead in ((self.first, self.old[0], first, ""), (self.later, self.old[1], later.difference(breaks), " ")):
             stopped = [x for x in new if x[-1:] in self.stops and x[-2:-1].isalpha()]
-            new = new.difference(stopped) | {x[:-1] for x in stopped}
-            cache.update((x, old[x]) for x in old.keys() & new)
-            new -= cache.keys()
+            new = new.difference(stopped).union([x[:-1] for x in stopped])
+            known = [x for x in new if x in old]
+            cache.update(zip(known, map(old.__getitem__, known)))
+            new = new.difference(cache)
             odd = [x for x in new if len(x.split()) != 1 or len(x.split()[0]) != len(x)]
             plain = list(new.difference(odd))
             for group, encode in ((plain, self._words), (odd, self._bytes)):
@@ -117,7 +117,7 @@ class Encoder:
             return [x + self.end for x in self._bytes(texts)]
         # Where all white space is single and between words, line breaks are cuts as well: each is a token of its own, and the
         # word after it has no space in front.
-        cut = [_CUT.split(t) if _ODD.search(t) else t.replace("\n", " \n").split(" ") for t in texts]
+        cut = [t.replace("\n", " \n").split(" ") if " ".join(t.split()) == t.replace("\n", " ") else _CUT.split(t) for t in texts]
         self._learn({p[0] for p in cut}, set().union(*(p[1:] for p in cut)) if cut else set())
         first, later = self.first, self.later.__getitem__
         return [b"".join([first[p[0]], *map(later, p[1:]), self.end]) for p in cut]
