@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from schemahelm.operators.slices import sorted_slices
+
 DEFAULT_LIMIT = 50
 MAX_LIMIT = 200
 
@@ -21,12 +23,16 @@ def _sorts(order: Sequence[tuple[str, str]]) -> list[Column]:
 
 
 def after_cursor(order: Sequence[tuple[str, str]], after: dict, types: dict[str, str]) -> Column:
-    """Rows strictly behind the cursor in a lexicographic order."""
-    value = lambda c: F.lit(after[c]).cast(types[c])
-    cases = []
-    for i, (name, direction) in enumerate(order):
-        beyond = F.col(name) < value(name) if direction == "desc" else F.col(name) > value(name)
-        cases.append(reduce(lambda a, b: a & b, [F.col(c) == value(c) for c, _ in order[:i]], F.lit(True)) & beyond)
+    """Rows strictly behind the cursor in a lexicographic order; NULLs are the smallest values, as in the sort."""
+    cases, same = [], F.lit(True)
+    for name, direction in order:
+        column, value = F.col(name), F.lit(after[name]).cast(types[name])
+        if direction == "desc":
+            beyond = F.lit(False) if after[name] is None else F.coalesce(column < value, F.lit(True))
+        else:
+            beyond = column.isNotNull() if after[name] is None else F.coalesce(column > value, F.lit(False))
+        cases.append(same & beyond)
+        same = same & column.eqNullSafe(value)
     return reduce(lambda a, b: a | b, cases)
 
 
@@ -45,6 +51,17 @@ def keyset_page(df: DataFrame, order: Sequence[tuple[str, str]], after: dict | N
     return ranked.withColumn("more", F.max("_rn").over(whole) > n).where(F.col("_rn") <= n).drop("_rn")
 
 
+def numbered_page(df: DataFrame, order: Sequence[tuple[str, str]], offset: int, limit: int) -> DataFrame:
+    """Rows ``offset`` to ``offset + limit`` in an order that tells all rows apart.
+
+    The first page is a bounded top-k. For others the rows are range-partitioned once, and the row counts of the partitions
+    tell which of them hold the page: no task sees the rows before it.
+    """
+    if offset <= 0:
+        return df.orderBy(*_sorts(order)).limit(limit)
+    return sorted_slices(df, _sorts(order)).page(offset, limit).drop("_pos")
+
+
 def search(df: DataFrame, q: str, columns: Sequence[str] = (), arrays: Sequence[str] = ()) -> DataFrame:
     """Case-insensitive substring search over text columns and string arrays; an empty query keeps all."""
     if not q:
@@ -86,7 +103,7 @@ def user_page(
     per = clamp_limit(per_page, default=20)
     hits = user_filter(users, tenant, term, without_role, user_roles)
     keys = [(sort, order.lower()), ("id", "asc")]
-    rows = hits.orderBy(*_sorts(keys)).offset((max(page, 1) - 1) * per).limit(per).select("id", "username")
+    rows = numbered_page(hits.select("id", *dict.fromkeys(["username", sort])), keys, (max(page, 1) - 1) * per, per).select("id", "username")
     total = hits.agg(F.count(F.lit(1)).alias("total"))
     # At most ``per`` users: their memberships are few, and names per user are distinct role names.
     named = user_roles.join(F.broadcast(rows.select(F.col("id").alias("user_id"))), "user_id", "left_semi").join(
@@ -120,7 +137,7 @@ def widget_filter(widgets: DataFrame, scopes: Sequence[str] = (), tenant: str =
 def list_widgets(widgets: DataFrame, scopes: Sequence[str] = (), tenant: str = "", q: str = "", limit: int = 0, offset: int = 0) -> DataFrame:
     """A page of widgets by id, with the total number of hits."""
     hits = widget_filter(widgets, scopes, tenant, q)
-    rows = hits.orderBy("id").offset(max(offset, 0)).limit(clamp_limit(limit))
+    rows = numbered_page(hits, [("id", "asc")], offset, clamp_limit(limit))
     return _with_total(rows, hits.agg(F.count(F.lit(1)).alias("total")))
 
 

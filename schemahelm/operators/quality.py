@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from schemahelm.functions import typing as ty
@@ -114,6 +114,19 @@ def _cast_type(base: str | None) -> str | None:
     return next((target for target, names in _CASTS.items() if base in names), None)
 
 
+def _malformed(spark: SparkSession, patterns: Sequence[str]) -> set[str]:
+    """Those of the rules' patterns that are no regular expressions: few, and tried on one empty text."""
+    bad = set()
+    for pattern in set(patterns):
+        try:
+            spark.range(1).select(F.lit("").rlike(pattern)).collect()
+        except Exception as error:  # noqa: BLE001 - the kind of error depends on where the pattern is compiled
+            if "regex" not in str(error).lower() and "PatternSyntax" not in str(error):
+                raise
+            bad.add(pattern)
+    return bad
+
+
 def _checks(df: DataFrame, rule: dict) -> list[tuple[str, Column]]:
     """(rule name, failing condition) of one column, apart from uniqueness."""
     c = F.col(rule["column"])
@@ -141,8 +154,12 @@ def validate_rows(data: DataFrame, rules: Sequence[dict], key: Sequence[str], ta
 
     A rule is a dict with ``column`` and any of ``validator, pattern, nullable, unique, base, length, enums``
     (see :func:`rules_for`). All row rules are checked in one pass. All unique rules are one more: values are counted by
-    column, and rows with a repeated one are looked up by (column, value).
+    column, and rows with a repeated one are looked up by (column, value). A rule whose pattern is no regular expression
+    is a violation itself: one row with an empty key, the rule ``pattern`` and the pattern as its value.
     """
+    bad = _malformed(data.sparkSession, [r["pattern"] for r in rules if r.get("pattern")])
+    broken = [(r["column"], r["pattern"]) for r in rules if r.get("pattern") in bad]
+    rules = [{**r, "validator": None} if r.get("pattern") in bad else r for r in rules]
     row_key = F.concat_ws("|", *[F.col(k).cast("string") for k in key])
     entries = []
     for rule in rules:
@@ -168,6 +185,9 @@ def validate_rows(data: DataFrame, rules: Sequence[dict], key: Sequence[str], ta
         repeated = values.groupBy("column_name", "value").count().where("count > 1").select("column_name", "value")
         found = values.join(repeated, ["column_name", "value"], "left_semi")
         out.append(found.select("row_key", "column_name", F.lit("unique").alias("rule"), "value"))
+    if broken:
+        told = data.sparkSession.createDataFrame(broken, "column_name string, value string")
+        out.append(told.select(F.lit("").alias("row_key"), "column_name", F.lit("pattern").alias("rule"), "value"))
     if not out:
         schema = "table_name string, row_key string, column_name string, rule string, value string"
         return data.sparkSession.createDataFrame([], schema)

@@ -159,6 +159,34 @@ def _(x):
     return p.keyset_page(x.F_TGT.select("tkey", "driver"), [("tkey", "asc")], {"tkey": "db:1"}, 5)
 
 
+_NULLS = "SELECT tkey, CASE WHEN driver <> 'mongo' THEN driver END AS driver FROM F_TGT"
+
+
+# NULL keys come first in ascending order and last in descending order.
+@query(
+    "w1_keyset_page_nulls",
+    f"""WITH n AS ({_NULLS}), a AS (SELECT * FROM n WHERE (driver IS NULL AND tkey > 'db:2') OR driver IS NOT NULL), d AS (SELECT * FROM n WHERE driver < 'postgres' OR driver IS NULL OR (driver = 'postgres' AND tkey > 'db:3'))
+ SELECT 'asc' AS direction, *, (SELECT count(*) FROM a) > 7 AS more FROM (SELECT * FROM a ORDER BY driver NULLS FIRST, tkey LIMIT 7)
+ UNION ALL SELECT 'desc', *, (SELECT count(*) FROM d) > 200 FROM (SELECT * FROM d ORDER BY driver DESC NULLS LAST, tkey LIMIT 200)""",
+)
+def _(x):
+    rows = x.F_TGT.select("tkey", F.when(F.col("driver") != "mongo", F.col("driver")).alias("driver"))
+    up = p.keyset_page(rows, [("driver", "asc"), ("tkey", "asc")], {"driver": None, "tkey": "db:2"}, 7)
+    down = p.keyset_page(rows, [("driver", "desc"), ("tkey", "asc")], {"driver": "postgres", "tkey": "db:3"}, 200)
+    return up.select(F.lit("asc").alias("direction"), "tkey", "driver", "more").unionByName(down.select(F.lit("desc").alias("direction"), "tkey", "driver", "more"))
+
+
+@query(
+    "w2_deep_page",
+    f"SELECT id, applied_at, table_name FROM (SELECT id, {ts_sql('applied_at')} AS applied_at, table_name, row_number() OVER (ORDER BY F_AUD.applied_at DESC, id) AS rn FROM F_AUD) WHERE rn > (SELECT count(*) // 2 FROM F_AUD) AND rn <= (SELECT count(*) // 2 FROM F_AUD) + 50",
+)
+def _(x):
+    # A page in the middle of the log.
+    log = x.F_AUD.select("id", "applied_at", "table_name")
+    page = p.numbered_page(log, [("applied_at", "desc"), ("id", "asc")], log.count() // 2, 50)
+    return page.withColumn("applied_at", ts_text("applied_at"))
+
+
 @query(
     "w1_keyset_page_events",
     f"""WITH h AS (SELECT id, applied_at FROM F_AUD WHERE applied_at < TIMESTAMP '2024-01-10 00:00:00') SELECT id, {ts_sql('applied_at')} AS applied_at, (SELECT count(*) FROM h) > 200 AS more

@@ -18,7 +18,7 @@ def _(x):
     return m.count_distinct_tables(x.F_OLD, ["tenant_id"])
 
 
-_WORDS = ", ".join(f"bit_xor(CAST('0x' || substr(h, {1 + 15 * i}, 15) AS BIGINT)) AS w{i}" for i in range(4))
+_WORDS = ", ".join(f"sum(CAST('0x' || substr(h, {1 + 15 * i}, 15) AS BIGINT)) AS w{i}" for i in range(4))
 
 
 @query(
@@ -41,6 +41,18 @@ def _(x):
     return m.changed_groups(new, old, ["scopes"]).select("scopes")
 
 
+@query(
+    "g6_changed_ranges",
+    """SELECT DISTINCT scopes, left(sha256(id), 1) AS "range" FROM F_WID WHERE id LIKE '%7' AND scopes <> 'tenant' UNION SELECT DISTINCT scopes, left(sha256(id), 1) FROM F_WID WHERE id LIKE '%33'""",
+)
+def _(x):
+    # Some widgets have a new version, others are gone.
+    old = m.range_hashes(x.F_WID, ["scopes"], digits=1, updated_col="updated_seq")
+    bumped = F.when(F.col("id").endswith("7") & (F.col("scopes") != "tenant"), F.lit("9.9.9")).otherwise(F.col("version"))
+    new = m.range_hashes(x.F_WID.withColumn("version", bumped).where(~F.col("id").endswith("33")), ["scopes"], digits=1, updated_col="updated_seq")
+    return m.changed_ranges(new, old, ["scopes"])
+
+
 _PATH = "regexp_replace(path, '[0-9]+', ':id', 'g')"
 
 

@@ -139,18 +139,19 @@ def _(x):
 
 @query(
     "t3_retry_dlq",
-    """SELECT id, failing_attempts = 3 AS delivered, CASE WHEN failing_attempts = 3 THEN 3 ELSE 4 END AS attempts FROM F_EVT WHERE failing_attempts >= 3""",
+    """SELECT id // 10 AS id, failing_attempts = 3 AS delivered, CASE WHEN failing_attempts = 3 THEN 3 ELSE 4 END AS attempts FROM F_EVT WHERE failing_attempts >= 3""",
 )
 def _(x):
     dlq = x.F_EVT.where("failing_attempts >= 3").select(
-        F.lit("flaky").alias("sink"), "id", "name", "data", (F.col("failing_attempts") - 3).alias("failing_attempts"), F.lit(3).alias("attempts"),
+        # Letters that share their id.
+        F.lit("flaky").alias("sink"), F.col("id").cast("string").alias("letter"), F.floor(F.col("id") / 10).alias("id"), "name", "data", (F.col("failing_attempts") - 3).alias("failing_attempts"), F.lit(3).alias("attempts"),
         F.lit("refused").alias("last_error"),
     )
     path = scratch_path(x.spark, "dead")
     dlq.write.parquet(path)
     left, sent = ev.retry_dlq(x.spark, path, ev.Sink("flaky", flaky))
     # What is still open is what failed.
-    left = ev.open_letters(x.spark, path).join(left.select("id"), "id", "left_semi")
+    left = ev.open_letters(x.spark, path).join(left.select("letter"), "letter", "left_semi")
     flag = lambda df, ok: df.select("id", F.lit(ok).alias("delivered"), "attempts")
     return flag(sent, True).unionByName(flag(left, False))
 

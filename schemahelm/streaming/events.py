@@ -90,17 +90,32 @@ def _send_once(events: DataFrame, sink: Sink, attempt: int) -> DataFrame:
     return events.mapInPandas(run, schema)
 
 
+def numbered_batch(batch: DataFrame, work: str, batch_id: int) -> DataFrame:
+    """The rows of a micro-batch with ``delivery``, a number of each that is the same when the batch is repeated.
+
+    The batch is written once; a mark that appears after it tells that it is complete.
+    """
+    spark = batch.sparkSession
+    path, mark = (f"{work}/{kind}/batch_id={batch_id}" for kind in ("batches", "numbered"))
+    if read_if_there(spark, mark) is None:
+        batch.withColumn("delivery", F.monotonically_increasing_id()).write.mode("overwrite").parquet(path)
+        spark.range(1).coalesce(1).write.mode("overwrite").parquet(mark)
+    return spark.read.parquet(path)
+
+
 def deliver(events: DataFrame, sink: Sink, work: str, max_attempts: int = 3, delay: float = 1.0, max_delay: float = 0.0) -> DataFrame:
     """Send a batch with retries; returns every event with ``attempts`` and ``error`` (NULL when delivered).
 
     Attempts are rounds over what is still failing, each written to ``work`` before it is judged: a send is
     not repeated because its result is read twice, and the job waits once per round, not per event. ``work`` belongs to
-    one batch and sink. When the batch is repeated, its own log is read first and what was delivered is not sent again.
+    one batch and sink. When the batch is repeated, its own log is read first and what was delivered is not sent again: by its
+    ``delivery`` number where the events have one (see :func:`numbered_batch`), as ids may repeat, else by its id.
     """
+    key = "delivery" if "delivery" in events.columns else "id"
     spark = events.sparkSession
     log = read_if_there(spark, work)
     done = None if log is None else log.where(F.col("error").isNull())
-    pending = events if done is None else events.join(done.select("id"), "id", "left_anti")
+    pending = events if done is None else events.join(done.select(key), key, "left_anti")
     run = 0 if log is None else log.agg(F.max("run")).first()[0] + 1
     for attempt in range(1, max_attempts + 1):
         path = f"{work}/run={run}/attempt={attempt}"
@@ -118,16 +133,19 @@ def deliver(events: DataFrame, sink: Sink, work: str, max_attempts: int = 3, del
 
 
 def dead_letters(outcome: DataFrame, sink: str) -> DataFrame:
-    """Dead-letter rows of undelivered events: ``sink, id, name, payload, attempts, last_error``."""
+    """Dead-letter rows of undelivered events: ``sink, [letter,] id, name, payload, attempts, last_error``."""
     failed = event_payload(outcome.where(F.col("error").isNotNull()))
+    own = ["letter"] if "letter" in outcome.columns else []
     return failed.select(
-        F.lit(sink).alias("sink"), "id", "name", "payload", "attempts", F.col("error").alias("last_error")
+        F.lit(sink).alias("sink"), *own, "id", "name", "payload", "attempts", F.col("error").alias("last_error")
     )
 
 
 def write_dlq(outcome: DataFrame, sink: str, path: str, batch_id: int) -> None:
-    """Store dead letters of a micro-batch; replaying the batch replaces them."""
-    dead_letters(outcome, sink).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}/from_sink={sink}")
+    """Store dead letters of a micro-batch, each with a ``letter`` of its own; replaying the batch replaces them."""
+    number = F.col("delivery") if "delivery" in outcome.columns else F.monotonically_increasing_id()
+    letters = dead_letters(outcome.withColumn("letter", F.concat_ws(":", F.lit(str(batch_id)), number.cast("string"))), sink)
+    letters.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}/from_sink={sink}")
 
 
 def run_fanout(stream: DataFrame, sinks: Sequence[Sink], work: str, dlq: str, checkpoint: str, max_attempts: int = 3, delay: float = 1.0, max_delay: float = 0.0, available_now: bool = True):
@@ -137,13 +155,7 @@ def run_fanout(stream: DataFrame, sinks: Sequence[Sink], work: str, dlq: str, ch
     """
 
     def dispatch(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        try:
-            send(batch, batch_id)
-        finally:
-            batch.unpersist()
-
-    def send(batch: DataFrame, batch_id: int) -> None:
+        batch = numbered_batch(batch, work, batch_id)
         for sink in sinks:
             outcome = deliver(batch, sink, f"{work}/sends/batch_id={batch_id}/to={sink.name}", max_attempts, delay, max_delay)
             log = outcome.select(F.lit(sink.name).alias("sink"), "id", "attempts", F.col("error").isNull().alias("delivered"))
@@ -155,15 +167,19 @@ def run_fanout(stream: DataFrame, sinks: Sequence[Sink], work: str, dlq: str, ch
 
 
 def open_letters(spark: SparkSession, dlq: str) -> DataFrame:
-    """Dead letters that no retry has delivered, with the attempts and the last error of all retries so far."""
+    """Dead letters that no retry has delivered, with the attempts and the last error of all retries so far.
+
+    Letters are told apart by ``letter``; a store without that column has one letter for each id.
+    """
     letters = spark.read.parquet(dlq)
     tried = read_if_there(spark, f"{dlq}.retries")
     if tried is None:
         return letters
-    seen = tried.groupBy("sink", "id").agg(
+    key = ["sink", "letter" if "letter" in letters.columns else "id"]
+    seen = tried.groupBy(*key).agg(
         F.bool_or(F.col("error").isNull()).alias("_done"), F.count(F.lit(1)).alias("_more"), F.max_by("error", "retry").alias("_error")
     )
-    rows = letters.join(seen, ["sink", "id"], "left").where(~F.coalesce("_done", F.lit(False)))
+    rows = letters.join(seen, key, "left").where(~F.coalesce("_done", F.lit(False)))
     attempts = (F.col("attempts") + F.coalesce("_more", F.lit(0))).cast(letters.schema["attempts"].dataType)
     return rows.withColumn("attempts", attempts).withColumn("last_error", F.coalesce("_error", "last_error")).select(letters.columns)
 

@@ -346,6 +346,53 @@ def test_state_hash_changes_with_any_row(spark):
     assert tag(rows) == tag(rows[::-1]) != tag([("a", "1", 1), ("b", "3", 2)])
 
 
+def test_fingerprint_counts_repeated_rows(spark):
+    tag = lambda r: metrics.state_hash(spark.createDataFrame(r, "id string, version string, updated_at int")).first()["etag"]
+    a, b = ("a", "1", 1), ("b", "1", 1)
+    assert len({tag(rows) for rows in ([a, a], [b, b], [a, b], [a], [a, a, a, a])}) == 5
+
+
+def test_pages_of_null_keys(spark):
+    from schemahelm.operators.paging import keyset_page, numbered_page
+
+    rows = [(i % 4 or None, i if i % 5 else None, i) for i in range(40)]
+    df = spark.createDataFrame(rows, "a int, b int, c int")
+    for order in ([("a", "asc"), ("b", "desc"), ("c", "asc")], [("a", "desc"), ("b", "asc"), ("c", "desc")]):
+        seen, after = [], None
+        while True:
+            page = keyset_page(df, order, after, 3).collect()
+            seen += [tuple(r)[:3] for r in page]
+            if not page[0].more:
+                break
+            after = page[-1].asDict()
+        assert len(seen) == 40 and set(seen) == set(rows)
+        assert [tuple(r) for o in range(0, 40, 7) for r in sorted(numbered_page(df, order, o, 7).collect(), key=lambda r: seen.index(tuple(r)))] == seen
+
+
+def test_malformed_pattern_is_a_violation(spark):
+    df = spark.createDataFrame([(1, "x1", "y"), (2, "zz", "y")], "id int, code string, other string")
+    rules = [{"column": "code", "validator": "regex", "pattern": "^x.$"}, {"column": "other", "validator": "regex", "pattern": "(["}]
+    got = {(r.row_key, r.column_name, r.rule, r.value) for r in quality.validate_rows(df, rules, ["id"], "t").collect()}
+    assert got == {("2", "code", "regex", "zz"), ("", "other", "pattern", "([")}
+
+
+def test_events_of_one_id_are_told_apart(spark, tmp_path):
+    from schemahelm.streaming import events
+
+    batch = spark.createDataFrame([(1, "n", "ok"), (1, "n", "bad"), (1, "n", "bad"), (2, "n", "ok")], "id int, name string, data string").withColumn("ts", F.current_timestamp())
+    sink = events.Sink("s", lambda rows, attempt: ["no" if d == "bad" else None for d in rows["data"]])
+    for _ in range(2):  # the second time is a replay of the batch
+        out = events.deliver(events.numbered_batch(batch, str(tmp_path / "w"), 0), sink, str(tmp_path / "s"), 2, delay=0.0)
+        assert sorted((r.id, r.data, r.error) for r in out.collect()) == [(1, "bad", "no"), (1, "bad", "no"), (1, "ok", None), (2, "ok", None)]
+    dlq = str(tmp_path / "dlq")
+    events.write_dlq(out, "s", dlq, 0)
+    assert events.open_letters(spark, dlq).count() == 2
+    one_letter = events.open_letters(spark, dlq).agg(F.min("letter")).first()[0]
+    events.retry_dlq(spark, dlq, events.Sink("s", lambda rows, attempt: [None if x == one_letter else "no" for x in rows["letter"]]))
+    left = events.open_letters(spark, dlq).collect()
+    assert len(left) == 1 and left[0].id == 1 and left[0].letter != one_letter and left[0].attempts == 3
+
+
 # --- breaker ----------------------------------------------------------------------------------------------
 
 
