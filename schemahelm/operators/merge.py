@@ -10,14 +10,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from schemahelm.functions import typing as ty
 from schemahelm.functions.text import dsn_has_database, semver_lt
 from schemahelm.operators.diff import diff, diff_summary
 from schemahelm.schemas import DEFAULT_PREFIX, FIELD_KEY, STAMPS
-from schemahelm.session import cut_lineage
+from schemahelm.session import cut_lineage, read_if_there
 from schemahelm.sources.catalog import is_reserved
 
 
@@ -47,6 +47,23 @@ def upsert(base: DataFrame, changes: DataFrame, keys: Sequence[str] = FIELD_KEY,
     return old.join(new, keys, "full").select(*(F.col(c) if c in keys else column(c) for c in names))
 
 
+def commit_upsert(spark: SparkSession, path: str, changes: DataFrame, keys: Sequence[str] = FIELD_KEY, now: Column | None = None, partition: str = "tenant_id") -> None:
+    """Upsert into a stored table, partitioned by ``partition``, which has to be one of the keys.
+
+    Only partitions that occur in the changes are read and replaced, by a dynamic overwrite; files of all others stay as they
+    are. The result is complete in the shared folder before the first file is replaced, so a run that breaks off can
+    be repeated. A table that does not exist yet is created.
+    """
+    if partition not in keys:
+        raise ValueError(f"{partition} is not one of the keys")
+    stored = read_if_there(spark, path)
+    if stored is None:
+        stored = spark.createDataFrame([], changes.schema)
+    touched = stored.join(changes.select(partition).distinct(), partition, "left_semi")
+    merged = cut_lineage(upsert(touched, changes, keys, now), "commit")
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+
+
 def upsert_counts(base: DataFrame, changes: DataFrame, keys: Sequence[str] = FIELD_KEY, by: Sequence[str] = ()) -> DataFrame:
     """Rows an upsert inserts and updates; an existing key counts as updated even if nothing differs."""
     keys = list(keys)

@@ -100,19 +100,30 @@ def _(x):
 def _profile_sql(table: str, columns: dict[str, str]) -> str:
     rows = [
         f"""SELECT '{table}' AS table_name, '{c}' AS column_name, '{t}' AS data_type, count(*) AS row_count, count(*) - count({c}) AS null_count, count(*) > count({c}) AS is_nullable,
- count({c}) > 0 AND count(DISTINCT {c}) = count({c}) AS is_unique FROM {table}"""
+ {"false" if "<" in t else f"count({c}) > 0 AND count(DISTINCT {c}) = count({c})"} AS is_unique FROM {table}"""
         for c, t in columns.items()
     ]
     return " UNION ALL ".join(rows)
 
 
 _PROFILED = {
-    "orders": {
-        "o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double", "o_orderdate": "timestamp_ntz", "o_orderpriority": "string",
-    },
-    "customer": {"c_custkey": "bigint", "c_name": "string", "c_nationkey": "int", "c_acctbal": "double", "c_mktsegment": "string"},
-    "events": {"event_id": "bigint", "user_id": "bigint", "event_type": "string", "value": "double", "ts": "timestamp_ntz", "props": "string"},
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+    "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
 }
+_PROFILED = {t: dict(c.split() for c in columns.split(", ")) for t, columns in _PROFILED.items()}
 
 
 @query("s8_profile_tables", " UNION ALL ".join(_profile_sql(t, c) for t, c in _PROFILED.items()))

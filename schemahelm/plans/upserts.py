@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from schemahelm.operators import evolve, merge
 from schemahelm.plans.changes import _DIFF, _SAME
 from schemahelm.plans.registry import query, ts_text
+from schemahelm.session import scratch_path
 from schemahelm.sources import catalog as cat
 
 _KEY = ["tenant_id", "db_id", "table_name", "column_name"]
@@ -48,6 +49,25 @@ def _(x):
     return df.select(*_KEY, "data_type", ts_text("created_at").alias("created_at"), ts_text("updated_at").alias("updated_at"))
 
 
+_SOME = "n.tenant_id IN ('t1', 't2', 't9')"
+
+
+@query(
+    "m1_commit",
+    f"""WITH n AS (SELECT * FROM F_NEW n WHERE {_SOME} UNION ALL SELECT * REPLACE ('t9' AS tenant_id) FROM F_NEW WHERE tenant_id = 't3')
+ SELECT {_K}, data_type, validator, {_TS(_BORN)} AS created_at, {_TS(_BORN)} AS updated_at FROM F_OLD o WHERE NOT EXISTS (SELECT 1 FROM n WHERE {_ON})
+ UNION ALL SELECT {_K}, data_type, validator, {_TS(f"CASE WHEN EXISTS (SELECT 1 FROM F_OLD o WHERE {_ON}) THEN {_BORN} ELSE {_NOW} END")}, {_TS(_NOW)} FROM n""",
+)
+def _(x):
+    # Two tenants of the stored registry change, and one is new.
+    path = scratch_path(x.spark, "registry")
+    _base(x).write.partitionBy("tenant_id").parquet(path)
+    new = x.F_NEW.where("tenant_id IN ('t1', 't2')").unionByName(x.F_NEW.where("tenant_id = 't3'").withColumn("tenant_id", F.lit("t9")))
+    merge.commit_upsert(x.spark, path, new, now=_now())
+    df = x.spark.read.parquet(path)
+    return df.select(*_KEY, "data_type", "validator", ts_text("created_at").alias("created_at"), ts_text("updated_at").alias("updated_at"))
+
+
 @query(
     "m2_upsert_counts",
     f"""SELECT tenant_id, count(*) FILTER (NOT hit) AS inserted, count(*) FILTER (hit) AS updated FROM (SELECT n.tenant_id, EXISTS (SELECT 1 FROM F_OLD o WHERE {_ON}) AS hit FROM F_NEW n) GROUP BY tenant_id""",

@@ -126,10 +126,3 @@ def export_files(fields: DataFrame, path: str, run_ts: str, full: bool = True, f
     rows = export_registry(fields, full=full).repartitionByRange(*order).sortWithinPartitions(*order)
     rows.write.mode("errorifexists").partitionBy("tenant_id").format(format).save(target)
     return target
-
-
-def write_version(df: DataFrame, base: str, version: str, partition_by: tuple[str, ...] = ("tenant_id",)) -> str:
-    """Write a table version to a new path; a path that is being read is never overwritten."""
-    path = f"{base.rstrip('/')}/version={version}"
-    df.write.mode("errorifexists").partitionBy(*partition_by).parquet(path)
-    return path

@@ -346,6 +346,27 @@ def test_state_hash_changes_with_any_row(spark):
     assert tag(rows) == tag(rows[::-1]) != tag([("a", "1", 1), ("b", "3", 2)])
 
 
+def test_commit_leaves_other_partitions_alone(spark, tmp_path):
+    key, schema = ["tenant_id", "column_name"], "tenant_id string, column_name string, data_type string"
+    path = str(tmp_path / "fields")
+    files = lambda t: sorted(p.name for p in (tmp_path / "fields" / f"tenant_id={t}").iterdir() if p.suffix == ".parquet")
+    merge.commit_upsert(spark, path, spark.createDataFrame([("a", "x", "int"), ("b", "x", "int"), ("b", "y", "int")], schema), key)
+    before = files("a"), files("b")
+    for _ in range(2):  # repeating a commit changes nothing
+        merge.commit_upsert(spark, path, spark.createDataFrame([("b", "y", "text"), ("c", "z", "int")], schema), key)
+        assert values(spark.read.parquet(path), *key, "data_type") == [("a", "x", "int"), ("b", "x", "int"), ("b", "y", "text"), ("c", "z", "int")]
+    assert files("a") == before[0] and files("b") != before[1]
+
+
+def test_profile_is_exact(spark):
+    from schemahelm.sources.profile import profile_tables
+
+    rows = [(i, i // 2 * 2 if i < 1998 else i, str(i % 7), None if i % 2 else i, float(i % 1500), [i], -0.0 if i == 0 else 0.0 if i == 1 else float(i)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "a int, `b``x` int, c string, d int, e double, f array<int>, g double").repartition(7)
+    got = {r.column_name: (r.row_count, r.null_count, r.is_unique) for r in profile_tables({"t": df, "none": df.limit(0).select("a")}).where("table_name = 't'").collect()}
+    assert got == {"a": (2000, 0, True), "b`x": (2000, 0, False), "c": (2000, 0, False), "d": (2000, 1000, True), "e": (2000, 0, False), "f": (2000, 0, False), "g": (2000, 0, False)}
+
+
 def test_fingerprint_counts_repeated_rows(spark):
     tag = lambda r: metrics.state_hash(spark.createDataFrame(r, "id string, version string, updated_at int")).first()["etag"]
     a, b = ("a", "1", 1), ("b", "1", 1)
