@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from schemahelm.llm.common import CACHE_WORDS, raw, slices, stash, table_types
+from schemahelm.llm.common import CACHE_WORDS, raw, slices, stash
 
 #: Short statements of use, as they stand in file headers; several for a licence are alternatives.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -207,9 +208,10 @@ def own_licences(files: DataFrame, threshold: float) -> DataFrame:
                 ["__row", "cosine", "licence"],
             )
 
-    types = table_types(files.select("path", *others))
-    types = f"{types}, __found array<binary>, __words array<binary>" if types else "__found array<binary>, __words array<binary>"
-    rows = files.select("path", *others, "text").mapInArrow(find, types).withColumn("__row", F.monotonically_increasing_id())
+    binaries = T.ArrayType(T.BinaryType())
+    kept = files.select("path", *others).schema.fields
+    schema = T.StructType([*kept, T.StructField("__found", binaries), T.StructField("__words", binaries)])
+    rows = files.select("path", *others, "text").mapInArrow(find, schema).withColumn("__row", F.monotonically_increasing_id())
     # Row numbers hold once they are written.
     rows = stash(rows, "candidates")
     found = rows.where(F.size("__found") > 0).select("__row", "__found", "__words")
@@ -237,8 +239,13 @@ def scan(files: DataFrame, threshold: float = 0.6) -> DataFrame:
     directory that it is from) or none. Two licence files in one directory: the better cosine, then the first name.
     ``cosine`` is null where it was not computed, as no window of the file could reach the threshold whatever its other terms weigh.
     Null and empty texts have no licence of their own; a null path has no directory and inherits nothing; repeated rows are judged alike.
+    Other columns named like those of the result are replaced; any other name is free.
     """
-    rows = stash(own_licences(files, threshold), "licences").withColumn("_parts", _parts(F.col("path")))
+    # The other columns travel as one, so that no name of theirs can clash.
+    others = [c for c in files.columns if c not in ("path", "text", "cosine", "licence", "origin", "licence_path")]
+    rest = F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in others)) if others else F.lit(None)
+    packed = files.select("path", "text", rest.alias("rest"))
+    rows = stash(own_licences(packed if others else packed.drop("rest"), threshold), "licences").withColumn("_parts", _parts(F.col("path")))
     name, depth = F.element_at("_parts", -1), F.size("_parts") - 1
     is_file = F.coalesce(name.rlike(LICENCE_NAMES), F.lit(False))
     known = rows.where(is_file & F.col("licence").isNotNull()).select(_directory(F.col("_parts"), depth).alias("_dir"), depth.alias("_depth"), "licence", "cosine", "path")
@@ -254,10 +261,9 @@ def scan(files: DataFrame, threshold: float = 0.6) -> DataFrame:
     nearest = nearest.select("_home", F.col("n._given").alias("_given"), F.col("n._dir").alias("_from"))
     joined = rows.join(nearest, "_home", "left")
     own = F.col("licence").isNotNull()
-    others = [c for c in files.columns if c not in ("path", "text")]
     origin = F.when(own & is_file, "licence_file").when(own, "header").when(F.col("_given").isNotNull(), "inherited").otherwise("none")
     return joined.select(
-        "path", *others, F.round("cosine", 6).alias("cosine"), F.coalesce("licence", "_given").alias("licence"), origin.alias("origin"),
+        "path", *(["rest.*"] if others else []), F.round("cosine", 6).alias("cosine"), F.coalesce("licence", "_given").alias("licence"), origin.alias("origin"),
         F.when(~own, F.col("_from")).alias("licence_path"),
     )
 

@@ -125,3 +125,11 @@ def test_windows_are_those_of_brute_force():
 def test_a_cosine_that_was_not_computed_is_null(spark):
     files = frame(spark, [("/a", "plain words", 1), ("/b", None, 1), ("/c", license_scan.TEMPLATES["MIT"][0], 1)], FILES).drop("cosine")
     assert {r["path"]: r["cosine"] for r in rows_of(license_scan.scan(files))} == {"/a": None, "/b": None, "/c": 1.0}
+
+
+def test_columns_of_any_name(spark):
+    schema = "path string, text string, cosine string, licence int, _home int, _parts int, rest int, __row int, `a b` int, `x.y` int"
+    rows = [("/a/LICENSE", "This file is licensed under the MIT License.", "old", 1, 2, 7, 3, 4, 5, 6), ("/a/b.c", "int main;", "old", 1, 2, 7, 3, 4, 5, 6)]
+    got = license_scan.scan(frame(spark, rows, schema))
+    assert got.columns == ["path", "_home", "_parts", "rest", "__row", "a b", "x.y", "cosine", "licence", "origin", "licence_path"]
+    assert all((r["_home"], r["_parts"], r["rest"], r["__row"], r["a b"], r["x.y"]) == (2, 7, 3, 4, 5, 6) for r in rows_of(got))
