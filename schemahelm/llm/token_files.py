@@ -36,9 +36,11 @@ from schemahelm.session import scratch_path
 BATCH, LENGTH = 64, 2048
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Parts that are encoded as the lines of one text.
-LINES = 512
+LINES = 2048
+#: Bytes of text that are encoded together; the more, the seldomer a part is looked for in the cache.
+SLICE = 8 << 20
 #: Parts of a worker's cache, about 200 bytes each; its older half goes when the younger one is full.
-PARTS = 1_000_000
+PARTS = 1_600_000
 
 
 class Encoder:
@@ -164,7 +166,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         ids_of, n_of, left, at = [], [], np.empty(0, encoder.dtype), 0
         with store.open_output_stream(path + own) as sink, _writer(sink, length, encoder.dtype) as writer:
             for batch in batches:
-                for part in slices(batch):
+                for part in slices(batch, limit=SLICE):
                     encoded = encoder.encode(part.column("text").to_pylist())
                     ids_of.append(part.column("doc_id"))
                     n_of.append(np.array([len(x) for x in encoded], np.int64) // encoder.dtype.itemsize)
