@@ -37,8 +37,8 @@ BATCH, LENGTH = 64, 2048
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Parts that are encoded as the lines of one text.
 LINES = 2048
-#: Bytes of text that are encoded together; the more, the seldomer a part is looked for in the cache.
-SLICE = 8 << 20
+#: Bytes of text that are encoded together; small, as what is at work then stays near the processor.
+SLICE = 1 << 20
 #: Parts of a worker's cache, about 200 bytes each; its older half goes when the younger one is full.
 PARTS = 1_600_000
 
