@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import random
 import time
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pandas as pd
@@ -103,7 +105,7 @@ def numbered_batch(batch: DataFrame, work: str, batch_id: int) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def deliver(events: DataFrame, sink: Sink, work: str, max_attempts: int = 3, delay: float = 1.0, max_delay: float = 0.0) -> DataFrame:
+def deliver(events: DataFrame, sink: Sink, work: str, max_attempts: int = 3, delay: float = 1.0, max_delay: float = 0.0, jitter: float = 0.2) -> DataFrame:
     """Send a batch with retries; returns every event with ``attempts`` and ``error`` (NULL when delivered).
 
     Attempts are rounds over what is still failing, each written to ``work`` before it is judged: a send is
@@ -125,7 +127,9 @@ def deliver(events: DataFrame, sink: Sink, work: str, max_attempts: int = 3, del
         if attempt == max_attempts or pending.isEmpty():
             break
         wait = delay * 2 ** (attempt - 1)
-        time.sleep(min(wait, max_delay) if max_delay > 0 else wait)
+        wait = min(wait, max_delay) if max_delay > 0 else wait
+        # Seeded, so that sinks that failed together do not come back together, and a repeated batch waits as long.
+        time.sleep(wait * (1 + jitter * random.Random(f"{work}:{attempt}").uniform(-1, 1)))
     rounds = spark.read.parquet(work).withColumnRenamed("attempt", "attempts")
     # Delivered rows of every round of any run, failed rows of this run's last round.
     settled = F.col("error").isNull() | ((F.col("run") == run) & (F.col("attempts") == attempt))
@@ -151,17 +155,22 @@ def write_dlq(outcome: DataFrame, sink: str, path: str, batch_id: int) -> None:
 def run_fanout(stream: DataFrame, sinks: Sequence[Sink], work: str, dlq: str, checkpoint: str, max_attempts: int = 3, delay: float = 1.0, max_delay: float = 0.0, available_now: bool = True):
     """Send every event of a stream to all sinks, with retries and dead letters; returns the running query.
 
-    Everything a micro-batch writes lies under its batch id, so a repeated batch overwrites its own results.
+    Sinks are served side by side. Everything a micro-batch writes lies under its batch id, so a repeated batch overwrites
+    its own results.
     """
 
     def dispatch(batch: DataFrame, batch_id: int) -> None:
         batch = numbered_batch(batch, work, batch_id)
-        for sink in sinks:
+        def one(sink: Sink) -> None:
             outcome = deliver(batch, sink, f"{work}/sends/batch_id={batch_id}/to={sink.name}", max_attempts, delay, max_delay)
             log = outcome.select(F.lit(sink.name).alias("sink"), "id", "attempts", F.col("error").isNull().alias("delivered"))
             log.write.mode("overwrite").parquet(f"{work}/log/batch_id={batch_id}/to={sink.name}")
             write_dlq(outcome, sink.name, dlq, batch_id)
 
+        # Side by side: a sink that is down or waits does not hold up the others.
+        with ThreadPoolExecutor(len(sinks) or 1) as pool:
+            list(pool.map(one, sinks))
+
     writer = stream.writeStream.foreachBatch(dispatch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 

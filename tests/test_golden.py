@@ -414,6 +414,26 @@ def test_events_of_one_id_are_told_apart(spark, tmp_path):
     assert len(left) == 1 and left[0].id == 1 and left[0].letter != one_letter and left[0].attempts == 3
 
 
+def test_a_waiting_sink_does_not_hold_up_others(spark, tmp_path):
+    import time
+
+    from schemahelm.streaming import events
+
+    df = spark.createDataFrame([(i, "n", "d") for i in range(4)], "id int, name string, data string").withColumn("ts", F.current_timestamp())
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    sinks = [events.Sink("down", lambda rows, attempt: ["no"] * len(rows)), events.Sink("up", lambda rows, attempt: [None] * len(rows))]
+    work = tmp_path / "work"
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    running = events.run_fanout(stream, sinks, str(work), str(tmp_path / "dlq"), str(tmp_path / "cp"), 2, delay=15.0)
+    until = time.monotonic() + 60
+    done = lambda name: (work / "log" / "batch_id=0" / f"to={name}" / "_SUCCESS").exists()
+    while not done("up") and time.monotonic() < until:
+        time.sleep(0.2)
+    assert done("up") and not done("down")
+    running.awaitTermination(60)
+    assert done("down") and spark.read.parquet(str(tmp_path / "dlq")).count() == 4
+
+
 # --- breaker ----------------------------------------------------------------------------------------------
 
 
