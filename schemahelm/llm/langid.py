@@ -9,13 +9,13 @@ distinct words are joined with; only the most frequent words are held in memory
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -23,7 +23,8 @@ from schemahelm.llm.common import CACHE_WORDS, crc32_of_id, slices, stash, table
 
 #: ASCII letters and all bytes of other characters stay, the rest separates.
 _LETTER_BYTES = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_WORDS = re.compile(r"[^\W\d_]+")
+#: Marks belong to the letter before them.
+_WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 GRAMS = (4, 3, 2, 1)
 
 
@@ -65,27 +66,6 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("lang", "text").dropna().mapInArrow(count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-@dataclass(frozen=True)
-class LanguageModel:
-    """Log frequencies by language (columns in the order of ``langs``) of words and, by length, of n-grams."""
-
-    langs: list[str]
-    words: tuple[dict[str, int], np.ndarray]
-    grams: dict[int, tuple[dict[str, int], np.ndarray]]
-
-    def word_scores(self, word: str) -> np.ndarray:
-        places, logs = self.words
-        if word in places:
-            return logs[places[word]]
-        padded = f"^{word}$"
-        for n in GRAMS:
-            places, logs = self.grams[n]
-            found = [places[g] for g in (padded[i : i + n] for i in range(len(padded) - n + 1)) if g in places]
-            if found:
-                return logs[found].mean(axis=0)
-        return np.zeros(len(self.langs))
-
-
 def _most_frequent(counted: DataFrame, most: int, key: str = "word") -> list[Row]:
     """Rows of the keys that are most frequent and not seen once only, at most ``most``.
 
@@ -106,36 +86,6 @@ def _most_frequent(counted: DataFrame, most: int, key: str = "word") -> list[Row
         found.unpersist()
 
 
-def _log_frequencies(counts: DataFrame, key: str, langs: list[str], most: int) -> tuple[dict[str, int], np.ndarray]:
-    """Places of the most frequent keys, at most ``most``, and, by place, their smoothed log frequencies; totals are over all keys."""
-    totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    each = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(langs)]
-    rows = _most_frequent(counts.groupBy(key).agg(F.sum("n").alias("n"), *each), most, key)
-    n = np.array([[r[f"n{i}"] for i in range(len(langs))] for r in rows], float).reshape(len(rows), len(langs))
-    whole = np.array([totals.get(x, 0) for x in langs], float)
-    logs = np.log((n + 0.5) / (whole + 0.5 * max(1, len(rows))))
-    return {r[key]: i for i, r in enumerate(rows)}, logs.astype(np.float32)
-
-
-def train(docs: DataFrame, max_words: int = 100_000, max_grams: int = 50_000) -> LanguageModel:
-    """A model in memory, of the most frequent words and n-grams only; ``identify`` uses whole tables instead."""
-    counts = word_counts(docs).persist()
-    try:
-        langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
-        words = _log_frequencies(counts, "word", langs, max_words)
-        grams = {}
-        padded = counts.select("lang", "n", F.concat(F.lit("^"), "word", F.lit("$")).alias("p"))
-        for n in GRAMS:
-            starts = F.sequence(F.lit(1), F.length("p") - (n - 1))
-            each = padded.where(F.length("p") >= n).select("lang", "n", F.explode(F.transform(starts, lambda i: F.substr(F.col("p"), i, F.lit(n)))).alias("gram"))  # noqa: B023
-            # A mere end of a word tells nothing.
-            each = each.where(~F.col("gram").isin("^", "$"))
-            grams[n] = _log_frequencies(each, "gram", langs, max_grams)
-    finally:
-        counts.unpersist()
-    return LanguageModel(langs, words, grams)
-
-
 @dataclass(frozen=True)
 class LanguageTables:
     """Every counted word and n-gram with its smoothed log frequencies, ``s0`` and on in the order of ``langs``, as written tables."""

@@ -25,20 +25,6 @@ def in_training(n):
     return [i for i in range(1000) if zlib.crc32(str(i).encode()) % 3 != 1][:n]
 
 
-def test_words_then_n_grams(spark):
-    a, b, c, d = in_training(4)
-    rows = [(a, "the house the garden", "en"), (b, "the house and the street", "en"), (c, "das haus und der garten", "de"), (d, "das haus und die strasse", "de")]
-    schema = "doc_id bigint, text string, lang string"
-    model = langid.train(frame(spark, rows, schema))
-    assert model.langs == ["de", "en"] and "house" in model.words[0] and "garden" not in model.words[0]  # seen once only
-    known = model.word_scores("haus")
-    assert known[0] > known[1]
-    # Unseen words fall back to the longest n-grams that are known.
-    unseen = model.word_scores("hausx")
-    assert unseen[0] > unseen[1]
-    assert model.word_scores("q").tolist() == [0.0, 0.0]
-
-
 def test_edge_cases(spark):
     a, b, c, d = in_training(4)
     schema = "doc_id bigint, text string, lang string, lang_pred int"
@@ -57,6 +43,8 @@ def test_edge_cases(spark):
 def test_runs_of_letters():
     assert langid.tokens_of("Über-Straße 2x ABC") == ["über".encode(), "straße".encode(), b"x", b"abc"]
     assert langid.words_in("naïve—“é".encode()) == ["naïve", "é"]
+    # Marks stay with their letters, digits and numerals are none.
+    assert langid.words_in("नमस्ते²cafe\u0301、ที่½".encode()) == ["नमस्ते", "cafe\u0301", "ที่"]
 
 
 def plain(rows, docs):
