@@ -35,8 +35,10 @@ EPOCHS, CROSSINGS = 3, 80
 #: Bins filled less than this share are packed again with those of other cells.
 LOOSE = 0.97
 #: Words of a worker's cache before its older half is dropped, about 200 bytes each.
-WORDS = 1_000_000
+WORDS = 1_600_000
 _LINES = 2048
+#: Bytes of text that are encoded together; small, as what is at work then stays near the processor.
+SLICE = 1 << 20
 
 
 class WordEncoder:
@@ -91,11 +93,12 @@ class WordEncoder:
         """Put all these parts into the younger half of the cache."""
         if len(self.young) > WORDS // 2:
             self.young, self.old = {}, self.young
-        new = parts - self.young.keys()
+        new = parts.difference(self.young)
         stopped = [x for x in new if x[-1] in self.stops and x[-2:-1].isalpha()]
-        new = new.difference(stopped) | {x[:-1] for x in stopped}
-        self.young.update((x, self.old[x]) for x in self.old.keys() & new)
-        texts = {x: x.decode() for x in new - self.young.keys()}
+        new = new.difference(stopped).union([x[:-1] for x in stopped])
+        known = [x for x in new if x in self.old]
+        self.young.update(zip(known, map(self.old.__getitem__, known)))
+        texts = {x: x.decode() for x in new.difference(self.young)}
         plain = [x for x, t in texts.items() if t.isalpha()]
         odd = [x for x, t in texts.items() if not t.isalpha()]
         self.young.update(zip(plain, self._words([texts[x] for x in plain])))
@@ -130,7 +133,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAP
         encoder = _encoder(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SLICE):
                 of, out = [], [[], [], [], [], []]
                 for i, words in enumerate(encoder.encode(raw(part.column("text")))):
                     whole = np.frombuffer(words, encoder.dtype).astype("<u4").tobytes() + end
