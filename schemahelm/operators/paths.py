@@ -47,7 +47,7 @@ def _nodes(patterns: DataFrame) -> DataFrame:
         (F.col("i") == F.size("s")).alias("ends"),
         F.when(F.left(child, F.lit(1)) == "O", F.length(child) - 1).alias("one"),
         (F.coalesce(child, F.lit("")) == "R").alias("rest"),
-    ).distinct()
+    )
     return facts.groupBy("node").agg(
         F.bool_or("ends").alias("ends"), F.bool_or(~F.col("ends")).alias("goes_on"), F.collect_set("one").alias("ones"), F.bool_or("rest").alias("rest")
     )
@@ -59,17 +59,17 @@ def matches(paths: DataFrame, patterns: DataFrame) -> DataFrame:
     Null paths and patterns match nothing.
     """
     spark = paths.sparkSession
-    patterns = patterns.select("path").where(F.col("path").isNotNull()).distinct()
-    steps = F.transform(segments("path"), _step)
-    inner_rest = F.array_contains(F.slice(steps, 1, F.size(steps) - 1), "R")
-    known = patterns.agg(F.max(F.size(steps)), F.max(F.when(inner_rest, 1).otherwise(0)), F.collect_set(F.when(F.left(steps[0], F.lit(1)) == "O", F.length(steps[0]) - 1)), F.bool_or(steps[0] == "R"))
-    depth, has_inner, ones, rest = known.first()
+    # Written once: every level reads it, and where the files are small Spark broadcasts them, so that no level shuffles.
+    nodes = cut_lineage(_nodes(patterns.select("path").where(F.col("path").isNotNull())), "path_nodes")
+    in_rest = (F.col("node") == "R") | F.col("node").endswith("/R")
+    root = F.max(F.when(F.col("node") == "", F.struct("ones", "rest")))
+    depth, has_inner, start = nodes.agg(F.max(F.when(F.col("node") != "", F.size(F.split("node", "/")))), F.bool_or(in_rest & F.col("goes_on")), root).first()
     if depth is None:
         return spark.createDataFrame([], "path string, node string")
+    ones, rest = start["ones"], start["rest"]
     walk = paths.select("path").where(F.col("path").isNotNull()).distinct().withColumn("s", segments("path"))
     if has_inner:
         depth = max(depth, walk.agg(F.max(F.size("s"))).first()[0] or 0)
-    nodes = _nodes(patterns)
     walk = walk.select("path", "s", F.lit("").alias("node"), F.array(*map(F.lit, ones)).cast("array<int>").alias("ones"), F.lit(rest).alias("rest"), F.lit(True).alias("goes_on"), F.lit(False).alias("done"))
     for i in range(depth):
         here, segment = F.col("node"), F.get("s", F.lit(i))
