@@ -61,29 +61,32 @@ def matches(paths: DataFrame, patterns: DataFrame) -> DataFrame:
     spark = paths.sparkSession
     # Written once: every level reads it, and where the files are small Spark broadcasts them, so that no level shuffles.
     nodes = cut_lineage(_nodes(patterns.select("path").where(F.col("path").isNotNull())), "path_nodes")
-    in_rest = (F.col("node") == "R") | F.col("node").endswith("/R")
     root = F.max(F.when(F.col("node") == "", F.struct("ones", "rest")))
-    depth, has_inner, start = nodes.agg(F.max(F.when(F.col("node") != "", F.size(F.split("node", "/")))), F.bool_or(in_rest & F.col("goes_on")), root).first()
+    depth, start = nodes.agg(F.max(F.when(F.col("node") != "", F.size(F.split("node", "/")))), root).first()
     if depth is None:
         return spark.createDataFrame([], "path string, node string")
-    ones, rest = start["ones"], start["rest"]
     walk = paths.select("path").where(F.col("path").isNotNull()).distinct().withColumn("s", segments("path"))
-    if has_inner:
-        depth = max(depth, walk.agg(F.max(F.size("s"))).first()[0] or 0)
-    walk = walk.select("path", "s", F.lit("").alias("node"), F.array(*map(F.lit, ones)).cast("array<int>").alias("ones"), F.lit(rest).alias("rest"), F.lit(True).alias("goes_on"), F.lit(False).alias("done"))
+    ones = F.array(*map(F.lit, start["ones"])).cast("array<int>")
+    walk = walk.select("path", "s", F.lit("").alias("node"), F.lit(0).alias("pos"), ones.alias("ones"), F.lit(start["rest"]).alias("rest"), F.lit(False).alias("done"))
+    in_rest = (F.col("node") == "R") | F.col("node").endswith("/R")
     for i in range(depth):
-        here, segment = F.col("node"), F.get("s", F.lit(i))
-        lead = F.concat(here, F.lit("/")) if i else F.lit("")
-        in_rest = (here == "R") | here.endswith("/R")
-        wild = F.transform(F.filter("ones", lambda n: n < F.length(segment)), lambda n: F.concat(lead, F.lit("O"), F.left(segment, n)))  # noqa: B023
-        others = F.array_compact(F.array(F.concat(lead, F.lit("L"), segment), F.when(F.col("rest"), F.concat(lead, F.lit("R"))), F.when(in_rest, here)))
-        next_ = F.when(F.col("done"), F.array(here)).otherwise(F.concat(others, wild))
-        walk = walk.select("path", "s", "done", F.explode(next_).alias("node")).join(nodes, "node")
-        last, in_rest = F.size("s") == i + 1, (F.col("node") == "R") | F.col("node").endswith("/R")
+        lead = F.concat("node", F.lit("/")) if i else F.lit("")
+
+        def children(p: Column) -> Column:
+            segment = F.get("s", p)
+            wild = F.transform(F.filter("ones", lambda n: n < F.length(segment)), lambda n: F.concat(lead, F.lit("O"), F.left(segment, n)))  # noqa: B023
+            named = F.concat(F.array_compact(F.array(F.concat(lead, F.lit("L"), segment), F.when(F.col("rest"), F.concat(lead, F.lit("R"))))), wild)  # noqa: B023
+            return F.transform(named, lambda x: F.struct(x.alias("node"), (p + 1).alias("pos")))
+
+        # A rest may end at any later segment, so what follows it is looked for at all of them at once.
+        at = F.when(in_rest, F.sequence("pos", F.size("s") - 1)).otherwise(F.array("pos"))
+        next_ = F.when(F.col("done"), F.array(F.struct("node", "pos"))).otherwise(F.flatten(F.transform(at, children)))
+        walk = walk.select("path", "s", "done", F.inline(next_)).join(nodes, "node")
+        last = F.size("s") == F.col("pos")
         found = F.col("done") | (F.col("ends") & (last | in_rest))
         onward = ~F.col("done") & ~last & F.col("goes_on")
         states = F.array_compact(F.array(F.when(found, F.lit(True)), F.when(onward, F.lit(False))))
-        walk = walk.select("path", "s", "node", "ones", "rest", "goes_on", F.explode(states).alias("done"))
+        walk = walk.select("path", "s", "node", "pos", "ones", "rest", F.explode(states).alias("done"))
         if (i + 1) % _CUT == 0 and i + 1 < depth:
             walk = cut_lineage(walk.distinct(), "walk")
     return walk.where("done").select("path", "node").distinct()
