@@ -4,24 +4,26 @@ A code of ``segments * 16`` bits is cut into segments of 16 bits. Codes at a dis
 differ by at most ``r`` bits in some segment, so after looking up all values within radius ``r`` in every segment's table, all
 of these are known. The radius grows by one until a query's k-th verified distance lies inside what is covered.
 
-Equal codes are searched once. The stated queries meet all codes in blocks: a task has the tables of one block of
-codes and a block of queries, and gives each query's best codes of its block, so rows grow with queries times blocks.
+Equal codes are searched once. There is one index for all queries: a row for each code and segment. The radius grows for all open
+queries together. What is looked up are the distinct values of the open queries' segments, so the lookups of a radius are bounded by
+the values that a segment can have, and a code is compared with a query where it is first met. The distance of the last of a
+query's best codes so far bounds what later radii bring.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
+from math import comb
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from schemahelm.llm.common import stash
 
 SEGMENT = 16
-#: Codes in a block of the index, and queries in a block.
-CODES, QUERIES = 1 << 15, 1 << 10
+#: Lookups in a task.
+PROBES = 1 << 20
 
 
 def sign_code(embedding: Column, bits: int = 64) -> Column:
@@ -33,59 +35,26 @@ def sign_code(embedding: Column, bits: int = 64) -> Column:
     return F.when(F.size(embedding) == bits, code)
 
 
-def search_block(codes: np.ndarray, least: np.ndarray, queries: np.ndarray, k: int, segments: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The ``k`` best codes of a block for each query, by distance and then by ``least`` (an id): query, code, distance."""
-    shifts = [np.uint64(SEGMENT * s) for s in range(segments)]
-    part = lambda x, s: ((x >> shifts[s]) & np.uint64(0xFFFF)).astype(np.int64)
-    orders, starts = [], []
-    for s in range(segments):
-        values = part(codes, s)
-        orders.append(np.argsort(values, kind="stable"))
-        starts.append(np.concatenate([[0], np.cumsum(np.bincount(values, minlength=1 << SEGMENT))]))
-    best_q, best_c, best_d = (np.empty(0, np.int64) for _ in range(3))
-    open_ = np.arange(len(queries))
-
-    def keep(q: np.ndarray, c: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        order = np.lexsort((least[c], d, q))
-        q, c, d = q[order], c[order], d[order]
-        first = np.searchsorted(q, q, "left")
-        few = np.arange(len(q)) - first < k
-        return q[few], c[few], d[few]
+def _parts(code: Column, segments: int) -> list[Column]:
+    """The code's segments as numbers, lowest bits first."""
+    return [F.shiftrightunsigned(code, SEGMENT * s).bitwiseAND(F.lit((1 << SEGMENT) - 1)).cast("int") for s in range(segments)]
 
-    for radius in range(SEGMENT + 1):
-        masks = np.array([sum(1 << b for b in bits) for bits in combinations(range(SEGMENT), radius)], np.int64)
-        if len(masks) * segments > len(codes):
-            # Looking up would now cost more than comparing all codes of the block, which covers every distance.
-            for at in np.array_split(open_, max(1, len(open_) * len(codes) // (1 << 22) + 1)):
-                d = np.bitwise_count(queries[at][:, None] ^ codes[None, :]).astype(np.int64)
-                q, c = np.repeat(at, len(codes)), np.tile(np.arange(len(codes)), len(at))
-                if len(codes) > k:
-                    # The k-th distance bounds what can be among the best; ties stay in.
-                    near = d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k]
-                    q, c, d = q[near.ravel()], c[near.ravel()], d[near]
-                gone = ~np.isin(best_q, at)
-                q, c, d = keep(q, c, d.ravel())
-                best_q, best_c, best_d = (np.concatenate([x[gone], y]) for x, y in ((best_q, q), (best_c, c), (best_d, d)))
-            break
-        for s in range(segments):
-            for at in np.array_split(open_, max(1, len(open_) * len(masks) // (1 << 20) + 1)):
-                probe = part(queries[at], s)[:, None] ^ masks[None, :]
-                lo, n = starts[s][probe].ravel(), (starts[s][probe + 1] - starts[s][probe]).ravel()
-                q = np.repeat(np.repeat(at, len(masks)), n)
-                inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                c = orders[s][np.repeat(lo, n) + inside]
-                apart = queries[q] ^ codes[c]
-                # A pair is taken where it is first met: at its least segment distance, in the first such segment.
-                own = np.stack([np.bitwise_count(part(apart, t).astype(np.uint64)) for t in range(segments)])
-                fresh = (own.min(axis=0) == radius) & (own.argmin(axis=0) == s)
-                d = np.bitwise_count(apart[fresh]).astype(np.int64)
-                best_q, best_c, best_d = keep(*(np.concatenate(x) for x in ((best_q, q[fresh]), (best_c, c[fresh]), (best_d, d))))
-        covered = segments * (radius + 1) - 1
-        full = np.bincount(best_q[best_d <= covered], minlength=len(queries)) >= k
-        open_ = open_[~full[open_]]
-        if not len(open_):
-            break
-    return best_q, best_c, best_d
+
+def _met(open_: DataFrame, tables: DataFrame, values: DataFrame, radius: int, tasks: int, segments: int) -> DataFrame:
+    """Codes that differ from an open query by exactly ``radius`` bits in some segment and by less in none: q, found, least, distance.
+
+    A pair is taken in the first segment of that kind only, so it is met once over all radii, and not if its distance is above the query's bound.
+    """
+    masks = [sum(1 << b for b in bits) for bits in combinations(range(SEGMENT), radius)]
+    asked = open_.select("q", "bound", F.posexplode(F.array(*_parts(F.col("q"), segments))).alias("s", "w"))
+    near = F.explode(F.expr(f"array({', '.join(map(str, masks))})")).alias("mask")
+    probes = asked.select("s", "w").distinct().repartition(tasks, "s", "w").select("s", "w", near)
+    probes = probes.select("s", "w", F.col("w").bitwiseXOR(F.col("mask")).alias("v")).join(F.broadcast(values), ["s", "v"])
+    apart = F.col("q").bitwiseXOR(F.col("code"))
+    pairs = asked.join(probes, ["s", "w"]).join(tables, ["s", "v"]).withColumn("distance", F.bit_count(apart)).where("distance <= bound")
+    for t, part in enumerate(_parts(apart, segments)):
+        pairs = pairs.where(F.bit_count(part) >= radius + F.when(F.col("s") > t, 1).otherwise(0))
+    return pairs.select("q", F.col("code").alias("found"), "least", "distance")
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, segments: int = 4) -> DataFrame:
@@ -99,22 +68,33 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, segments: int = 4
     # Of each code the k + 1 least ids: no more can be among the k nearest of anything, the query itself left out.
     few = F.row_number().over(Window.partitionBy("code").orderBy("id"))
     ids = stash(rows.withColumn("rn", few).where(F.col("rn") <= k + 1).select("code", "id"), "ids")
-    index = ids.groupBy("code").agg(F.min("id").alias("least"))
-    wanted = asked.select("code").distinct()
-    blocks, sets = max(1, -(-index.count() // CODES)), max(1, -(-wanted.count() // QUERIES))
-    block_of = lambda n: F.pmod(F.xxhash64("code"), F.lit(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = index.select("code", "least", block_of(blocks).alias("b"), each(sets).alias("s"))
-    right = wanted.select("code", each(blocks).alias("b"), block_of(sets).alias("s"))
-
-    def search(one: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
-        codes, q = one["code"].to_numpy().view(np.uint64), other["code"].to_numpy().view(np.uint64)
-        if not len(codes) or not len(q):
-            return pd.DataFrame({"code": [], "found": [], "distance": []})
-        a, c, d = search_block(codes, one["least"].to_numpy(), q, k + 1, segments)
-        return pd.DataFrame({"code": q[a].view(np.int64), "found": codes[c].view(np.int64), "distance": d.astype(np.int32)})
-
-    found = left.groupBy("b", "s").cogroup(right.groupBy("b", "s")).applyInPandas(search, "code bigint, found bigint, distance int")
+    index = stash(ids.groupBy("code").agg(F.min("id").alias("least")), "index")
+    wanted = min(k + 1, index.count())
+    tables = stash(index.select("code", "least", F.posexplode(F.array(*_parts(F.col("code"), segments))).alias("s", "v")), "tables")
+    # At most 65,536 values a segment, whatever the number of codes.
+    values = stash(tables.select("s", "v").distinct(), "values")
+    open_ = stash(asked.select(F.col("code").alias("q")).distinct().withColumn("bound", F.lit(SEGMENT * segments)), "open")
+    best, done = None, []
+    for radius in range(SEGMENT + 1):
+        n = open_.count()
+        if not n or not wanted:
+            break
+        tasks = 1 + min(n, 1 << SEGMENT) * segments * comb(SEGMENT, radius) // PROBES
+        met = _met(open_, tables, values, radius, tasks, segments)
+        if best is not None:
+            met = met.unionByName(best.join(open_.select("q"), "q", "left_semi"))
+        order = Window.partitionBy("q").orderBy("distance", "least")
+        best = stash(met.withColumn("near", F.row_number().over(order)).where(F.col("near") <= wanted).drop("near"), "best")
+        covered = segments * (radius + 1) - 1
+        # All codes within ``covered`` are known; a query is done if its last wanted one lies there.
+        far = F.max("distance")
+        full = F.count(F.lit(1)) == wanted
+        state = open_.select("q").join(best.groupBy("q").agg(full.alias("full"), far.alias("far")), "q", "left")
+        state = stash(state.withColumn("closed", F.coalesce(F.col("full") & (F.col("far") <= covered), F.lit(radius == SEGMENT))), "state")
+        done.append(best.join(state.where("closed").select("q"), "q", "left_semi"))
+        open_ = state.where("NOT closed").select("q", F.when(F.col("full"), F.col("far")).otherwise(F.lit(SEGMENT * segments)).alias("bound"))
+    empty = asked.sparkSession.createDataFrame([], "q bigint, found bigint, least bigint, distance int")
+    found = reduce(DataFrame.unionByName, done, empty).select(F.col("q").alias("code"), "found", "distance")
     nearest = lambda by, n: F.row_number().over(Window.partitionBy(by).orderBy("distance", "neighbor_id")) <= n
     named = found.join(ids.select(F.col("code").alias("found"), F.col("id").alias("neighbor_id")), "found")
     named = named.withColumn("near", nearest("code", k + 1)).where("near").select("code", "neighbor_id", "distance")

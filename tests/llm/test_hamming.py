@@ -1,6 +1,5 @@
 import random
 
-import numpy as np
 import pytest
 from helpers import empty, frame, rows_of
 
@@ -23,9 +22,8 @@ def search(spark, rows, asked, k):
     return sorted((r["query_id"], r["rank"], r["neighbor_id"], r["distance"]) for r in got)
 
 
-def test_ties_copies_and_clusters_in_several_blocks(spark, monkeypatch):
-    monkeypatch.setattr(hamming, "CODES", 150)
-    monkeypatch.setattr(hamming, "QUERIES", 20)
+def test_ties_copies_and_clusters_in_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(hamming, "PROBES", 50)
     rng = random.Random(1)
     codes = [rng.getrandbits(64) - 2**63 for _ in range(60)]
     rows = []
@@ -38,16 +36,28 @@ def test_ties_copies_and_clusters_in_several_blocks(spark, monkeypatch):
     assert search(spark, rows, asked, 7) == brute_force(rows, asked, 7)
 
 
-@pytest.mark.parametrize("n", [1, 5, 3000])
-def test_block_search_is_exact_by_lookups_and_by_scans(n):
-    rng = np.random.default_rng(n)
-    codes = np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2))
-    codes = np.unique(np.concatenate([codes, codes ^ np.uint64(1 << 40), codes ^ np.uint64(3)]))
-    asked, least = codes[::7].copy(), rng.permutation(len(codes)).astype(np.int64)
-    q, c, d = hamming.search_block(codes, least, asked, 5)
-    for i, code in enumerate(asked):
-        want = sorted((int(x).bit_count(), int(j)) for x, j in zip(codes ^ code, least))[:5]
-        assert sorted(zip(d[q == i].tolist(), least[c[q == i]].tolist())) == want
+@pytest.mark.parametrize("n", [1, 5, 1500])
+def test_far_neighbours_are_exact(spark, n):
+    rng = random.Random(n)
+    codes = [rng.getrandbits(64) - 2**63 for _ in range(n)]
+    codes += [c ^ 1 << 40 for c in codes] + [c ^ 3 for c in codes]
+    rows = list(enumerate(codes))
+    assert search(spark, rows, rows[::97], 5) == brute_force(rows, rows[::97], 5)
+
+
+def test_hot_segment_and_an_outlier(spark):
+    rng = random.Random(4)
+    rows = [(i, (7 << 48) + rng.getrandbits(12)) for i in range(400)] + [(i, rng.getrandbits(63)) for i in range(400, 600)] + [(600, -1), (601, 0)]
+    asked = rows[::50] + rows[600:]
+    assert search(spark, rows, asked, 10) == brute_force(rows, asked, 10)
+
+
+def test_queries_outside_the_index_and_other_columns(spark):
+    rows = [(i, i * 977) for i in range(50)]
+    vectors = frame(spark, [(i, c, 1, 2) for i, c in rows], "id bigint, code bigint, q int, distance int")
+    asked = frame(spark, [(1000, -5, 3), (1001, 1 << 62, 3)], "id bigint, code bigint, found int")
+    got = sorted((r["query_id"], r["rank"], r["neighbor_id"], r["distance"]) for r in rows_of(hamming.top_k(vectors, asked, 4)))
+    assert got == brute_force(rows, [(1000, -5), (1001, 1 << 62)], 4)
 
 
 def test_edge_cases(spark):
