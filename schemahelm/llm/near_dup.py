@@ -251,7 +251,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     company = members.groupBy("node").agg(F.sum("size").alias("company"))
     lists = stash(members.join(company, "node").select("key", "node", "size", "company", F.col("node").alias("comp")), "lists")
 
-    listed = nodes.join(lists.select("node").distinct(), "node").where(F.col("n") > K)
+    # A set that the sketch holds whole is compared in full with a larger one, if the threshold lets them be linked.
+    listed = nodes.join(lists.select("node").distinct(), "node").where(F.col("n") * den > K * num)
     wanted = bitmap(listed, F.col("row_key"))
 
     def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

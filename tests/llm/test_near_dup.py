@@ -127,3 +127,12 @@ def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, i) for i in range(101, 160)] + [(7, 7)]
     got = {r["node"]: r["comp"] for r in rows_of(components(spark.createDataFrame(edges, "u bigint, v bigint")))}
     assert got == {i: 0 for i in range(51)} | {i: 100 for i in range(100, 160)}
+
+
+def test_links_between_sets_below_and_above_the_sketch(spark):
+    rng = random.Random(11)
+    docs: list[tuple[int, str | None]] = []
+    for n, cut in [(64, 1), (65, 1), (68, 4), (72, 8), (75, 14), (79, 15), (80, 16), (81, 17), (80, 17), (60, 8), (90, 15)]:
+        base = words(rng, n + 3, 10**9)
+        docs += [(len(docs), " ".join(base)), (len(docs) + 1, " ".join(base[: n + 3 - cut]))]
+    assert_same(spark, docs, 4)
