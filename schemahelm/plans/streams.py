@@ -185,7 +185,7 @@ def _(x):
 def _(x):
     # One widget file per supplier; the previous poll knew a third of them, and others that are gone now.
     path = write_widget_files(x.supplier.select("s_suppkey", F.concat(F.lit("w"), F.col("s_suppkey").cast("string")).alias("id")))
-    key = F.regexp_extract("file_path", "s_suppkey=([0-9]+)/", 1)
+    key = F.regexp_extract("file_path", r"/([0-9]+)\.json$", 1)
     known = st.directory_files(x.spark, path).where(key.cast("int") % 3 == 0).withColumn("id", F.concat(F.lit("w"), key))
     gone = x.supplier.where("s_suppkey % 5 = 0").select(
         F.concat(F.lit("/gone/"), F.col("s_suppkey").cast("string"), F.lit(".json")).alias("file_path"),

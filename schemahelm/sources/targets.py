@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from schemahelm.functions.labels import label_set
 from schemahelm.schemas import WIDGET
+from schemahelm.session import cut_lineage
 
 
 def load_targets(targets: DataFrame, labels: DataFrame, key: str = "tkey") -> DataFrame:
@@ -39,10 +40,11 @@ def load_widgets(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Widget files of a folder -> (widgets, errors).
 
     A file must hold one JSON object with id, name and type ``widget``; scopes default to ``system``. All
-    files that share an id are reported as errors instead of letting one of them win silently.
+    files that share an id are reported as errors instead of letting one of them win silently. The rows are written
+    first, so each file is read once.
     """
     text = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path)
-    return split_duplicates(parse_widgets(text.select("value", F.col("_metadata.file_name").alias("file"))))
+    return split_duplicates(cut_lineage(parse_widgets(text.select("value", F.col("_metadata.file_name").alias("file"))), "widgets"))
 
 
 def split_duplicates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
