@@ -630,6 +630,29 @@ def test_directory_poll(spark, tmp_path):
     assert values(removed, "id") == [("gone",)]
 
 
+def test_widget_files_keep_every_row(spark):
+    from schemahelm.plans.scans import write_widget_files
+    from schemahelm.sources import targets
+
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b"), (3, None), (None, "n")], "k bigint, id string").coalesce(1)
+    path = write_widget_files(rows)
+    held = {r["f"]: r["value"] for r in spark.read.text(path, wholetext=True).selectExpr("value", "_metadata.file_name AS f").collect()}
+    line = lambda i: f'{{"id":"{i}","name":"n","type":"widget"}}\n'
+    assert held == {"1.json": line("a"), "2.json": line("b") * 2, "3.json": '{"name":"n","type":"widget"}\n', "none.json": line("n")}
+    widgets, errors = targets.load_widgets(spark, path)
+    assert values(widgets, "id") == [("a",), ("n",)] and values(errors, "file") == [("2.json",), ("2.json",), ("3.json",)]
+
+
+def test_files_are_read_by_tasks(spark, tmp_path):
+    from schemahelm.streaming import state
+
+    paths = [tmp_path / n for n in ("a.json", "b c%20.json", "none.json")]
+    for path in paths:
+        path.write_bytes(b"" if path.stem == "none" else b"x\ny \xc3\xa4\r\n\n")
+    listed = spark.createDataFrame([(f"file:{paths[0]}",), (f"file://{paths[1]}",), (str(paths[0]),), (str(paths[2]),)], "file_path string")
+    assert sorted(r["value"] for r in state.read_files(listed).collect()) == [""] * 3 + ["x"] * 3 + ["y \u00e4"] * 3
+
+
 def test_apply_materialized_equals_lazy(spark):
     old = fields(spark, ("a", "x", "int"), ("a", "y", "int"))
     new = fields(spark, ("a", "x", "text"))
