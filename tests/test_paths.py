@@ -76,6 +76,19 @@ def test_classes_give_each_users_permissions(spark):
     assert counted == {k: len(list(g)) for k, g in itertools.groupby(sorted((p, m) for _, p, m in want))}
 
 
+def test_every_permission_of_every_user(spark):
+    rng = random.Random(4)
+    held = [(u, r) for u in range(40) for r in range(5) if rng.random() < 0.4] + [(3, 1), (3, 1)]
+    policies = [(r, f"/p{rng.randrange(6)}", rng.choice(["GET", "*", None])) for r in range(5) for _ in range(4)] + [(9, "/only", "GET")]
+    own = [(u, f"/p{rng.randrange(3)}", rng.choice(["GET", None])) for u in range(0, 60, 2)] + [(5, "/p1", "GET")] * 2
+    frames = lambda *rows: [spark.createDataFrame(r, f"{c} string, method string" if "path" in c else c) for r, c in zip(rows, ("user_id int, role_id int", "role_id int, path", "user_id int, path"))]
+    # The NULL user is alone in its class, then in one with others.
+    for more in ([(None, 9), (None, 1)], [(None, 2), (77, 2)]):
+        want = {(u, p, m) for u, r in held + more for r2, p, m in policies if r == r2} | set(own) | {(None, "/own", "GET")}
+        got = access.user_permissions(*access.effective_permissions(*frames(held + more, policies, own + [(None, "/own", "GET")]))).collect()
+        assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
 def test_requests_of_a_hot_path(spark):
     held = spark.range(500).select(F.col("id").alias("user_id"), (F.col("id") % 4).alias("role_id"))
     policies = spark.createDataFrame([(1, "/hot", "*"), (2, "/hot/:x", "GET"), (3, "/(", "GET")], "role_id long, path string, method string")
