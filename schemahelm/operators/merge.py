@@ -153,16 +153,18 @@ def _after(changes: DataFrame, current: Sequence[str], desired: Sequence[str], k
 # --- database scans ---------------------------------------------------------------------------------------
 
 
-def merge_validators(scan: DataFrame, existing: DataFrame, keys: Sequence[str] = FIELD_KEY) -> DataFrame:
+def merge_validators(scan: DataFrame, existing: DataFrame, keys: Sequence[str] = FIELD_KEY, seen: str | None = None) -> DataFrame:
     """Keep configured validators on a rescan: the scanned value wins where it has one.
 
     The key has every column of the registry's key that the registry has, so equal names of two tenants or databases
-    stay apart.
+    stay apart. ``seen`` names a column that is true where the registry has the key, else NULL; it comes from the same join.
     """
     keys = [k for k in keys if k in scan.columns]
     if not set(FIELD_KEY) & set(existing.columns) <= set(keys):
         raise ValueError(f"the scan needs the key columns of the registry: {sorted(set(FIELD_KEY) & set(existing.columns) - set(keys))}")
-    old = existing.where(F.coalesce("validator", F.lit("")) != "").groupBy(*keys).agg(F.max("validator").alias("_old"))
+    configured = F.nullif(F.col("validator"), F.lit(""))
+    rows = existing if seen else existing.where(configured.isNotNull())
+    old = rows.groupBy(*keys).agg(F.max(configured).alias("_old"), *([F.lit(True).alias(seen)] if seen else []))
     found = F.nullif(F.col("validator"), F.lit("")) if "validator" in scan.columns else F.lit(None).cast("string")
     return (
         scan.join(old, keys, "left").withColumn("validator", F.coalesce(found, F.col("_old"), F.lit(""))).drop("_old")
@@ -188,14 +190,12 @@ def scan_databases(
     ``scanned`` comes from :func:`schemahelm.sources.catalog.scan_catalog` with the ``by`` columns.
     """
     keys = [*by, "table_name", "column_name"]
-    rows = merge_validators(scanned, existing, keys)
+    # One row for each key of the registry, so this join keeps one row per scanned column.
+    rows = merge_validators(scanned, existing, keys, seen="_known")
     unknown = (F.col("validator") != "") & ~F.col("validator").isin(list(known_validators))
     reason = F.when(is_reserved("table_name", patterns), F.lit("reserved")).when(unknown, F.lit("validator"))
     rows = rows.withColumn("reason", reason)
-    # Keys of the registry are unique, so this join keeps one row per scanned column.
-    known = existing.select(*keys).distinct().withColumn("_old", F.lit(True))
-    rows = rows.join(known, keys, "left")
-    kept, old = F.col("reason").isNull(), F.col("_old").isNotNull()
+    kept, old = F.col("reason").isNull(), F.col("_known").isNotNull()
     per_table = rows.groupBy(*by, "table_name").agg(
         F.count_if(kept & ~old).alias("inserted"),
         F.count_if(kept & old).alias("updated"),
@@ -206,7 +206,7 @@ def scan_databases(
         *[F.sum(c).alias(c) for c in ("inserted", "updated", "skipped")],
     )
     return Scan(
-        rows.where(kept).drop("reason", "_old"),
+        rows.where(kept).drop("reason", "_known"),
         rows.where(~kept).select(*keys, "reason"),
         summary,
         rows.limit(0).select(*by, F.lit("").alias("error")),
@@ -228,7 +228,8 @@ def scan_all(
     error = F.when(
         ~dsn_has_database("driver", "dsn"), F.lit("monitored database DSN must include database name")
     ).when(~F.col("driver").isin("mysql", "postgres", "mongo"), F.concat(F.lit("unsupported driver: "), "driver"))
-    checked = databases.withColumn("error", error)
+    # Written first: as a plan, the checks of addresses would move into the scans of both sides and run once a catalog row.
+    checked = cut_lineage(databases.select(*by, error.alias("error")), "databases")
     bad = checked.where(F.col("error").isNotNull()).select(*by, "error")
     good = checked.where(F.col("error").isNull()).select(*by)
     result = scan_databases(scanned.join(good, by, "left_semi"), existing, known_validators, by, patterns)

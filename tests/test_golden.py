@@ -630,6 +630,19 @@ def test_directory_poll(spark, tmp_path):
     assert values(removed, "id") == [("gone",)]
 
 
+def test_addresses_are_checked_once_a_database(spark):
+    dbs = spark.createDataFrame([("t", 1, "postgres", "postgres://h/d"), ("t", 2, "postgres", "postgres://h"), (None, 3, "other", None)], "tenant_id string, db_id bigint, driver string, dsn string")
+    rows = [("t", d, f"t{i}", "c", v) for d, i, v in ((1, 1, None), (1, 2, ""), (1, 2, ""), (2, 1, ""))]
+    scanned = spark.createDataFrame(rows, "tenant_id string, db_id bigint, table_name string, column_name string, validator string")
+    existing = spark.createDataFrame([("t", 1, "t1", "c", "email"), ("t", 1, "t1", "c", None)], scanned.schema)
+    done = merge.scan_all(dbs, scanned, existing, ["email"])
+    assert values(done.summary, "db_id", "tables", "inserted", "updated", "skipped") == [(1, 2, 2, 1, 0)]
+    assert values(done.fields, "table_name", "validator") == [("t1", "email"), ("t2", ""), ("t2", "")]
+    assert done.errors.count() == 2
+    # The checks do not move into the scans of the catalog and the registry.
+    assert "dbname=" not in done.summary._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_widget_files_keep_every_row(spark):
     from schemahelm.plans.scans import write_widget_files
     from schemahelm.sources import targets
