@@ -21,10 +21,12 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from schemahelm.llm.common import raw, slices, stash
+from schemahelm.llm.parts import LatinWords, joined_ids
 
 #: Tokens of a sequence; pieces of a cell, on average.
 CAPACITY, CELL = 4096, 2000
@@ -37,16 +39,17 @@ LOOSE = 0.97
 #: Words of a worker's cache before its older half is dropped, about 200 bytes each.
 WORDS = 1_600_000
 _LINES = 2048
-#: Bytes of text that are encoded together; small, as what is at work then stays near the processor.
-SLICE = 1 << 20
+#: Bytes of text that are encoded together; each distinct part of them is looked up once.
+SLICE = 8 << 20
 
 
 class WordEncoder:
     """Ids of whole texts, by looking up parts between white space in a cache that lives as long as the worker.
 
     This fits tokenizers that drop white space and lower-case; others encode whole texts. Lower-casing the ASCII letters first, a
-    text's parts are cut where the pre-tokenizer cuts as well. New parts made of letters are encoded many at a time, told
-    apart by the token that ends a word, and a comma or full stop after letters is a word of its own.
+    text's parts are cut where the pre-tokenizer cuts as well. Parts are cut, counted and put together again by Arrow. New parts
+    made of letters are encoded many at a time, told apart by the token that ends a word, and marks at the end of a part are a word of
+    their own.
     """
 
     def __init__(self, path: str):
@@ -62,16 +65,15 @@ class WordEncoder:
         suffix = parts["model"].get("end_of_word_suffix")
         steps = [x.get("type") for x in (parts["normalizer"] or {}).get("normalizers", [])]
         cut = [x.get("behavior") for x in (parts["pre_tokenizer"] or {}).get("pretokenizers", [])]
-        self.by_parts = steps == ["NFC", "Replace", "Lowercase"] and cut[:1] == ["Removed"] and bool(suffix)
-        self.marks = [x["content"].encode() for x in parts["added_tokens"]]
+        self.marks = [x["content"] for x in parts["added_tokens"]]
+        self.by_parts = steps == ["NFC", "Replace", "Lowercase"] and cut[:1] == ["Removed"] and bool(suffix) and not any(map(str.isalpha, self.marks))
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         if suffix:
             self.ends[[i for word, i in vocabulary.items() if word.endswith(suffix)]] = True
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
-        self.stops: dict[int, bytes] = {}
         if self.by_parts:
-            self.stops = {c: self._texts([chr(c)])[0] for c in b".,"}
+            self.latin = LatinWords(self.tokenizer, self.ends, opens=False)
 
     def _texts(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -89,31 +91,42 @@ class WordEncoder:
             out += [ids[a * width : b * width] for a, b in zip([0, *ends], ends)]
         return out
 
-    def _learn(self, parts: set[bytes]) -> None:
-        """Put all these parts into the younger half of the cache."""
+    def _learn(self, new: list[bytes]) -> list[bytes]:
+        """Ids of these parts, which the younger half of the cache does not have yet."""
+        found = list(map(self.old.get, new))
+        groups: tuple[dict[int, str], ...] = ({}, {}, {})
+        for i, x in enumerate(new):
+            if found[i] is None:
+                text = x.decode()
+                groups[0 if LatinWords.fits(text) and text.islower() else 1 if text.isalpha() else 2][i] = text
+        latin, words, odd = ([*g.values()] for g in groups)
+        made = self.latin.encode(latin, self.dtype)
+        for at, ids in zip(groups, (self._words(latin) if made is None else made, self._words(words), self._texts(odd))):
+            for i, x in zip(at, ids):
+                found[i] = x
+        self.young.update(zip(new, found))
+        return found
+
+    def _ids(self, parts: list[bytes]) -> list[bytes]:
+        """Ids of distinct parts; white space at an end of a text leaves an empty one."""
         if len(self.young) > WORDS // 2:
             self.young, self.old = {}, self.young
-        new = parts.difference(self.young)
-        stopped = [x for x in new if x[-1] in self.stops and x[-2:-1].isalpha()]
-        new = new.difference(stopped).union([x[:-1] for x in stopped])
-        known = [x for x in new if x in self.old]
-        self.young.update(zip(known, map(self.old.__getitem__, known)))
-        texts = {x: x.decode() for x in new.difference(self.young)}
-        plain = [x for x, t in texts.items() if t.isalpha()]
-        odd = [x for x, t in texts.items() if not t.isalpha()]
-        self.young.update(zip(plain, self._words([texts[x] for x in plain])))
-        self.young.update(zip(odd, self._texts([texts[x] for x in odd])))
-        self.young.update((x, self.young[x[:-1]] + self.stops[x[-1]]) for x in stopped)
+        found = list(map(self.young.get, parts))
+        new = iter(self._learn([x for x, ids in zip(parts, found) if ids is None]))
+        return [next(new) if ids is None else ids for ids in found]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text, without an end id."""
         if not self.by_parts:
             return self._texts([t.decode() for t in texts])
-        # A mark in other letters is no mark, so such texts keep theirs.
-        cut = [(t if any(m in t.lower() for m in self.marks) else t.lower()).split() for t in texts]
-        self._learn(set().union(*cut))
-        get = self.young.__getitem__
-        return [b"".join(map(get, p)) for p in cut]
+        whole = pa.array(texts, pa.large_string())
+        cut = pc.ascii_lower(whole)
+        for m in self.marks:
+            # A mark in other letters is no mark, so such texts keep theirs.
+            marked = pc.match_substring(cut, m.lower())
+            if marked.true_count:
+                cut = pc.if_else(marked, whole, cut)
+        return joined_ids(pc.ascii_split_whitespace(cut), self._ids, self._texts, self.marks)
 
 
 @lru_cache(maxsize=1)

@@ -51,6 +51,18 @@ def test_parts_give_the_ids_of_whole_texts(monkeypatch):
             assert np.frombuffer(got, encoder.dtype).tolist() == tok.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_distinct_parts_are_looked_up_once():
+    tok, encoder, asked = Tokenizer.from_file(PATH), packing.WordEncoder(PATH), []
+    ids = encoder._ids
+    encoder._ids = lambda parts: asked.append(parts) or ids(parts)
+    texts = ["Stem stem. stem*** (stem stem,\nstem'.;", "stem!! stéM. stéM stem###### a<|endoftext|>. 9."] * 50
+    got = encoder.encode([t.encode() for t in texts])
+    assert [np.frombuffer(x, encoder.dtype).tolist() for x in got] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    # Marks at the end make no other part, and copies none at all.
+    assert len(asked) == 1 and len(asked[0]) == len(set(asked[0]))
+    assert asked[0].count(b"stem") == 1 and b"stem." not in encoder.young and b"stem***" not in encoder.young
+
+
 def test_other_tokenizers_encode_whole_texts():
     path = public_tokenizers.path("byte_bpe_50k.json")
     tok, encoder = Tokenizer.from_file(path), packing.WordEncoder(path)
