@@ -8,7 +8,7 @@ file is a slice of memory. A second file beside it, the index, has a row for eac
 Encoding a piece of text costs far more than looking it up, and words repeat: texts are cut before every single space
 that stands between two characters that are no white space. The pre-tokenizer always begins a new word there, so the
 ids of the parts, joined, are those of the whole text, and parts seen before come from a bounded cache that lives as long
-as the Python worker.
+as the Python worker. Arrow cuts the texts and puts the ids together, so that Python handles the distinct parts of a slice only.
 """
 
 from __future__ import annotations
@@ -24,21 +24,25 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from schemahelm.llm.common import slices
+from schemahelm.llm.parts import LatinWords, joined_ids
 from schemahelm.session import scratch_path
 
 #: Sequences in one record batch, tokens in one sequence.
 BATCH, LENGTH = 64, 2048
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+#: White space that is not one space or line break between two other characters.
+_WIDE = r"\A[ \n]|[ \n]\z|[ \n][ \n]|[\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Parts that are encoded as the lines of one text.
 LINES = 2048
-#: Bytes of text that are encoded together; small, as what is at work then stays near the processor.
-SLICE = 1 << 20
+#: Bytes of text that are encoded together; each distinct part of them is looked up once.
+SLICE = 4 << 20
 #: Parts of a worker's cache, about 200 bytes each; its older half goes when the younger one is full.
 PARTS = 1_600_000
 
@@ -61,14 +65,17 @@ class Encoder:
         self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.cuts = (
             parts["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
-            and len(self.line) == 1
+            and len(self.line) == 1 and not any(x["content"].isalpha() for x in parts["added_tokens"])
         )
-        # Parts that open a text or a line, and parts that follow a space, kept without it, or a line break, kept with it.
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-        self.old: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
-        # A comma or full stop after a letter is a token of its own, if nothing follows it.
-        self.stops = dict(zip(".,", self._bytes([".", ","]))) if self.cuts else {}
+        # Ids by part. A part that opens a text or a line has a line break in front, and its id; others follow a space and are kept
+        # without it.
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.marks = [x["content"] for x in parts["added_tokens"]]
+        if self.cuts:
+            opening = np.zeros(max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1, bool)
+            opening[[i for word, i in self.tokenizer.get_vocab().items() if word[0] == "Ġ"]] = True
+            self.latin = LatinWords(self.tokenizer, opening, opens=True, lead=" ")
 
     def _bytes(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -91,38 +98,51 @@ class Encoder:
             out += [flat[(a + 1) * width : b * width] for a, b in zip(ends, ends[1:])]
         return out
 
-    def _learn(self, first: set[str], later: set[str]) -> None:
-        """Put all these parts into the younger half of the cache."""
-        if len(self.first) + len(self.later) > PARTS // 2:
-            self.old, self.first, self.later = (self.first, self.later), {}, {}
+    def _learn(self, new: list[bytes]) -> list[bytes]:
+        """Ids of these parts, which the younger half of the cache does not have yet."""
         line = np.array(self.line, self.dtype).tobytes()
-        later = later.difference(self.later)
-        breaks = [x for x in later if x[0] == "\n"]
-        first = first.union([x[1:] for x in breaks]).difference(self.first)
-        for cache, old, new, lead in ((self.first, self.old[0], first, ""), (self.later, self.old[1], later.difference(breaks), " ")):
-            stopped = [x for x in new if x[-1:] in self.stops and x[-2:-1].isalpha()]
-            new = new.difference(stopped).union([x[:-1] for x in stopped])
-            known = [x for x in new if x in old]
-            cache.update(zip(known, map(old.__getitem__, known)))
-            new = new.difference(cache)
-            odd = [x for x in new if len(x.split()) != 1 or len(x.split()[0]) != len(x)]
-            plain = list(new.difference(odd))
-            for group, encode in ((plain, self._words), (odd, self._bytes)):
-                cache.update(zip(group, encode([lead + x for x in group])))
-            cache.update((x, cache[x[:-1]] + self.stops[x[-1]]) for x in stopped)
-        for x in breaks:
-            self.later[x] = line + self.first[x[1:]]
+        found = list(map(self.old.get, new))
+        groups: tuple[dict[int, str], ...] = ({}, {}, {})
+        for i, x in enumerate(new):
+            if found[i] is None:
+                text = x.decode()
+                if LatinWords.fits(text):
+                    groups[0][i] = text
+                    continue
+                lead, bare = ("", text[1:]) if text[:1] == "\n" else (" " if text else "", text)
+                groups[1 if bare.split() == [bare] else 2][i] = lead + bare
+        latin, words, odd = ([*g.values()] for g in groups)
+        made = self.latin.encode(latin, self.dtype)
+        for at, ids in zip(groups, (self._words([f" {x}" for x in latin]) if made is None else made, self._words(words), self._bytes(odd))):
+            for i, x in zip(at, ids):
+                found[i] = line + x if new[i][:1] == b"\n" else x
+        self.young.update(zip(new, found))
+        return found
+
+    def _ids(self, parts: list[bytes]) -> list[bytes]:
+        """Ids of distinct parts."""
+        if len(self.young) > PARTS // 2:
+            self.young, self.old = {}, self.young
+        found = list(map(self.young.get, parts))
+        new = iter(self._learn([x for x, ids in zip(parts, found) if ids is None]))
+        return [next(new) if ids is None else ids for ids in found]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, the end id last."""
         if not self.cuts:
             return [x + self.end for x in self._bytes(texts)]
+        whole = pa.array(texts, pa.large_string())
+        wide = pc.match_substring_regex(whole, _WIDE)
         # Where all white space is single and between words, line breaks are cuts as well: each is a token of its own, and the
         # word after it has no space in front.
-        cut = [t.replace("\n", " \n").split(" ") if " ".join(t.split()) == t.replace("\n", " ") else _CUT.split(t) for t in texts]
-        self._learn({p[0] for p in cut}, set().union(*(p[1:] for p in cut)) if cut else set())
-        first, later = self.first, self.later.__getitem__
-        return [b"".join([first[p[0]], *map(later, p[1:]), self.end]) for p in cut]
+        opened = pc.utf8_replace_slice(whole.filter(pc.invert(wide)), 0, 0, "\n")
+        even = pc.split_pattern(pc.replace_substring(opened, "\n", " \n"), " ")
+        other = [_CUT.split(t) for t in whole.filter(wide).to_pylist()]
+        other = pa.array([[f"\n{p[0]}", *p[1:]] for p in other], pa.list_(pa.large_string()))
+        made = [iter(joined_ids(x, self._ids, self._bytes, self.marks)) for x in (even, other)]
+        # The line break in front was none of the text.
+        width = self.dtype.itemsize
+        return [next(made[x])[width:] + self.end for x in wide.to_pylist()]
 
 
 @lru_cache(maxsize=1)

@@ -37,6 +37,18 @@ def test_parts_give_the_ids_of_whole_texts(monkeypatch):
             assert np.frombuffer(got, "<u2").tolist() == [*tok.encode(text, add_special_tokens=False).ids, 2], repr(text)
 
 
+def test_distinct_parts_are_looked_up_once():
+    tok, encoder, asked = Tokenizer.from_file(PATH), token_files.Encoder(PATH, 2), []
+    ids = encoder._ids
+    encoder._ids = lambda parts: asked.append(parts) or ids(parts)
+    texts = ["Stem stem. stem*** stem,\nstem'.; it's. stem", "stem!! stéM. stéM stem###### a<|endoftext|>. 9.\nstem"] * 50
+    got = encoder.encode(texts)
+    assert [np.frombuffer(x, encoder.dtype).tolist() for x in got] == [[*tok.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    # Marks at the end make no other part, and copies none at all; the second call is of texts with other white space.
+    assert len(asked[0]) == len(set(asked[0])) and sum(map(len, asked[1:])) == 0
+    assert asked[0].count(b"stem") == 1 and b"stem." not in encoder.young and b"stem***" not in encoder.young
+
+
 def test_files_and_report(spark, tmp_path):
     rng = random.Random(1)
     docs = [(i * 3, rng.choice(ODD) + " ".join(words(rng, rng.randrange(300)))) for i in range(120)] + [(1, None), (None, "no id")]
