@@ -39,8 +39,8 @@ def bitmap(df: DataFrame, value: Column, max_bits: int = MAX_BITS) -> Broadcast:
 
     placed = values.mapInPandas(place, "block bigint, at int").distinct()
     whole = np.zeros(1 << (bits - 3), np.uint8)
-    # At most 2**max_bits / 8 bytes in blocks of 8 KB.
-    for r in placed.groupBy("block").applyInPandas(fill, "block bigint, held binary").toLocalIterator():
+    # At most 2**max_bits / 8 bytes in blocks of 8 KB, in one job: an iterator would run one for each partition.
+    for r in placed.groupBy("block").applyInPandas(fill, "block bigint, held binary").collect():
         start = r["block"] << (_BLOCK_BITS - 3)
         whole[start : start + (1 << (_BLOCK_BITS - 3))] = np.frombuffer(r["held"], np.uint8)
     return df.sparkSession.sparkContext.broadcast((bits, whole))

@@ -6,8 +6,12 @@ from itertools import combinations
 import numpy as np
 import pytest
 from helpers import documents, empty, frame, rows_of, words
+from pyspark.sql import functions as F
 
+from schemahelm.llm import components as components_module
 from schemahelm.llm import near_dup
+from schemahelm.llm.bitmap import bitmap, has_bits
+from schemahelm.llm.common import stash
 from schemahelm.llm.components import components
 
 
@@ -136,3 +140,29 @@ def test_links_between_sets_below_and_above_the_sketch(spark):
         base = words(rng, n + 3, 10**9)
         docs += [(len(docs), " ".join(base)), (len(docs) + 1, " ".join(base[: n + 3 - cut]))]
     assert_same(spark, docs, 4)
+
+
+def test_stars_take_one_round(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(components_module, "stash", lambda df, name: written.append(name) or stash(df, name))
+    edges = [(i, 5) for i in range(6, 40)] + [(i, 50) for i in range(51, 60)] + [(7, 5), (5, 5)]
+    got = {r["node"]: r["comp"] for r in rows_of(components(spark.createDataFrame(edges, "u bigint, v bigint")))}
+    assert got == {i: 5 if i < 50 else 50 for i in [*range(5, 40), *range(50, 60)]}
+    assert len(written) == 1
+
+
+def test_bitmap_is_gathered_in_one_job(spark):
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    spark.sparkContext.setJobGroup("bits", "bits")
+    try:
+        rows = spark.range(2000).withColumn("h", F.xxhash64("id"))
+        bits = bitmap(rows, F.col("h"))
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("bits"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert has_bits(bits.value, np.array([r["h"] for r in rows.collect()], np.int64)).all()
+    assert 0 < jobs < 16
