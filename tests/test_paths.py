@@ -89,6 +89,31 @@ def test_every_permission_of_every_user(spark):
         assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
+def test_tiles_give_every_permission_once(spark):
+    rng = random.Random(5)
+    held = [(u, r) for u in [None, *range(150)] for r in range(3) if rng.random() < 0.6]
+    policies = [(r, rng.choice([None, "", f"/p{rng.randrange(40)}", f"/v1/{'x' * 30}/{rng.randrange(9)}"]), rng.choice(["GET", "*", None])) for r in [0, 1] for _ in range(40)]
+    own = [(u, f"/p{rng.randrange(40)}", "GET") for u in [None, *range(0, 200, 7)]]
+    want = {(u, p, m) for u, r in held for r2, p, m in policies if r == r2} | set(own)
+    frames = [spark.createDataFrame(r, c) for r, c in ((held, "user_id int, role_id int"), (policies, "role_id int, path string, method string"), (own, "user_id int, path string, method string"))]
+    # Many tiles, lists shorter than eight and runs that are left; then all in one.
+    for sizes in ((5, 100, 8), (30, 60, 16), (2016, 1 << 17, 504)):
+        got = access.user_permissions(*access.effective_permissions(*frames), *sizes).collect()
+        assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_many_permissions_of_many_users_take_little_disk(spark, tmp_path):
+    # More text of paths than one Parquet dictionary holds.
+    held = spark.range(800).select(F.col("id").alias("user_id"), F.lit(1).alias("role_id"))
+    policies = spark.range(5000).select(F.lit(1).alias("role_id"), F.repeat(F.concat(F.lit("/"), F.md5(F.col("id").cast("string"))), F.lit(8)).alias("path"), F.lit("GET").alias("method"))
+    access.user_permissions(*access.effective_permissions(held, policies)).write.parquet(f"{tmp_path}/all")
+    rows = spark.read.parquet(f"{tmp_path}/all")
+    assert rows.count() == 800 * 5000 and rows.groupBy("path").agg(F.count_distinct("user_id").alias("n")).where("n = 800").count() == 5000
+    # Less than half a byte a row, the texts of the paths included.
+    size = sum(f.stat().st_size for f in (tmp_path / "all").glob("*.parquet"))
+    assert size < 2_000_000, size
+
+
 def test_requests_of_a_hot_path(spark):
     held = spark.range(500).select(F.col("id").alias("user_id"), (F.col("id") % 4).alias("role_id"))
     policies = spark.createDataFrame([(1, "/hot", "*"), (2, "/hot/:x", "GET"), (3, "/(", "GET")], "role_id long, path string, method string")
